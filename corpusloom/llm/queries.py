@@ -64,11 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 OP3_SQL = """
 with recursive v as (
-  select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
 ), g as (
   select vec_id, label, e from v
-  where e is not null and label is not null and len(list_filter(e, x -> x is null or isnan(x) or isinf(x))) = 0
-    and len(list_filter(e, x -> x <> 0)) > 0
+  where e is not null and label is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0
 ), l as (
   select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label and a.vec_id <> b.vec_id
   where list_cosine_similarity(a.e, b.e) >= 0.93
