@@ -12,7 +12,7 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 #: Modules that register queries.
-MODULES: list[str] = []
+MODULES: list[str] = ["scalars", "relational", "corpus"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -35,6 +35,11 @@ def load() -> None:
         importlib.import_module(f"corpusloom.plans.{name}")
 
 
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: lexical search over chunks by coverage and idf share."""
+    return queries()["rt_lexical_coverage"](spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     load()
     return _queries
