@@ -18,10 +18,12 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.arrowmap import add_columns
+
 #: Longest piece, in bytes, that goes into a matrix.
 LONGEST = 256
 #: Pieces remembered by a worker; the memory is emptied when full.
@@ -218,11 +220,17 @@ class _Shared:
         return self.cast.value
 
 
-def slices(frame: pd.DataFrame, text: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Runs of rows with about ``chars`` characters of text together, at least a row each."""
-    total = frame[text].str.len().fillna(0).to_numpy(np.int64).cumsum()
-    for _, rows in frame.groupby(total // chars, sort=False):
-        yield rows
+def slices(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+    """Runs of texts with about ``chars`` characters together, at least a text each."""
+    held, total = [], 0
+    for t in texts:
+        held.append(t)
+        total += len(t)
+        if total >= chars:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
@@ -233,35 +241,30 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     """
     spark = docs.sparkSession
     shared = _Shared(spark, read_ranks(ranks_path), pattern)
-    kept = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids binary"] * with_ids)
+    kept = docs.select(*keep, docs[text].alias("__text"))
+    added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batch: pa.RecordBatch) -> dict[str, list]:
         codec = _codec(shared)
-        for frame in batches:
-            for part in slices(frame, "__text"):
-                ids = codec.encode_many([t or "" for t in part["__text"]])
-                out = part[list(keep)].copy()
-                out["n_tokens"] = [len(x) // 4 for x in ids]
-                out["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
-                out["decoded_sha256"] = [hashlib.sha256(codec.decode_bytes(x)).hexdigest() for x in ids]
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+        for part in slices([t or "" for t in batch.column("__text").to_pylist()]):
+            for ids in codec.encode_many(part):
+                out["n_tokens"].append(len(ids) // 4)
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
                 if with_ids:
-                    out["ids"] = ids
-                yield out
+                    out["ids"].append(ids)
+        return out
 
-    return kept.mapInPandas(run, schema)
+    return add_columns(kept, make, added, drop=("__text",))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ``text``: the bytes of ``ids``, read as UTF-8 (null: empty)."""
     shared = _Shared(encoded.sparkSession, read_ranks(ranks_path), pattern)
-    schema = ", ".join([f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep] + ["text string"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batch: pa.RecordBatch) -> dict[str, list]:
         codec = _codec(shared)
-        for frame in batches:
-            out = frame[list(keep)].copy()
-            out["text"] = [codec.decode_bytes(bytes(x)).decode("utf-8", "replace") if x is not None else "" for x in frame[ids]]
-            yield out
+        return {"text": [codec.decode_bytes(x).decode("utf-8", "replace") if x is not None else "" for x in batch.column("__ids").to_pylist()]}
 
-    return encoded.select(*keep, ids).mapInPandas(run, schema)
+    return add_columns(encoded.select(*keep, encoded[ids].alias("__ids")), make, "text string", drop=("__ids",))

@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusloom.arrowmap import add_columns
+
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template svg math".split())
@@ -244,13 +245,9 @@ def main_text(html: str | None) -> str:
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns ``keep`` and text, n_chars (code points of the text)."""
-    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string", "n_chars bigint"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = frame[list(keep)].copy()
-            out["text"] = [main_text(x) for x in frame["__html"]]
-            out["n_chars"] = out["text"].str.len().astype("int64")
-            yield out
+    def make(batch: pa.RecordBatch) -> dict[str, list]:
+        texts = [main_text(x) for x in batch.column("__html").to_pylist()]
+        return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    return pages.select(*keep, pages[html].alias("__html")).mapInPandas(run, schema)
+    return add_columns(pages.select(*keep, pages[html].alias("__html")), make, "text string, n_chars bigint", drop=("__html",))

@@ -22,9 +22,12 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.arrowmap import add_columns
+
 # Frequent function words of the corpus languages.
 FUNCTION_WORDS = set("the of and to in a is that it for on was as with be by der die und das ist von zu den mit sich de la le les et en du des un une que el los las y por con una se".split())
 
@@ -213,12 +216,10 @@ def classify(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
     soft = np.array([posterior[d.pattern()] for d in known])
     shared = spark.sparkContext.broadcast((fit_scorer(known, soft, p), posterior))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batch: pa.RecordBatch) -> dict[str, list]:
         weights, known = shared.value
         scorer = Scorer(weights, p.slots)
-        for frame in batches:
-            found = [(d.pattern(), scorer(d)) for d in map(Document, frame["__text"])]
-            out = pd.DataFrame({id_col: frame[id_col], "votes": [v for v, _ in found], "posterior": [known[v] for v, _ in found], "score": [x for _, x in found]})
-            yield out.assign(keep=out["score"] >= p.keep_at)
+        found = [(d.pattern(), scorer(d)) for d in map(Document, batch.column("__text").to_pylist())]
+        return {"votes": [v for v, _ in found], "posterior": [known[v] for v, _ in found], "score": [x for _, x in found], "keep": [x >= p.keep_at for _, x in found]}
 
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, votes int, posterior double, score double, keep boolean")
+    return add_columns(rows, make, "votes int, posterior double, score double, keep boolean", drop=("__text",))

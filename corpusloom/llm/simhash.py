@@ -21,10 +21,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.arrowmap import add_columns
 from corpusloom.graph import connected_components, local_roots
 from corpusloom.grouping import map_groups, spans
 from corpusloom.storage import checkpoint
@@ -58,13 +60,11 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """Columns id_col and ``fp`` (the fingerprint as a signed long)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            found = np.array([fingerprint(t, words) for t in frame["__text"]], np.uint64)
-            yield pd.DataFrame({id_col: frame[id_col], "fp": found.view(np.int64)})
+    def make(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        found = np.array([fingerprint(t, words) for t in batch.column("__text").to_pylist()], np.uint64)
+        return {"fp": found.view(np.int64)}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, docs[text].alias("__text")).mapInPandas(run, f"`{id_col}` {kind}, fp bigint")
+    return add_columns(docs.select(id_col, docs[text].alias("__text")), make, "fp bigint", drop=("__text",))
 
 
 def trie_links(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -23,9 +23,12 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.arrowmap import add_columns
+
 
 @dataclass(frozen=True)
 class Params:
@@ -361,23 +364,32 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     return train(rows, ones / n if n else 0.0, p)
 
 
+def slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Runs of texts with about ``chars`` characters together, at least a text each."""
+    held, total = [], 0
+    for t in texts:
+        held.append(t)
+        total += len(t or "")
+        if total >= chars:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 _scorers: dict[int, Scorer] = {}
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``toxicity`` (double, 0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     mark = int(np.random.default_rng().integers(1 << 62))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         if mark not in _scorers:
             _scorers.clear()
             _scorers[mark] = Scorer(shared.value)
-        scorer = _scorers[mark]
-        for frame in batches:
-            total = frame[text].str.len().fillna(0).to_numpy(np.int64).cumsum()
-            for _, part in frame.groupby(total // 1_000_000, sort=False):
-                yield part.assign(toxicity=scorer.scores(list(part[text])))
+        texts = batch.column(text).to_pylist()
+        return {"toxicity": np.concatenate([np.zeros(0), *map(_scorers[mark].scores, slices(texts))])}
 
-    return docs.mapInPandas(run, f"{kinds}, toxicity double")
+    return add_columns(docs, make, "toxicity double")
