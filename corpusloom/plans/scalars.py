@@ -410,11 +410,15 @@ def mt_round_money(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(net, 2).cast("double").alias("net"))
 
 
-@query("mt_fees", "select o_orderkey, greatest(round(o_totalprice::decimal(18,4) * 6831 / 100000, 2), 500)::double as fee, round(greatest(round(o_totalprice::decimal(18,4) * 6831 / 100000, 2), 500) / 4, 2)::double as advance, o_totalprice > 200000 as above_limit from orders")
+FEE_SQL = "greatest(round(o_totalprice::decimal(18,2) * 0.06831, 2)::decimal(18,2), 500::decimal(18,2))"
+
+
+@query("mt_fees", f"select o_orderkey, {FEE_SQL}::double as fee, round({FEE_SQL} * 0.25, 2)::double as advance, o_totalprice > 200000 as above_limit from orders")
 def mt_fees(spark: SparkSession, d: str) -> DataFrame:
-    price = F.col("o_totalprice").cast("decimal(18,4)")
-    fee = F.greatest(F.round(price * F.lit(6831) / F.lit(100000), 2).cast("decimal(18,2)"), F.lit(500).cast("decimal(18,2)"))
-    return table(spark, d, "orders").select("o_orderkey", fee.cast("double").alias("fee"), F.round(fee / 4, 2).cast("double").alias("advance"), (F.col("o_totalprice") > 200000).alias("above_limit"))
+    """Per-mille fee with a floor on the fee; the advance is a quarter."""
+    rate, quarter = F.lit("0.06831").cast("decimal(6,5)"), F.lit("0.25").cast("decimal(3,2)")
+    fee = F.greatest(F.round(F.col("o_totalprice").cast("decimal(18,2)") * rate, 2).cast("decimal(18,2)"), F.lit(500).cast("decimal(18,2)"))
+    return table(spark, d, "orders").select("o_orderkey", fee.cast("double").alias("fee"), F.round(fee * quarter, 2).cast("double").alias("advance"), (F.col("o_totalprice") > 200000).alias("above_limit"))
 
 
 @query("mt_minmax", "select l_orderkey, l_linenumber, round(coalesce((l_extendedprice - min(l_extendedprice) over (partition by l_orderkey)) / nullif(max(l_extendedprice) over (partition by l_orderkey) - min(l_extendedprice) over (partition by l_orderkey), 0), 1), 6) as scaled from lineitem")
