@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Code points of a quote by which documents are looked up before the quote is compared.
-PROBE = 24
+#: Words inside a quote by which documents are looked up before the quote is compared.
+PROBE = 4
+
+
+def probe(tokens: Column, at: Column) -> Column:
+    """Hash of the tokens that follow a place."""
+    return F.xxhash64(*[F.get(tokens, at + k) for k in range(PROBE)])
 
 
 def containing(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", quote_id: str = "item_id") -> DataFrame:
-    """Documents that hold a quote word for word: doc_id, quote_id, start (code points).
+    """Documents that hold a quote letter by letter: doc_id, quote_id, start (code points).
 
-    Texts are probed by the hash of the first PROBE code points of a quote at word starts,
-    an equi-join; only texts that hold the probe are compared with the whole quote. Quotes
-    shorter than the probe are compared with every text (they are a stated query set).
+    The second to fifth blank-separated tokens of a quote stand whole in any text that holds
+    it, so their hash meets the hashes of a text's runs of four tokens in an equi-join; only
+    texts that meet are compared with the whole quote. Quotes too short for that are
+    compared with every text (they are a stated query set).
     """
-    q = quotes.where("text is not null and text <> ''").select(quote_id, F.col("text").alias("quote"))
-    long = q.where(F.length("quote") >= PROBE).withColumn("probe", F.xxhash64(F.substring("quote", 1, PROBE)))
-    short = q.where(F.length("quote") < PROBE)
+    tokens = F.split("text", " ")
+    q = quotes.where("text is not null and text <> ''").select(quote_id, F.col("text").alias("quote"), tokens.alias("tokens"))
+    enough = F.size("tokens") >= PROBE + 2
+    long = q.where(enough).select(quote_id, "quote", probe(F.col("tokens"), F.lit(1)).alias("probe"))
+    short = q.where(~enough).select(quote_id, "quote")
     t = docs.where("text is not null").select(doc_id, "text")
-    # Every code point that follows white space (or begins the text) may begin a quote.
-    parts = F.split("text", r"(?<=\s)")
-    firsts = F.array_distinct(F.transform(word_starts(parts), lambda p: F.xxhash64(F.substring("text", p + 1, F.lit(PROBE)))))
-    hits = t.select(doc_id, F.explode(firsts).alias("probe")).join(long.select(quote_id, "probe"), "probe").select(doc_id, quote_id).distinct()
-    full = hits.join(long, quote_id).join(t, doc_id).where(F.col("text").contains(F.col("quote")))
+    runs = t.select(doc_id, tokens.alias("tokens")).where(F.size("tokens") >= PROBE)
+    starts = F.sequence(F.lit(0), F.size("tokens") - PROBE)
+    probes = runs.select(doc_id, F.explode(F.array_distinct(F.transform(starts, lambda i: probe(F.col("tokens"), i)))).alias("probe"))
+    hits = probes.join(long.select(quote_id, "probe"), "probe").select(doc_id, quote_id).distinct()
+    full = hits.join(long.drop("probe"), quote_id).join(t, doc_id).where(F.col("text").contains(F.col("quote")))
     few = t.crossJoin(F.broadcast(short)).where(F.col("text").contains(F.col("quote")))
     columns = [doc_id, quote_id, (F.expr("instr(text, quote)") - 1).alias("start")]
     return full.select(*columns).union(few.select(*columns))
 
 
-def word_starts(parts: Column) -> Column:
-    """Offsets of parts that follow each other in a text."""
-    lengths = F.transform(parts, lambda x: F.length(x))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    folded = F.aggregate(lengths, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], s["at"]).alias("all")))
-    return folded["all"]
-
-
 def validate(evidence: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds ``outcome``: the first check that a span of evidence fails, or OK.
 
