@@ -4,7 +4,7 @@ A tree of median cuts on a bounded sample gives lists of equal share and their c
 Every distinct vector enters its nearest list and, near a boundary, up to ``replicas`` lists
 whose centroid is within ``boundary`` times the nearest distance. Queries search the
 centroids through an in-memory neighbour graph, keep the lists within ``ratio`` times the
-distance of the nearest and compare with all vectors of those lists in double precision.
+distance of the nearest, ``least_lists`` at least, and compare with all vectors of those lists in double precision.
 
 Lists that still grow large are dealt out as shares. Equal vectors are one entry that names
 its smallest ids, as many as a result can use, so copies cost nothing and ties stay exact.
@@ -40,8 +40,8 @@ class Params:
     replicas: int = 3
     boundary: float = 1.08
     ratio: float = 1.13
+    least_lists: int = 24
     degree: int = 24
-    beam: float = 1.0
     together: int = 16
     share: int = 20_000
 
@@ -84,23 +84,29 @@ class CentroidGraph:
         sq = (x * x).sum(axis=1)[:, None] + (self.c * self.c).sum(axis=1)[None] - 2 * x @ self.c.T
         return np.sqrt(np.maximum(sq, 0))
 
-    def search(self, q: np.ndarray, ratio: float, beam: float) -> np.ndarray:
-        """Lists within ``ratio`` of the nearest distance met; ``beam`` widens what is walked."""
+    def search(self, q: np.ndarray, ratio: float, least: int) -> np.ndarray:
+        """Lists within ``ratio`` of the nearest distance, the ``least`` nearest at least.
+
+        The walk goes on from the nearest open centroid until it is farther than both.
+        """
         seen = np.zeros(len(self.c), bool)
         seen[0] = True
-        first = float(np.sqrt(((self.c[0] - q) ** 2).sum()))
-        todo, best, found = [(first, 0)], first, [(first, 0)]
+        best = float(np.sqrt(((self.c[0] - q) ** 2).sum()))
+        todo, found, near = [(best, 0)], [(best, 0)], [-best]
         while todo:
             d, i = heapq.heappop(todo)
-            if d > best * ratio * beam and len(found) > 1:
+            if d > best * ratio and len(near) >= least and d > -near[0]:
                 break
             new = self.next[i][~seen[self.next[i]]]
             seen[new] = True
             for e, j in zip(np.sqrt(((self.c[new] - q) ** 2).sum(axis=1)).tolist(), new.tolist(), strict=True):
                 heapq.heappush(todo, (e, j))
+                heapq.heappush(near, -e)
+                if len(near) > least:
+                    heapq.heappop(near)
                 found.append((e, j))
                 best = min(best, e)
-        return np.array([j for e, j in found if e <= best * ratio], np.int64)
+        return np.array([j for e, j in found if e <= max(best * ratio, -near[0])], np.int64)
 
 
 def search(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> DataFrame:
@@ -137,7 +143,7 @@ def search(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> Data
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            found = [graph.value.search(np.asarray(v, np.float64), p.ratio, p.beam).tolist() for v in frame["embedding"]]
+            found = [graph.value.search(np.asarray(v, np.float64), p.ratio, p.least_lists).tolist() for v in frame["embedding"]]
             yield pd.DataFrame({"embedding": frame["embedding"], "qid": frame["qid"], "lists": found})
 
     posted = reps.mapInPandas(post, "embedding array<double>, ids array<bigint>, lists array<bigint>")

@@ -52,7 +52,7 @@ def passages(text: Column) -> Column:
     runs = F.split(F.array_join(F.transform(marked, line), "\n"), "\u0001")
 
     def run(x: Column) -> Column:
-        return F.struct(F.substring_index(x, "\u0002", 1).cast("int").alias("level"), F.trim(F.regexp_replace(x, "(?m)^[0-9]+\u0002", "")).alias("body"))
+        return F.struct(F.substring_index(x, "\u0002", 1).cast("int").alias("level"), F.regexp_replace(F.regexp_replace(x, "(?m)^[0-9]+\u0002", ""), r"^\s+|\s+$", "").alias("body"))
 
     return F.filter(F.transform(runs, run), lambda x: x["body"] != "")
 
