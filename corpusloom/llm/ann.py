@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.embedding_dedup import usual_length, valid_vector
+from corpusloom.sampling import hash_sample
 from corpusloom.storage import checkpoint
 
 
@@ -126,8 +127,10 @@ def search(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> Data
     n = reps.count()
     if not n or asked.isEmpty():
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = reps.select("embedding").orderBy(F.xxhash64("embedding")).limit(p.sample).toPandas()
-    x = np.stack([np.asarray(v, np.float64) for v in sample["embedding"]])
+    sample = hash_sample(reps.select("embedding"), p.sample, ["embedding"], n).toPandas()
+    if not len(sample):
+        sample = reps.select("embedding").limit(1).toPandas()
+    x = np.stack(sorted((np.asarray(v, np.float64) for v in sample["embedding"]), key=lambda v: v.tolist()))
     n_lists = int(np.clip(n // p.list_size, 1, min(p.most_lists, max(1, len(x) // 4))))
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, n_lists), p.degree))
 

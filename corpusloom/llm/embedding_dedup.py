@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.graph import connected_components, local_roots
 from corpusloom.grouping import map_groups, spans
+from corpusloom.sampling import hash_sample
 from corpusloom.storage import checkpoint
 
 #: Vectors of one inverted list in a single share.
@@ -43,9 +44,11 @@ def usual_length(df: DataFrame, embedding: str = "embedding") -> int:
 
 
 def choose_pivots(df: DataFrame, n_pivots: int, sample: int = 4096) -> np.ndarray:
-    """Far-apart unit vectors from a bounded sample (``sample`` rows by hash order)."""
-    rows = df.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).toPandas()
-    x = np.stack([np.asarray(v, np.float64) for v in rows["embedding"]])
+    """Far-apart unit vectors from a bounded sample (about ``sample`` rows by hash)."""
+    rows = hash_sample(df.select("embedding"), sample, ["embedding"]).toPandas()
+    if not len(rows):
+        rows = df.select("embedding").limit(1).toPandas()
+    x = np.stack(sorted((np.asarray(v, np.float64) for v in rows["embedding"]), key=lambda v: v.tolist()))
     x /= np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     chosen, nearest = [0], x @ x[0]

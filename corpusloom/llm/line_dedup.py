@@ -4,64 +4,64 @@ A line is the set of its lower-cased words. Words are ordered by rarity: a table
 size counts the words of the whole corpus by hash slot, and ties go by hash, which is one
 total order for all lines. Two lines of Jaccard similarity t or more share a word among the
 first ``n - ceil(t n) + 1`` of each, so only those words enter posting lists. Within a list
-the length filter, the positional filter and the parity signature (each word flips one of
-128 bits; sets that differ in d words differ in d bits at most) leave few pairs, which are
-verified on the words themselves. A line goes if an earlier line, by (id, hash of the text,
-line number), is similar; the earlier line need not be kept itself.
-
-Equal sets are one entry at their earliest place. Words that occur once in the corpus are
-not posted. Long posting lists are dealt out as pairs of salted shares. From each list a
-set sends on its earliest candidates, a few at a time; sets whose candidates all fail are
+the length filter, the positional filter and the parity signature (each word flips one of 64
+bits; sets that differ in d words differ in d bits at most) leave few pairs, which are
+verified on the words themselves. A line goes if an earlier line, by (id, line number), is
+similar; the earlier line need not be kept itself.
+
+Postings travel as arrays, one row a list bucket and batch. Words that occur once in the
+corpus are not posted. Lists that a bounded sample of documents shows to be long are dealt
+out as pairs of salted shares, which moves work but changes no result. From each list a line
+sends on its earliest candidates, a few at a time; lines whose candidates all fail are
 compared with all of theirs in a second pass, so no link is lost and no group is expanded
-into all pairs.
+into all pairs. Lines that are equal letter by letter are settled apart, by an aggregation.
 
 Defined results: lines of fewer than ``least_words`` different words are never compared and
-stay; null and empty texts stay as they are; rows alike in id and text have the same places
-and do not remove each other's lines of the same number; a null id counts as earliest.
+stay; null and empty texts stay as they are; lines of one id and number (repeated ids) are
+at the same place and do not remove each other unless an earlier place does; a null id counts as earliest; columns named
+n_lines and n_removed are replaced, other columns pass through.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.grouping import map_groups, spans
+from corpusloom.arrowmap import add_columns
+from corpusloom.grouping import spans
 from corpusloom.storage import checkpoint, materialize
 
 
 @dataclass(frozen=True)
 class Params:
-    """Similarity is ``num / den``; slots is the fixed size of the rarity table."""
+    """Similarity is ``num / den``; ``slots`` is the fixed size of the rarity table.
+
+    ``sample_rows`` bounds the documents by which long lists are foreseen, ``bloom_bits``
+    the filter that picks lines to verify.
+    """
 
     num: int = 4
     den: int = 5
     least_words: int = 5
     slots: int = 1 << 21
-    share: int = 8192
-    first_candidates: int = 2
+    share: int = 20_000
+    sample_rows: int = 1000
+    first_candidates: int = 4
+    bloom_bits: int = 1 << 25
 
 
 NULL_ID = -(2**63)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A random 64-bit value for each byte and an odd base, for hashes of words by prefix sums.
-BYTE = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(x: int, n: int) -> np.ndarray:
-    """x to the power 0 ... n - 1 modulo 2 to the 64."""
-    if len(_powers.get(x, ())) < n:
-        _powers[x] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(2_000_000, n) - 1, x, np.uint64)]), dtype=np.uint64)
-    return _powers[x][:n]
+POSTS = "bucket int, list array<int>, line array<int>, sig array<bigint>, doc array<bigint>, number array<int>, size array<int>, at array<int>"
+PLACE = "{0}_doc bigint, {0}_number int, {0}_line int"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -71,27 +71,26 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Words:
-    """Hashes of all words of some texts and the text and line that each is in."""
-
-    def __init__(self, texts: list[str | None]):
-        raw = [(t or "").lower().encode() for t in texts]
-        x = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        space = SPACE[x]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        starts = edge[~space[edge]] if len(edge) else edge
-        if len(x) and not space[0]:
-            starts = np.concatenate([[0], starts])
-        ends = edge[space[edge]]
-        up, down = powers(BASE, len(x)), powers(INVERSE, len(x))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[x] * up, dtype=np.uint64)])
-        self.hash = mixed((total[ends] - total[starts]) * down[starts])
-        breaks = np.flatnonzero(x == 10)
-        line = np.searchsorted(breaks, starts)
-        first = np.concatenate([[0], np.cumsum(np.fromiter((r.count(b"\n") + 1 for r in raw), np.int64, len(raw)))])
-        self.line = line
-        line_text = np.searchsorted(first, np.arange(first[-1]), "right") - 1 if first[-1] else np.zeros(0, np.int64)
-        self.line_text, self.line_number = line_text, np.arange(first[-1]) - first[line_text]
+def word_hashes(words: list[str]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+
+
+def line_id(line: str) -> int:
+    """32 bits that tell lines at one place, or of one signature and size, apart."""
+    return xxhash.xxh32_intdigest(line) - (1 << 31)
+
+
+def parts_of(frame: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Runs of rows with about ``chars`` characters together, at least a row each."""
+    total = frame["text"].str.len().fillna(0).to_numpy(np.int64).cumsum()
+    for _, part in frame.groupby(total // chars, sort=False):
+        yield part
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """Columns doc and text of documents that have a text."""
+    return docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc"), "text")
 
 
 def rarity(docs: DataFrame, p: Params) -> np.ndarray:
@@ -99,224 +98,345 @@ def rarity(docs: DataFrame, p: Params) -> np.ndarray:
     block = 1 << 13
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(p.slots, np.uint32)
+        total = np.zeros(p.slots, np.int64)
+        held: Counter[str] = Counter()
+
+        def add() -> None:
+            at = (word_hashes(list(held)) % np.uint64(p.slots)).astype(np.int64)
+            np.add.at(total, at, np.fromiter(held.values(), np.int64, len(held)))
+            held.clear()
+
         for frame in batches:
-            for part in parts_of(frame):
-                total += np.bincount((Words(list(part["text"])).hash % np.uint64(p.slots)).astype(np.int64), minlength=p.slots).astype(np.uint32)
+            for text in frame["text"]:
+                held.update(text.lower().split())
+                if len(held) > 300_000:
+                    add()
+        add()
+        small = np.minimum(total, 65_535).astype("<u2")
         for i in range(0, p.slots, block):
-            if total[i : i + block].any():
-                yield pd.DataFrame({"at": [i], "n": [np.minimum(total[i : i + block], 65_535).astype("<u2").tobytes()]})
+            if small[i : i + block].any():
+                yield pd.DataFrame({"at": [i], "n": [small[i : i + block].tobytes()]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, "<u2").astype(np.uint32) for b in frame["n"])
         return pd.DataFrame({"at": frame["at"].iloc[:1], "n": [np.minimum(total, 65_535).astype("<u2").tobytes()]})
 
     out = np.zeros(p.slots, np.uint16)
-    found = docs.select("text").mapInPandas(count, "at int, n binary").withColumn("few", F.floor(F.spark_partition_id() / 256))
+    found = placed(docs).select("text").mapInPandas(count, "at int, n binary").withColumn("few", F.floor(F.spark_partition_id() / 256))
     found = found.groupBy("at", "few").applyInPandas(merge, "at int, n binary")
     for at, n in found.groupBy("at").applyInPandas(merge, "at int, n binary").collect():
         out[at : at + block] = np.frombuffer(n, "<u2")
     return out
 
 
-def parts_of(frame: pd.DataFrame, chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
-    """Runs of rows with about ``chars`` characters together, at least a row each."""
-    total = frame["text"].str.len().fillna(0).to_numpy(np.int64).cumsum()
-    for _, part in frame.groupby(total // chars, sort=False):
-        yield part
-
-
-def line_sets(texts: list[str | None], counts: np.ndarray, p: Params) -> dict[str, np.ndarray | list]:
-    """Word sets of all lines that are compared: place, key, size, signature and prefix."""
-    w = Words(texts)
-    count = counts[(w.hash % np.uint64(p.slots)).astype(np.int64)]
-    order = np.lexsort((w.hash, count, w.line))
-    line, h, count = w.line[order], w.hash[order], count[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
-    line, h, count = line[new], h[new], count[new]
-    starts, ends = spans(line)
-    size = ends - starts
-    keep = size >= p.least_words
-    if not keep.any():
-        return {k: [] for k in ("text", "number", "key", "size", "sig1", "sig2", "words", "at")}
-    key = np.add.reduceat(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-    bit = np.uint64(1) << (h & np.uint64(63))
-    high = (h >> np.uint64(6)) & np.uint64(1) == 1
-    sig1 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts)
-    sig2 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts)
+def postings(texts: list[str], docs: np.ndarray, counts: np.ndarray, p: Params) -> dict[str, np.ndarray]:
+    """Prefix postings of all lines that are compared, equal lines of the batch once."""
+    first: dict[str, tuple[int, int]] = {}
+    for doc, text in zip(docs.tolist(), texts, strict=True):
+        for number, line in enumerate(text.lower().split("\n")):
+            place = (doc, number)
+            if first.setdefault(line, place) > place:
+                first[line] = place
+    lines = [(line, place, words) for line, place in first.items() if len(words := set(line.split())) >= p.least_words]
+    size = np.fromiter((len(w) for _, _, w in lines), np.int64, len(lines))
+    at: dict[str, int] = {}
+    ids = np.fromiter((at.setdefault(w, len(at)) for _, _, words in lines for w in words), np.int64, int(size.sum()))
+    h = word_hashes(list(at))
+    n = counts[(h % np.uint64(p.slots)).astype(np.int64)]
+    order = np.lexsort((h, n))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    h, n = h[order], n[order]
+    owner = np.repeat(np.arange(len(lines)), size)
+    packed = np.sort(owner * max(1, len(h)) + place[ids])
+    word = packed - owner * max(1, len(h))
+    starts = np.cumsum(size) - size
+    bits = np.uint64(1) << (mixed(h) & np.uint64(63))
+    sig = np.bitwise_xor.reduceat(bits[word], starts) if len(lines) else np.zeros(0, np.uint64)
+    rank = np.arange(len(word)) - starts[owner]
     prefix = size - -(-size * p.num // p.den) + 1
-    rank = np.arange(len(h)) - np.repeat(starts, size)
-    post = (rank < np.repeat(prefix, size)) & (count > 1)
-    upto = np.concatenate([[0], np.cumsum(post)])
-    lo, hi = upto[starts], upto[ends]
-    signed, places = h[post].view(np.int64), rank[post].astype(np.int32)
-    kept = np.flatnonzero(keep)
-    lines = line[starts[kept]]
+    post = np.flatnonzero((rank < prefix[owner]) & (n[word] > 1))
+    owner = owner[post]
     return {
-        "text": w.line_text[lines], "number": w.line_number[lines], "key": key[kept].view(np.int64), "size": size[kept],
-        "sig1": sig1[kept].view(np.int64), "sig2": sig2[kept].view(np.int64),
-        "words": [signed[a:b] for a, b in zip(lo[kept], hi[kept], strict=True)], "at": [places[a:b] for a, b in zip(lo[kept], hi[kept], strict=True)],
+        "word": h[word[post]], "line": np.fromiter((line_id(x) for x, _, _ in lines), np.int32, len(lines))[owner], "sig": sig[owner].view(np.int64),
+        "doc": np.fromiter((d for _, (d, _), _ in lines), np.int64, len(lines))[owner], "number": np.fromiter((k for _, (_, k), _ in lines), np.int32, len(lines))[owner],
+        "size": size[owner].astype(np.int32), "at": rank[post].astype(np.int32),
     }
 
 
-SET = "key bigint, doc bigint, version bigint, number bigint, size int, sig1 bigint, sig2 bigint, words array<bigint>, at array<int>"
+def long_lists(docs: DataFrame, counts: np.ndarray, p: Params) -> dict[int, int]:
+    """Shares for words whose lists a bounded sample of documents shows to be long."""
+    n = docs.count()
+    step = max(1, n // p.sample_rows)
+    rows = placed(docs).where(F.pmod(F.xxhash64("doc"), F.lit(step)) == 0).limit(2 * p.sample_rows).toPandas()
+    if not len(rows):
+        return {}
+    word, seen = np.unique(postings(list(rows["text"]), rows["doc"].to_numpy(), counts, p)["word"], return_counts=True)
+    expected = seen * (n / len(rows))
+    long = (expected > p.share) & (seen > 4)
+    return {int(w): int(-(-e // p.share)) for w, e in zip(word[long], expected[long], strict=True)}
 
 
-def occurrences(docs: DataFrame, counts: np.ndarray, p: Params) -> DataFrame:
-    """One row per compared line (schema SET)."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def posted(docs: DataFrame, counts: np.ndarray, shares: dict[int, int], p: Params) -> DataFrame:
+    """Rows of POSTS: postings by list bucket."""
+    spark = docs.sparkSession
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    shared = spark.sparkContext.broadcast((counts, shares))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, shares = shared.value
         for frame in batches:
             for part in parts_of(frame):
-                found = line_sets(list(part["text"]), shared.value, p)
-                text = np.asarray(found.pop("text"), np.int64)
-                place = {c: part[c].to_numpy()[text] for c in ("doc", "version")}
-                yield pd.DataFrame({"key": found["key"], **place, **{k: found[k] for k in ("number", "size", "sig1", "sig2", "words", "at")}})
+                x = postings(list(part["text"]), part["doc"].to_numpy(), counts, p)
+                if not len(x["word"]):
+                    continue
+                lists = mixed(x.pop("word") ^ np.uint64(0x5851F42D4C957F2D))
+                if shares:
+                    lists, x = dealt(lists, x, shares)
+                bucket = (lists >> np.uint64(32)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                a, b = spans(bucket[order])
+                x["list"] = (lists & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                x = {k: v[order] for k, v in x.items()}
+                yield pd.DataFrame({"bucket": bucket[order][a].astype(np.int32)} | {k: [v[s:e] for s, e in zip(a, b, strict=True)] for k, v in x.items()})
+
+    return placed(docs).mapInPandas(run, POSTS)
+
+
+def dealt(lists: np.ndarray, x: dict[str, np.ndarray], shares: dict[int, int]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Postings of long lists once for each pair of shares that their own share is in."""
+    ways = {int(mixed(np.array([w], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))[0]): n for w, n in shares.items()}
+    n = np.fromiter((ways.get(v, 1) for v in lists.tolist()), np.int64, len(lists))
+    row = np.repeat(np.arange(len(lists)), n)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    own = (mixed(x["sig"].view(np.uint64) + x["line"].view(np.uint32)) % n.astype(np.uint64)).astype(np.int64)[row]
+    pair = (np.minimum(own, other) * 65_537 + np.maximum(own, other) + 1).astype(np.uint64)
+    split = n[row] > 1
+    return np.where(split, mixed(lists[row] + pair), lists[row]), {k: v[row] for k, v in x.items()}
+
+
+def list_candidates(x: dict[str, np.ndarray], p: Params, most: int | None, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (later, earlier) of one bucket that pass the filters of a list.
+
+    ``x`` is sorted by list and place, equal lines of a list once.
+    """
+    starts, ends = spans(x["list"])
+    at = np.arange(len(x["list"]))
+    start = np.repeat(starts, ends - starts)
+    open_rows = at[at > start] if wanted is None else at[(at > start) & wanted]
+    found = np.zeros(len(at), np.int64)
+    xs, ys = [], []
+    # Earlier rows of the list in growing blocks from its start; rows with enough retire.
+    block, lo = 16, 0
+    while len(open_rows):
+        for i in range(0, len(open_rows), max(1, 2_000_000 // block)):
+            rows = open_rows[i : i + max(1, 2_000_000 // block)]
+            n = np.minimum(block, rows - start[rows] - lo)
+            later = np.repeat(rows, n)
+            earlier = start[later] + lo + np.arange(len(later)) - np.repeat(np.cumsum(n) - n, n)
+            ok = passes(x, later, earlier, p)
+            later, earlier = later[ok], earlier[ok]
+            if most is not None and len(later):
+                a, b = spans(later)
+                nth = np.arange(len(later)) - np.repeat(a, b - a) + found[later]
+                found[later[a]] += b - a
+                later, earlier = later[nth < most], earlier[nth < most]
+            xs.append(later)
+            ys.append(earlier)
+        lo += block
+        block = min(4 * block, 65_536)
+        open_rows = open_rows[open_rows - start[open_rows] > lo]
+        if most is not None:
+            open_rows = open_rows[found[open_rows] < most]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+
+
+def passes(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, p: Params) -> np.ndarray:
+    """Length, positional and signature filters; |A n B| must reach num/(num+den) (|A|+|B|)."""
+    a, b = x["size"][i].astype(np.int64), x["size"][j].astype(np.int64)
+    u, v = x["at"][i].astype(np.int64), x["at"][j].astype(np.int64)
+    need = -(-(a + b) * p.num // (p.num + p.den))
+    reach = 1 + np.minimum(a - u, b - v) - 1 + np.minimum(u, v)
+    differ = np.bitwise_count(x["sig"][i].view(np.uint64) ^ x["sig"][j].view(np.uint64))
+    apart = (x["doc"][i] != x["doc"][j]) | (x["number"][i] != x["number"][j])
+    return apart & (np.minimum(a, b) >= need) & (reach >= need) & (differ <= a + b - 2 * need)
+
+
+def candidates(posts: DataFrame, p: Params, most: int | None, only: DataFrame | None = None) -> DataFrame:
+    """Pairs of places (x later, y earlier) that pass the filters of some list.
+
+    ``most`` keeps that many earliest candidates of a line in each list; ``more`` tells that
+    the line may have others there. ``only`` (bucket, x place) holds the lines wanted in
+    each bucket.
+    """
+    names = ["list", "line", "sig", "doc", "number", "size", "at"]
+
+    def gather(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+        x = {c: np.concatenate(frame[c].to_list()) for c in names}
+        order = np.lexsort((x["line"], x["number"], x["doc"], x["list"]))
+        x = {c: v[order] for c, v in x.items()}
+        # Of equal lines in a list the earliest stays.
+        again = np.lexsort((np.arange(len(order)), x["size"], x["sig"], x["line"], x["list"]))
+        same = np.zeros(len(order), bool)
+        if len(order) > 1:
+            s, t = again[1:], again[:-1]
+            same[s] = (x["list"][s] == x["list"][t]) & (x["line"][s] == x["line"][t]) & (x["sig"][s] == x["sig"][t]) & (x["size"][s] == x["size"][t])
+        return {c: v[~same] for c, v in x.items()}
+
+    def pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, bucket: int) -> pd.DataFrame:
+        out = pd.DataFrame({f"{s}_{c}": x[c][k] for s, k in (("x", i), ("y", j)) for c in ("doc", "number", "line")})
+        # Only a line that has got all that it may from a list can have more there.
+        rows = np.unique(i, return_counts=True)
+        full = rows[0][rows[1] >= most] if most is not None else rows[0][:0]
+        out["more"] = np.isin(i, full)
+        out["bucket"] = np.int32(bucket)
+        return out.sort_values("more", ascending=False).drop_duplicates(out.columns[:6])
+
+    schema = f"{PLACE.format('x')}, {PLACE.format('y')}, more boolean, bucket int"
+    if only is None:
+
+        def work(frame: pd.DataFrame) -> pd.DataFrame:
+            x = gather(frame)
+            return pairs(x, *list_candidates(x, p, most, None), frame["bucket"].iloc[0])
+
+        found = posts.groupBy("bucket").applyInPandas(work, schema)
+    else:
 
-    return placed(docs).mapInPandas(run, SET)
+        def again(frame: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+            if not len(frame) or not len(want):
+                return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            x = gather(frame)
+            places = pd.MultiIndex.from_arrays([want["x_doc"], want["x_number"], want["x_line"]])
+            own = pd.MultiIndex.from_arrays([x["doc"], x["number"], x["line"]])
+            return pairs(x, *list_candidates(x, p, most, own.isin(places)), frame["bucket"].iloc[0])
 
+        found = posts.groupBy("bucket").cogroup(only.groupBy("bucket")).applyInPandas(again, schema)
+    return found
 
-def placed(docs: DataFrame) -> DataFrame:
-    """Columns doc, version (a hash of the text) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("version"), "text")
+
+def slots(doc: np.ndarray, number: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    """Slot of each place in the filter."""
+    h = mixed(doc.astype(np.int64).view(np.uint64) + mixed(number.astype(np.uint64) << np.uint64(32) ^ line.astype(np.int64).view(np.uint64)))
+    return (h % np.uint64(bits)).astype(np.int64)
+
+
+def bloom(places: DataFrame, bits: int) -> np.ndarray:
+    """Bit set of fixed size that holds the slot of every place (doc, number, line)."""
+    block = 1 << 15
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            slot = np.unique(slots(*(frame[c].to_numpy() for c in ("doc", "number", "line")), bits))
+            yield pd.DataFrame({"block": (slot // block).astype(np.int32), "bit": (slot % block).astype(np.int32)})
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(block, bool)
+        out[frame["bit"].to_numpy()] = True
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "held": [np.packbits(out).tobytes()]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    found = places.mapInPandas(spread, "block int, bit int").distinct().groupBy("block").applyInPandas(fill, "block int, held binary")
+    for at, held in found.collect():
+        out[at * block // 8 : (at + 1) * block // 8] = np.frombuffer(held, np.uint8)
+    return out
 
 
-def candidates(sets: DataFrame, p: Params, most: int | None, only: DataFrame | None = None) -> DataFrame:
-    """Pairs (later set, earlier set) that pass the filters of some posting list.
+def wanted_lines(docs: DataFrame, places: DataFrame, p: Params) -> DataFrame:
+    """Columns doc, number, line and words (the set) of the places, and of some others.
 
-    ``most`` keeps that many earliest candidates of a set in each list. ``only`` (key) names
-    the sets whose candidates are wanted.
+    Lines are picked while texts are read, by a filter of fixed size, so that no text is
+    shuffled; joins on the place drop what the filter lets pass beside.
     """
-    posts = sets.select("key", "doc", "version", "number", "size", "sig1", "sig2", F.posexplode("words").alias("i", "word"), "at")
-    posts = posts.select("key", "doc", "version", "number", "size", "sig1", "sig2", "word", F.get("at", F.col("i")).alias("at"))
-    if only is not None:
-        wanted = only.select("key", F.lit(True).alias("wanted"))
-        posts = posts.join(wanted, "key", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-        posts = posts.join(posts.where("wanted").select("word").distinct(), "word", "left_semi")
-    else:
-        posts = posts.withColumn("wanted", F.lit(True))
-    large = posts.groupBy("word").count().where(F.col("count") > p.share)
-    shares = large.select("word", F.ceil(F.col("count") * 2 / p.share).cast("int").alias("n"))
-    posts = posts.join(shares, "word", "left")
-    own = F.pmod(F.xxhash64("key"), F.col("n")).cast("int")
-    spread = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.xxhash64("word", F.least(o, own), F.greatest(o, own)))
-    posts = posts.withColumn("list", F.explode(F.when(F.col("n").isNull(), F.array(F.xxhash64("word"))).otherwise(spread))).drop("n", "word")
-    num, den = p.num, p.den
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["list", "doc", "version", "number"], kind="stable")
-        key, doc, version, number = (frame[c].to_numpy() for c in ("key", "doc", "version", "number"))
-        size, at = frame["size"].to_numpy(np.int64), frame["at"].to_numpy(np.int64)
-        s1, s2 = frame["sig1"].to_numpy().view(np.uint64), frame["sig2"].to_numpy().view(np.uint64)
-        wanted = frame["wanted"].to_numpy(bool)
-        xs, ys = [], []
-        starts, ends = spans(frame["list"].to_numpy())
-        n = ends - starts
-        small, large = n <= 64, n > 64
-        for i, j in list(_pairs(starts[small], n[small])) + list(_blocks(starts[large], ends[large])):
-            # j comes first; |A n B| >= num/(num+den) (|A|+|B|) must stay within reach.
-            need = -(-(size[i] + size[j]) * num // (num + den))
-            differ = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-            reach = 1 + np.minimum(size[i] - at[i] - 1, size[j] - at[j] - 1) + np.minimum(at[i], at[j])
-            ok = wanted[i] & (key[i] != key[j]) & (np.minimum(size[i], size[j]) >= need) & (reach >= need) & (differ <= size[i] + size[j] - 2 * need)
-            i, j = i[ok], j[ok]
-            if most is not None and len(i):
-                order = np.lexsort((j, i))
-                i, j = i[order], j[order]
-                a, b = spans(i)
-                nth = np.arange(len(i)) - np.repeat(a, b - a)
-                i, j = i[nth < most], j[nth < most]
-            xs.append(i)
-            ys.append(j)
-        i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        pairs = pd.DataFrame({"x": key[i], "y": key[j], "x_doc": doc[i], "x_version": version[i], "x_number": number[i], "y_doc": doc[j], "y_version": version[j], "y_number": number[j]})
-        return pairs.drop_duplicates(["x", "y"])
-
-    pairs = map_groups(posts, "list", work, "x bigint, y bigint, x_doc bigint, x_version bigint, x_number bigint, y_doc bigint, y_version bigint, y_number bigint")
-    return pairs.dropDuplicates(["x", "y"])
-
-
-def _pairs(starts: np.ndarray, n: np.ndarray, most: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (later, earlier) of many short runs, about ``most`` at a time."""
-    counts = n * (n - 1) // 2
-    total = np.cumsum(counts)
-    at = 0
-    while at < len(n):
-        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
-        run = np.repeat(np.arange(at, upto), counts[at:upto])
-        k = np.arange(len(run)) - np.repeat(np.cumsum(counts[at:upto]) - counts[at:upto], counts[at:upto])
-        later = ((1 + np.sqrt(8.0 * k + 1)) / 2).astype(np.int64)
-        later -= later * (later - 1) // 2 > k
-        later += (later + 1) * later // 2 <= k
-        yield starts[run] + later, starts[run] + k - later * (later - 1) // 2
-        at = upto
-
-
-def _blocks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same for long runs, a few hundred later rows at a time."""
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        step = max(1, 2_000_000 // (e - s))
-        for a in range(s, e, step):
-            later = np.repeat(np.arange(a, min(a + step, e)), e - s)
-            earlier = np.tile(np.arange(s, e), min(a + step, e) - a)
-            ok = earlier < later
-            yield later[ok], earlier[ok]
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(places, p.bloom_bits))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for frame in batches:
+            for part in parts_of(frame):
+                texts = [t.lower().split("\n") for t in part["text"]]
+                n = np.fromiter(map(len, texts), np.int64, len(texts))
+                flat = [line for t in texts for line in t]
+                doc = np.repeat(part["doc"].to_numpy(), n)
+                number = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                line = np.fromiter(map(line_id, flat), np.int64, len(flat))
+                slot = slots(doc, number, line, p.bloom_bits)
+                hit = np.flatnonzero(held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                if len(hit):
+                    words = [sorted(set(flat[i].split())) for i in hit]
+                    yield pd.DataFrame({"doc": doc[hit], "number": number[hit], "line": line[hit], "words": words})
+
+    return placed(docs).mapInPandas(run, "doc bigint, number int, line int, words array<string>").dropDuplicates(["doc", "number", "line"])
+
+
+X, Y = ["x_doc", "x_number", "x_line"], ["y_doc", "y_number", "y_line"]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """Pairs whose lines are similar, by their words; adds column ``similar``."""
-    places = pairs.select(F.col("x").alias("key"), F.col("x_doc").alias("doc"), F.col("x_version").alias("version"), F.col("x_number").alias("number"))
-    places = places.union(pairs.select("y", "y_doc", "y_version", "y_number")).distinct()
-    wanted = places.groupBy("doc", "version").agg(F.collect_list(F.struct("number", "key")).alias("wanted"))
-    texts = placed(docs).join(wanted, ["doc", "version"])
-    lines = F.split("text", "\n")
-    found = texts.select(F.explode("wanted").alias("w"), lines.alias("lines")).select("w.key", F.get("lines", F.col("w.number").cast("int")).alias("line"))
-    # Lower case and white space as in Words: ASCII blanks part the words.
-    sets = found.where("line is not null").select("key", F.array_distinct(F.filter(F.split(F.lower("line"), "[ \t\u000b\f\r]+"), lambda x: x != "")).alias("set"))
-    sets = sets.groupBy("key").agg(F.max("set").alias("set"))
-    sets = checkpoint(sets)
-    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("key").alias("y"), F.col("set").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    return both.select("x", "y", (common * (p.num + p.den) >= (F.size("sx") + F.size("sy")) * p.num).alias("similar"))
-
-
-def similar_sets(sets: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """Keys of sets that have a similar earlier set."""
-    pairs = checkpoint(candidates(sets, p, p.first_candidates))
-    judged = checkpoint(verified(pairs, docs, p).groupBy("x").agg(F.max("similar").alias("similar")))
-    done = judged.where("similar").select(F.col("x").alias("key"))
-    open_sets = checkpoint(judged.where("not similar").select(F.col("x").alias("key")))
-    if open_sets.isEmpty():
+    """Later places of ``pairs`` with ``similar``: whether one of their candidates is."""
+    pairs = pairs.select(*X, *Y).distinct()
+    places = pairs.select(*X).toDF("doc", "number", "line").union(pairs.select(*Y)).distinct()
+    lines = checkpoint(wanted_lines(docs, places, p))
+    both = pairs.join(lines.toDF(*X, "x_words"), X).join(lines.toDF(*Y, "y_words"), Y)
+    common = F.size(F.array_intersect("x_words", "y_words"))
+    similar = common * (p.num + p.den) >= (F.size("x_words") + F.size("y_words")) * p.num
+    return both.groupBy(*X).agg(F.max(similar).alias("similar"))
+
+
+def similar_lines(docs: DataFrame, p: Params) -> DataFrame:
+    """Places (doc, number, line) of lines with a similar earlier line that is not equal."""
+    counts = rarity(docs, p)
+    posts = posted(docs, counts, long_lists(docs, counts, p), p)
+    pairs = checkpoint(candidates(posts, p, p.first_candidates))
+    judged = checkpoint(verified(pairs, docs, p))
+    names = ["doc", "number", "line"]
+    done = judged.where("similar").select(*X).toDF(*names)
+    rest = pairs.where("more").join(judged.where("not similar").select(*X), X).select("bucket", *X).distinct()
+    rest = checkpoint(rest)
+    if rest.isEmpty():
         return done
-    rest = checkpoint(candidates(sets, p, None, open_sets))
-    more = verified(rest, docs, p).where("similar").select(F.col("x").alias("key")).distinct()
-    return done.union(more)
+    more = verified(checkpoint(candidates(posts, p, None, rest)), docs, p)
+    return done.union(more.where("similar").select(*X).toDF(*names))
 
 
-def removed_lines(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Columns doc, version and removed: the numbers (from 0) of lines that go, for documents with any."""
-    counts = rarity(docs, p)
-    lines = materialize(occurrences(docs, counts, p))
-    first = lines.groupBy("key").agg(F.min(F.struct("doc", "version", "number", "size", "sig1", "sig2", "words", "at")).alias("f"), F.count("*").alias("n"))
-    first = materialize(first.select("key", "f.*", "n"))
-    later = similar_sets(first.where(F.size("words") > 0).drop("n"), docs, p).withColumn("later", F.lit(True))
-    marked = first.select("key", F.struct("doc", "version", "number").alias("first"), "n").join(later, "key", "left")
-    marked = marked.where("n > 1 or later").drop("n")
-    hits = lines.select("key", "doc", "version", "number").join(marked, "key")
-    hits = hits.where(F.coalesce("later", F.lit(False)) | (F.struct("doc", "version", "number") > F.col("first")))
-    return hits.groupBy("doc", "version").agg(F.array_sort(F.collect_set("number")).alias("removed"))
+def equal_lines(docs: DataFrame) -> DataFrame:
+    """Places (doc, number) and crc32 of lines that an earlier line equals, short ones too."""
+    lines = placed(docs).select("doc", F.posexplode(F.split(F.lower("text"), "\n")).alias("number", "line"))
+    lines = lines.where("line <> ''").select("doc", "number", F.xxhash64("line").alias("h"), F.crc32("line").alias("g"))
+    lines = materialize(lines)
+    place = F.col("doc").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("number").cast("decimal(10,0)")
+    placed_lines = lines.withColumn("place", place)
+    first = placed_lines.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return placed_lines.join(first, ["h", "g"]).where("place > first").select("doc", "number", "g")
+
+
+def is_equal(line: str, crc: int, least: int) -> bool:
+    """Whether a flagged line is the one that was compared, and has enough words."""
+    return crc32(line.encode()) == crc and len(set(line.split())) >= least
 
 
 def dedup_lines(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """All columns of ``docs`` with text without the lines that go, and n_lines, n_removed."""
-    gone = removed_lines(docs.select("doc_id", "text"), p)
-    clash = [c for c in ("n_lines", "n_removed") if c in docs.columns]
-    rows = docs.drop(*clash).withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "__version": F.xxhash64("text")})
-    rows = rows.join(gone.toDF("__doc", "__version", "__removed"), ["__doc", "__version"], "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__removed", i.cast("bigint")), x)), lambda x: x.isNotNull())
-    rows = rows.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__removed"), F.lit(0)).cast("long")})
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("text", text).select(*docs.drop(*clash).columns, "n_lines", "n_removed")
+    near = similar_lines(docs, p).groupBy("doc").agg(F.collect_list(F.struct("number", "line")).alias("__near"))
+    equal = equal_lines(docs).distinct().groupBy("doc").agg(F.collect_list(F.struct("number", "g")).alias("__equal"))
+    gone = near.join(equal, "doc", "full").withColumnRenamed("doc", "__doc")
+    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))).join(gone, "__doc", "left")
+    least = p.least_words
+
+    def clean(batch: pa.RecordBatch) -> dict[str, list]:
+        text, n_lines, n_removed = [], [], []
+        for t, near, equal in zip(*(batch.column(c).to_pylist() for c in ("text", "__near", "__equal")), strict=True):
+            lines = t.split("\n") if t is not None else []
+            drop = set()
+            if lines and (near or equal):
+                low = t.lower().split("\n")
+                drop = {x["number"] for x in near or () if x["number"] < len(low) and line_id(low[x["number"]]) == x["line"]}
+                drop |= {x["number"] for x in equal or () if x["number"] < len(low) and is_equal(low[x["number"]], x["g"], least)}
+            text.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else t)
+            n_lines.append(len(lines))
+            n_removed.append(len(drop))
+        return {"text": text, "n_lines": n_lines, "n_removed": n_removed}
+
+    kinds = f"text {docs.schema['text'].dataType.simpleString()}, n_lines bigint, n_removed bigint"
+    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return add_columns(rows, clean, kinds, drop=("__doc", "__near", "__equal")).select(*order, "n_lines", "n_removed")

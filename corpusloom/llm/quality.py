@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.arrowmap import add_columns
+from corpusloom.sampling import hash_sample
 
 # Frequent function words of the corpus languages.
 FUNCTION_WORDS = set("the of and to in a is that it for on was as with be by der die und das ist von zu den mit sich de la le les et en du des un une que el los las y por con una se".split())
@@ -34,7 +35,7 @@ FUNCTION_WORDS = set("the of and to in a is that it for on was as with be by der
 
 @dataclass(frozen=True)
 class Params:
-    """``sample_rows`` bounds the documents that the scorer is fitted on."""
+    """``sample_rows`` sets how many documents the scorer is fitted on (twice that at most)."""
 
     sample_rows: int = 4000
     slots: int = 1 << 16
@@ -211,7 +212,8 @@ def classify(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
         return spark.createDataFrame([], f"`{id_col}` {kind}, votes int, posterior double, score double, keep boolean")
     post, _, _ = fit_votes(seen["votes"].to_numpy(), seen["count"].to_numpy(float), p.em_rounds)
     posterior = dict(zip(seen["votes"].tolist(), post.tolist(), strict=True))
-    sample = rows.orderBy(F.xxhash64(id_col), F.xxhash64("__text")).limit(p.sample_rows).toPandas()
+    sample = hash_sample(rows, p.sample_rows, [id_col, "__text"], int(seen["count"].sum())).toPandas()
+    sample = sample.sort_values([id_col, "__text"], na_position="first")
     known = [Document(t) for t in sample["__text"]]
     soft = np.array([posterior[d.pattern()] for d in known])
     shared = spark.sparkContext.broadcast((fit_scorer(known, soft, p), posterior))

@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.arrowmap import add_columns
+from corpusloom.sampling import hash_sample
 
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds and sizes; the first three bound what the driver holds."""
+    """Bounds and sizes; the first three bound what the driver holds (rows: twice that at most)."""
 
-    toxic_rows: int = 1200
-    clean_rows: int = 1800
+    toxic_rows: int = 1000
+    clean_rows: int = 1500
     train_windows: int = 12_000
     vocabulary: int = 20_000
     least_count: int = 4
@@ -353,12 +354,12 @@ def in_fold(id_col: str = "doc_id", folds: int = 5):
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    """Train on a bounded sample, by hash order, of labelled rows that are not held out."""
+    """Train on a bounded sample, by hash, of labelled rows that are not held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~in_fold()).select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(p.toxic_rows).union(known.where("toxic = 0").orderBy(*order).limit(p.clean_rows))
+    sample = hash_sample(known.where("toxic = 1"), p.toxic_rows, ["doc_id"], ones)
+    sample = sample.union(hash_sample(known.where("toxic = 0"), p.clean_rows, ["doc_id"], n - ones))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toPandas()
     rows = rows.sort_values(["doc_id", "text"], na_position="first").reset_index(drop=True)
     return train(rows, ones / n if n else 0.0, p)
