@@ -5,8 +5,9 @@ size counts the words of the whole corpus by hash slot, and ties go by hash, whi
 total order for all lines. Two lines of Jaccard similarity t or more share a word among the
 first ``n - ceil(t n) + 1`` of each, so only those words enter posting lists. Within a list
 the length filter, the positional filter and the parity signature (each word flips one of 64
-bits; sets that differ in d words differ in d bits at most) leave few pairs, which are
-verified on the words themselves. A line goes if an earlier line, by (id, line number), is
+bits; sets that differ in d words differ in d bits at most) leave few pairs. A parity sketch
+of 1024 bits, which tells long lines apart too, thins those out, and the rest is verified on
+the words themselves. A line goes if an earlier line, by (id, line number), is
 similar; the earlier line need not be kept itself.
 
 Postings travel as arrays, one row a list bucket and batch. Words that occur once in the
@@ -46,7 +47,8 @@ class Params:
     """Similarity is ``num / den``; ``slots`` is the fixed size of the rarity table.
 
     ``sample_rows`` bounds the documents by which long lists are foreseen, ``bloom_bits``
-    the filter that picks lines to verify.
+    the filter that picks lines to verify. Of a list a line first sends ``first_candidates``,
+    or ``long_candidates`` if it has over ``long_words`` words, for which the signature says less.
     """
 
     num: int = 4
@@ -56,6 +58,8 @@ class Params:
     share: int = 20_000
     sample_rows: int = 1000
     first_candidates: int = 4
+    long_candidates: int = 16
+    long_words: int = 64
     bloom_bits: int = 1 << 25
 
 
@@ -177,14 +181,19 @@ def long_lists(docs: DataFrame, counts: np.ndarray, p: Params) -> dict[int, int]
     return {int(w): int(-(-e // p.share)) for w, e in zip(word[long], expected[long], strict=True)}
 
 
-def posted(docs: DataFrame, counts: np.ndarray, shares: dict[int, int], p: Params) -> DataFrame:
-    """Rows of POSTS: postings by list bucket."""
+def posted(docs: DataFrame, counts: np.ndarray, shares: dict[int, int], p: Params, only: DataFrame | None = None) -> DataFrame:
+    """Rows of POSTS: postings by list bucket.
+
+    ``only`` (bucket, list) names lists that are wanted; a filter of fixed size leaves those
+    and some others.
+    """
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    shared = spark.sparkContext.broadcast((counts, shares))
+    wanted = None if only is None else bloom(only.select(F.col("bucket").cast("bigint").alias("doc"), F.col("list").alias("number"), F.lit(0).alias("line")), p.bloom_bits)
+    shared = spark.sparkContext.broadcast((counts, shares, wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, shares = shared.value
+        counts, shares, wanted = shared.value
         for frame in batches:
             for part in parts_of(frame):
                 x = postings(list(part["text"]), part["doc"].to_numpy(), counts, p)
@@ -194,9 +203,15 @@ def posted(docs: DataFrame, counts: np.ndarray, shares: dict[int, int], p: Param
                 if shares:
                     lists, x = dealt(lists, x, shares)
                 bucket = (lists >> np.uint64(32)).astype(np.int64) % buckets
+                x["list"] = (lists & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                if wanted is not None:
+                    slot = slots(bucket, x["list"], np.zeros(len(bucket), np.int64), p.bloom_bits)
+                    held = np.flatnonzero(wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                    if not len(held):
+                        continue
+                    bucket, x = bucket[held], {k: v[held] for k, v in x.items()}
                 order = np.argsort(bucket, kind="stable")
                 a, b = spans(bucket[order])
-                x["list"] = (lists & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 x = {k: v[order] for k, v in x.items()}
                 yield pd.DataFrame({"bucket": bucket[order][a].astype(np.int32)} | {k: [v[s:e] for s, e in zip(a, b, strict=True)] for k, v in x.items()})
 
@@ -215,10 +230,11 @@ def dealt(lists: np.ndarray, x: dict[str, np.ndarray], shares: dict[int, int]) -
     return np.where(split, mixed(lists[row] + pair), lists[row]), {k: v[row] for k, v in x.items()}
 
 
-def list_candidates(x: dict[str, np.ndarray], p: Params, most: int | None, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def list_candidates(x: dict[str, np.ndarray], p: Params, most: np.ndarray | None, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows (later, earlier) of one bucket that pass the filters of a list.
 
-    ``x`` is sorted by list and place, equal lines of a list once.
+    ``x`` is sorted by list and place, equal lines of a list once; ``most`` limits the
+    candidates of each row.
     """
     starts, ends = spans(x["list"])
     at = np.arange(len(x["list"]))
@@ -240,14 +256,15 @@ def list_candidates(x: dict[str, np.ndarray], p: Params, most: int | None, wante
                 a, b = spans(later)
                 nth = np.arange(len(later)) - np.repeat(a, b - a) + found[later]
                 found[later[a]] += b - a
-                later, earlier = later[nth < most], earlier[nth < most]
+                few = nth < most[later]
+                later, earlier = later[few], earlier[few]
             xs.append(later)
             ys.append(earlier)
         lo += block
         block = min(4 * block, 65_536)
         open_rows = open_rows[open_rows - start[open_rows] > lo]
         if most is not None:
-            open_rows = open_rows[found[open_rows] < most]
+            open_rows = open_rows[found[open_rows] < most[open_rows]]
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *xs]), np.concatenate([none, *ys])
 
@@ -263,12 +280,11 @@ def passes(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, p: Params) ->
     return apart & (np.minimum(a, b) >= need) & (reach >= need) & (differ <= a + b - 2 * need)
 
 
-def candidates(posts: DataFrame, p: Params, most: int | None, only: DataFrame | None = None) -> DataFrame:
+def candidates(posts: DataFrame, p: Params, only: DataFrame | None = None) -> DataFrame:
     """Pairs of places (x later, y earlier) that pass the filters of some list.
 
-    ``most`` keeps that many earliest candidates of a line in each list; ``more`` tells that
-    the line may have others there. ``only`` (bucket, x place) holds the lines wanted in
-    each bucket.
+    A line keeps its earliest candidates in each list; ``more`` tells that it may have others
+    there. ``only`` (bucket, x place) holds the lines of which all candidates are wanted.
     """
     names = ["list", "line", "sig", "doc", "number", "size", "at"]
 
@@ -284,21 +300,24 @@ def candidates(posts: DataFrame, p: Params, most: int | None, only: DataFrame |
             same[s] = (x["list"][s] == x["list"][t]) & (x["line"][s] == x["line"][t]) & (x["sig"][s] == x["sig"][t]) & (x["size"][s] == x["size"][t])
         return {c: v[~same] for c, v in x.items()}
 
-    def pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, bucket: int) -> pd.DataFrame:
+    def pairs(x: dict[str, np.ndarray], most: np.ndarray | None, found: tuple[np.ndarray, np.ndarray], bucket: int) -> pd.DataFrame:
+        i, j = found
         out = pd.DataFrame({f"{s}_{c}": x[c][k] for s, k in (("x", i), ("y", j)) for c in ("doc", "number", "line")})
         # Only a line that has got all that it may from a list can have more there.
         rows = np.unique(i, return_counts=True)
-        full = rows[0][rows[1] >= most] if most is not None else rows[0][:0]
+        full = rows[0][rows[1] >= most[rows[0]]] if most is not None else rows[0][:0]
         out["more"] = np.isin(i, full)
-        out["bucket"] = np.int32(bucket)
-        return out.sort_values("more", ascending=False).drop_duplicates(out.columns[:6])
+        out["bucket"], out["list"] = np.int32(bucket), x["list"][i]
+        # A pair stays once, and once for each list in which its line may have more.
+        return pd.concat([out[out["more"]], out[~out["more"]].drop_duplicates(out.columns[:6])])
 
-    schema = f"{PLACE.format('x')}, {PLACE.format('y')}, more boolean, bucket int"
+    schema = f"{PLACE.format('x')}, {PLACE.format('y')}, more boolean, bucket int, list int"
     if only is None:
 
         def work(frame: pd.DataFrame) -> pd.DataFrame:
             x = gather(frame)
-            return pairs(x, *list_candidates(x, p, most, None), frame["bucket"].iloc[0])
+            most = np.where(x["size"] > p.long_words, p.long_candidates, p.first_candidates)
+            return pairs(x, most, list_candidates(x, p, most, None), frame["bucket"].iloc[0])
 
         found = posts.groupBy("bucket").applyInPandas(work, schema)
     else:
@@ -309,7 +328,7 @@ def candidates(posts: DataFrame, p: Params, most: int | None, only: DataFrame |
             x = gather(frame)
             places = pd.MultiIndex.from_arrays([want["x_doc"], want["x_number"], want["x_line"]])
             own = pd.MultiIndex.from_arrays([x["doc"], x["number"], x["line"]])
-            return pairs(x, *list_candidates(x, p, most, own.isin(places)), frame["bucket"].iloc[0])
+            return pairs(x, None, list_candidates(x, p, None, own.isin(places)), frame["bucket"].iloc[0])
 
         found = posts.groupBy("bucket").cogroup(only.groupBy("bucket")).applyInPandas(again, schema)
     return found
@@ -343,7 +362,7 @@ def bloom(places: DataFrame, bits: int) -> np.ndarray:
 
 
 def wanted_lines(docs: DataFrame, places: DataFrame, p: Params) -> DataFrame:
-    """Columns doc, number, line and words (the set) of the places, and of some others.
+    """Columns doc, number, line, size, sketch and words (the set) of the places, and of some others.
 
     Lines are picked while texts are read, by a filter of fixed size, so that no text is
     shuffled; joins on the place drop what the filter lets pass beside.
@@ -364,39 +383,61 @@ def wanted_lines(docs: DataFrame, places: DataFrame, p: Params) -> DataFrame:
                 hit = np.flatnonzero(held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
                 if len(hit):
                     words = [sorted(set(flat[i].split())) for i in hit]
-                    yield pd.DataFrame({"doc": doc[hit], "number": number[hit], "line": line[hit], "words": words})
+                    size = np.fromiter(map(len, words), np.int32, len(words))
+                    yield pd.DataFrame({"doc": doc[hit], "number": number[hit], "line": line[hit], "size": size, "sketch": list(sketches(words, size)), "words": words})
 
-    return placed(docs).mapInPandas(run, "doc bigint, number int, line int, words array<string>").dropDuplicates(["doc", "number", "line"])
+    return placed(docs).mapInPandas(run, "doc bigint, number int, line int, size int, sketch array<bigint>, words array<string>")
+
+
+def sketches(words: list[list[str]], size: np.ndarray) -> np.ndarray:
+    """Rows of 16 longs: each word of a set flips one of 1024 bits."""
+    at: dict[str, int] = {}
+    ids = np.fromiter((at.setdefault(w, len(at)) for ws in words for w in ws), np.int64, int(size.sum()))
+    bit = (mixed(word_hashes(list(at))) >> np.uint64(6)) % np.uint64(1024)
+    cell = np.repeat(np.arange(len(words)), size) * 1024 + bit[ids].astype(np.int64)
+    odd = np.bincount(cell, minlength=1024 * len(words)).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, 1024), axis=1, bitorder="little").view(np.int64)
 
 
-X, Y = ["x_doc", "x_number", "x_line"], ["y_doc", "y_number", "y_line"]
+PLACES, X, Y = ["doc", "number", "line"], ["x_doc", "x_number", "x_line"], ["y_doc", "y_number", "y_line"]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """Later places of ``pairs`` with ``similar``: whether one of their candidates is."""
     pairs = pairs.select(*X, *Y).distinct()
-    places = pairs.select(*X).toDF("doc", "number", "line").union(pairs.select(*Y)).distinct()
-    lines = checkpoint(wanted_lines(docs, places, p))
-    both = pairs.join(lines.toDF(*X, "x_words"), X).join(lines.toDF(*Y, "y_words"), Y)
+    places = pairs.select(*X).toDF(*PLACES).union(pairs.select(*Y)).distinct()
+    lines = materialize(wanted_lines(docs, places, p))
+    drawn = lines.select(*PLACES, "size", "sketch").dropDuplicates(PLACES)
+    both = pairs.join(drawn.toDF(*X, "x_size", "x_sketch"), X).join(drawn.toDF(*Y, "y_size", "y_sketch"), Y)
+    total = F.col("x_size") + F.col("y_size")
+    # Sets of similarity num / den differ in total * (den - num) / (num + den) words at most.
+    allowed = F.floor(total * (p.den - p.num) / F.lit(p.num + p.den))
+    differ = F.aggregate(F.zip_with("x_sketch", "y_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    near = materialize(both.where(differ <= allowed).select(*X, *Y))
+    left = near.select(*X).toDF(*PLACES).union(near.select(*Y)).distinct()
+    words = lines.select(*PLACES, "words").join(left, PLACES, "left_semi").dropDuplicates(PLACES)
+    both = near.join(words.toDF(*X, "x_words"), X).join(words.toDF(*Y, "y_words"), Y)
     common = F.size(F.array_intersect("x_words", "y_words"))
     similar = common * (p.num + p.den) >= (F.size("x_words") + F.size("y_words")) * p.num
-    return both.groupBy(*X).agg(F.max(similar).alias("similar"))
+    found = both.where(similar).select(*X, F.lit(True).alias("found")).distinct()
+    return pairs.select(*X).distinct().join(found, X, "left").select(*X, F.coalesce("found", F.lit(False)).alias("similar"))
 
 
 def similar_lines(docs: DataFrame, p: Params) -> DataFrame:
     """Places (doc, number, line) of lines with a similar earlier line that is not equal."""
     counts = rarity(docs, p)
-    posts = posted(docs, counts, long_lists(docs, counts, p), p)
-    pairs = checkpoint(candidates(posts, p, p.first_candidates))
-    judged = checkpoint(verified(pairs, docs, p))
-    names = ["doc", "number", "line"]
-    done = judged.where("similar").select(*X).toDF(*names)
-    rest = pairs.where("more").join(judged.where("not similar").select(*X), X).select("bucket", *X).distinct()
+    shares = long_lists(docs, counts, p)
+    posts = posted(docs, counts, shares, p)
+    pairs = materialize(candidates(posts, p))
+    judged = materialize(verified(pairs, docs, p))
+    done = judged.where("similar").select(*X).toDF(*PLACES)
+    rest = pairs.where("more").join(judged.where("not similar").select(*X), X).select("bucket", "list", *X).distinct()
     rest = checkpoint(rest)
     if rest.isEmpty():
         return done
-    more = verified(checkpoint(candidates(posts, p, None, rest)), docs, p)
-    return done.union(more.where("similar").select(*X).toDF(*names))
+    left = posted(docs, counts, shares, p, rest.select("bucket", "list").distinct())
+    more = verified(materialize(candidates(left, p, rest.select("bucket", *X).distinct())), docs, p)
+    return done.union(more.where("similar").select(*X).toDF(*PLACES))
 
 
 def equal_lines(docs: DataFrame) -> DataFrame:
