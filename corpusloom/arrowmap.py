@@ -6,17 +6,29 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
+#: Rows of an Arrow batch at most, so that a batch of long texts stays small in a worker.
+BATCH_ROWS = 2000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS; a lower setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_CONF, "10000")) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, Sequence[Any]]], added: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` less ``drop`` with the columns of ``added`` (a DDL schema) from ``make``.
 
-    ``make`` gets each Arrow batch and returns the new columns; all others stay in Arrow, so
+    ``make`` gets each Arrow batch (of BATCH_ROWS rows at most) and returns the new columns; all others stay in Arrow, so
     no type and no null is changed on the way. A new column replaces one of its name.
     """
+    bound_batches(df.sparkSession)
     new = StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name not in drop and f.name not in new.names]
     types = {f.name: to_arrow_type(f.dataType) for f in new.fields}
