@@ -27,7 +27,7 @@ from corpusloom.arrowmap import add_columns
 #: Longest piece, in bytes, that goes into a matrix.
 LONGEST = 256
 #: Pieces remembered by a worker; the memory is emptied when full.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -220,7 +220,7 @@ class _Shared:
         return self.cast.value
 
 
-def slices(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts with about ``chars`` characters together, at least a text each."""
     held, total = [], 0
     for t in texts:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.arrowmap import add_columns
+from corpusloom.arrowmap import add_columns, bound_batches
 from corpusloom.grouping import spans
 from corpusloom.storage import checkpoint, materialize
 
@@ -94,6 +94,7 @@ def parts_of(frame: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFra
 
 def placed(docs: DataFrame) -> DataFrame:
     """Columns doc and text of documents that have a text."""
+    bound_batches(docs.sparkSession)
     return docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc"), "text")
 
 
