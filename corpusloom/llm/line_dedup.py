@@ -5,8 +5,8 @@ size counts the words of the whole corpus by hash slot, and ties go by hash, whi
 total order for all lines. Two lines of Jaccard similarity t or more share a word among the
 first ``n - ceil(t n) + 1`` of each, so only those words enter posting lists. Within a list
 the length filter, the positional filter and the parity signature (each word flips one of 64
-bits; sets that differ in d words differ in d bits at most) leave few pairs. A parity sketch
-of 1024 bits, which tells long lines apart too, thins those out, and the rest is verified on
+bits, of one of 256 for long lines; sets that differ in d words differ in d bits at most)
+leave few pairs. A parity sketch of 1024 bits, for the longest lines, thins those out, and the rest is verified on
 the words themselves. A line goes if an earlier line, by (id, line number), is
 similar; the earlier line need not be kept itself.
 
@@ -64,7 +64,7 @@ class Params:
 
 
 NULL_ID = -(2**63)
-POSTS = "bucket int, list array<int>, line array<int>, sig array<bigint>, doc array<bigint>, number array<int>, size array<int>, at array<int>"
+POSTS = "bucket int, list array<int>, line array<int>, sig array<bigint>, wide array<bigint>, doc array<bigint>, number array<int>, size array<int>, at array<int>"
 PLACE = "{0}_doc bigint, {0}_number int, {0}_line int"
 
 
@@ -156,14 +156,17 @@ def postings(texts: list[str], docs: np.ndarray, counts: np.ndarray, p: Params)
     packed = np.sort(owner * max(1, len(h)) + place[ids])
     word = packed - owner * max(1, len(h))
     starts = np.cumsum(size) - size
-    bits = np.uint64(1) << (mixed(h) & np.uint64(63))
-    sig = np.bitwise_xor.reduceat(bits[word], starts) if len(lines) else np.zeros(0, np.uint64)
+    spot = mixed(h) & np.uint64(255)
+    bits = np.where(np.arange(4) == (spot >> np.uint64(6))[:, None], (np.uint64(1) << (spot & np.uint64(63)))[:, None], np.uint64(0))
+    wide = np.bitwise_xor.reduceat(bits[word], starts, axis=0) if len(lines) else np.zeros((0, 4), np.uint64)
+    # The signature of 64 bits folds the wide one, so three words of that come beside it.
+    sig = np.bitwise_xor.reduce(wide, axis=1)
     rank = np.arange(len(word)) - starts[owner]
     prefix = size - -(-size * p.num // p.den) + 1
     post = np.flatnonzero((rank < prefix[owner]) & (n[word] > 1))
     owner = owner[post]
     return {
-        "word": h[word[post]], "line": np.fromiter((line_id(x) for x, _, _ in lines), np.int32, len(lines))[owner], "sig": sig[owner].view(np.int64),
+        "word": h[word[post]], "line": np.fromiter((line_id(x) for x, _, _ in lines), np.int32, len(lines))[owner], "sig": sig[owner].view(np.int64), "wide": np.ascontiguousarray(wide[:, :3])[owner].view(np.int64),
         "doc": np.fromiter((d for _, (d, _), _ in lines), np.int64, len(lines))[owner], "number": np.fromiter((k for _, (_, k), _ in lines), np.int32, len(lines))[owner],
         "size": size[owner].astype(np.int32), "at": rank[post].astype(np.int32),
     }
@@ -214,7 +217,9 @@ def posted(docs: DataFrame, counts: np.ndarray, shares: dict[int, int], p: Param
                 order = np.argsort(bucket, kind="stable")
                 a, b = spans(bucket[order])
                 x = {k: v[order] for k, v in x.items()}
-                yield pd.DataFrame({"bucket": bucket[order][a].astype(np.int32)} | {k: [v[s:e] for s, e in zip(a, b, strict=True)] for k, v in x.items()})
+                flat = [x["wide"][s:e][x["size"][s:e] > p.long_words].ravel() for s, e in zip(a, b, strict=True)]
+                del x["wide"]
+                yield pd.DataFrame({"bucket": bucket[order][a].astype(np.int32)} | {k: [v[s:e] for s, e in zip(a, b, strict=True)] for k, v in x.items()} | {"wide": flat})[[c.split()[0] for c in POSTS.split(", ")]]
 
     return placed(docs).mapInPandas(run, POSTS)
 
@@ -276,9 +281,15 @@ def passes(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, p: Params) ->
     u, v = x["at"][i].astype(np.int64), x["at"][j].astype(np.int64)
     need = -(-(a + b) * p.num // (p.num + p.den))
     reach = 1 + np.minimum(a - u, b - v) - 1 + np.minimum(u, v)
-    differ = np.bitwise_count(x["sig"][i].view(np.uint64) ^ x["sig"][j].view(np.uint64))
+    fold = x["sig"][i].view(np.uint64) ^ x["sig"][j].view(np.uint64)
     apart = (x["doc"][i] != x["doc"][j]) | (x["number"][i] != x["number"][j])
-    return apart & (np.minimum(a, b) >= need) & (reach >= need) & (differ <= a + b - 2 * need)
+    ok = apart & (np.minimum(a, b) >= need) & (reach >= need) & (np.bitwise_count(fold) <= a + b - 2 * need)
+    both = np.flatnonzero(ok & (np.minimum(a, b) > p.long_words))
+    parts = x["wide"][i[both]].view(np.uint64) ^ x["wide"][j[both]].view(np.uint64)
+    last = fold[both] ^ np.bitwise_xor.reduce(parts, axis=1)
+    differ = np.bitwise_count(parts).sum(axis=1, dtype=np.int64) + np.bitwise_count(last)
+    ok[both] = differ <= (a + b - 2 * need)[both]
+    return ok
 
 
 def candidates(posts: DataFrame, p: Params, only: DataFrame | None = None) -> DataFrame:
@@ -291,6 +302,8 @@ def candidates(posts: DataFrame, p: Params, only: DataFrame | None = None) -> Da
 
     def gather(frame: pd.DataFrame) -> dict[str, np.ndarray]:
         x = {c: np.concatenate(frame[c].to_list()) for c in names}
+        x["wide"] = np.zeros((len(x["list"]), 3), np.int64)
+        x["wide"][x["size"] > p.long_words] = np.concatenate(frame["wide"].to_list()).reshape(-1, 3)
         order = np.lexsort((x["line"], x["number"], x["doc"], x["list"]))
         x = {c: v[order] for c, v in x.items()}
         # Of equal lines in a list the earliest stays.
