@@ -185,8 +185,6 @@ def rt_trigram(spark: SparkSession, d: str) -> DataFrame:
 
 # Joins and analysis
 
-CLAIMS = F.array(F.lit("the license of the work"), F.lit("with all the and"))
-
 
 @query("jn_claim_evidence", r"with c(claim, words) as (values (1, ['the', 'license', 'work']), (2, ['with', 'all', 'the', 'and'])), w as (select item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: length(x) >= 3)) as w from benchmark), s as (select claim, item_id, len(list_intersect(words, w)) / len(words)::double as score from c, w) select claim, item_id from (select *, row_number() over (partition by claim order by score desc, item_id) as rn from s where score > 0) where rn <= 5")
 def jn_claim_evidence(spark: SparkSession, d: str) -> DataFrame:
