@@ -18,7 +18,7 @@ compared with all of theirs in a second pass, so no link is lost and no group is
 into all pairs. Lines that are equal letter by letter are settled apart, by an aggregation.
 
 Defined results: lines of fewer than ``least_words`` different words are never compared and
-stay; null and empty texts stay as they are; lines of one id and number (repeated ids) are
+stay (blank lines only, with ``ALL_LINES``); null and empty texts stay as they are; lines of one id and number (repeated ids) are
 at the same place and do not remove each other unless an earlier place does; a null id counts as earliest; columns named
 n_lines and n_removed are replaced, other columns pass through.
 """
@@ -63,6 +63,9 @@ class Params:
     bloom_bits: int = 1 << 25
 
 
+#: Every line with a word is compared, however short; the registered query and the stage use this.
+ALL_LINES = Params(least_words=1)
+
 NULL_ID = -(2**63)
 POSTS = "bucket int, list array<int>, line array<int>, sig array<bigint>, wide array<bigint>, doc array<bigint>, number array<int>, size array<int>, at array<int>"
 PLACE = "{0}_doc bigint, {0}_number int, {0}_line int"

@@ -47,7 +47,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), line_dedup.ALL_LINES).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
