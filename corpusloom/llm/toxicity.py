@@ -2,7 +2,7 @@
 
 A word enters the network as its word embedding (a vocabulary of the training words, one
 embedding for all others) beside the mean embeddings of its character trigrams and of its
-first 4, 5, 6 and 7 bytes. Two gated
+first 4, 5, 6 and 7 bytes. Words of over 96 bytes enter as overlapping pieces. Two gated
 recurrent layers read each window forwards and backwards, attention pools the states and a
 logistic unit scores the window. A document's score calibrates its highest window score.
 Training is plain numpy on the driver, over a bounded sample of labelled rows (``Params``);
@@ -58,8 +58,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1.0)
 
 
+#: Bytes of a word that enter as one input, and by how many its pieces overlap.
+PIECE, OVERLAP = 96, 16
+
+
+def pieces(word: str) -> Iterator[str]:
+    """A word of over PIECE bytes as overlapping pieces, cut between characters."""
+    raw = word.encode()
+    start = 0
+    while len(raw) - start > PIECE:
+        end = start + PIECE
+        while raw[end] & 0xC0 == 0x80:
+            end -= 1
+        yield raw[start:end].decode()
+        start = end - OVERLAP
+        while raw[start] & 0xC0 == 0x80:
+            start -= 1
+    yield raw[start:].decode()
+
+
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Lower-cased words; long ones as their pieces, so that all of a text is read."""
+    words = (text or "").lower().split()
+    if all(len(w) <= PIECE // 4 for w in words):
+        return words
+    return [part for w in words for part in ((w,) if len(w) <= PIECE // 4 else pieces(w))]
 
 
 class Inputs:
@@ -76,7 +99,7 @@ class Inputs:
 
     def trigram_slots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashed trigram slots of all words end to end, and how many each word has."""
-        raw = [b"^" + w.encode()[:96] + b"$" for w in words]
+        raw = [b"^" + w.encode() + b"$" for w in words]
         n = np.fromiter(map(len, raw), np.int64, len(raw))
         x = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
         h = (x[:-2] * np.uint32(961) + x[1:-1] * np.uint32(31) + x[2:]) * np.uint32(2654435761) >> np.uint32(8)
