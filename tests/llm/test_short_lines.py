@@ -32,7 +32,7 @@ def test_short_and_unspaced_lines_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda *_: frame(spark, SHORT))
     got = {r["doc_id"]: r["text"] for r in queries.op9_line_dedup(spark, "").collect()}
     assert [got[i] for i in range(len(SHORT))] == plain_texts(SHORT)
-    p = line_dedup.Params(least_words=1, share=2, first_candidates=1, slots=8)
+    p = line_dedup.Params(share=2, first_candidates=1, slots=8)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, SHORT), p).collect()}
     assert [got[i] for i in range(len(SHORT))] == plain_texts(SHORT)
 
