@@ -7,44 +7,30 @@ are put in, it lets more pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-
-from corpusloom.llm.words import mixed
+from pyspark.sql import functions as F
 
 BITS = 1 << 25
-
-
-def slots(values: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Slot of each long."""
-    return (mixed(values.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)).astype(np.int64)
+#: Bits of one of Spark's bitmaps.
+BITMAP = 1 << 15
 
 
 def bit_set(values: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bit set of fixed size that holds the slot of every long in the one column of ``values``."""
-    block, name = 1 << 15, values.columns[0]
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            slot = np.unique(slots(frame[name].to_numpy(np.int64), bits))
-            yield pd.DataFrame({"block": (slot // block).astype(np.int32), "bit": (slot % block).astype(np.int32)})
-
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(block, bool)
-        out[frame["bit"].to_numpy()] = True
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "held": [np.packbits(out).tobytes()]})
-
-    out = np.zeros(bits // 8, np.uint8)
-    found = values.where(values[name].isNotNull()).mapInPandas(spread, "block int, bit int").distinct().groupBy("block").applyInPandas(fill, "block int, held binary")
+    """Bit set of fixed size (a power of two) of the longs in the one column of ``values``.
+
+    The longs are hashes, of which the low bits name the slot; nulls are left out.
+    """
+    slot = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1)) + 1
+    found = values.where(F.col(values.columns[0]).isNotNull()).groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("held"))
+    out = np.zeros(max(bits, BITMAP) // 8, np.uint8)
+    # At most bits / BITMAP rows, whatever the data.
     for at, held in found.collect():
-        out[at * block // 8 : (at + 1) * block // 8] = np.frombuffer(held, np.uint8)
+        out[(at - 1) * BITMAP // 8 : at * BITMAP // 8] = np.frombuffer(held, np.uint8)
     return out
 
 
 def maybe_in(values: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Whether each long may be in the set of ``bit_set``."""
-    slot = slots(values, 8 * len(held))
-    return (held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+    slot = values.astype(np.int64) & (8 * len(held) - 1)
+    return (held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
