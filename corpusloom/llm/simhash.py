@@ -140,7 +140,7 @@ def link_fingerprints(distinct: DataFrame, budget: int = 4, blocks: int = 6) ->
         for i, j in trie_links(fps, starts[more], ends[more], budget):
             x, root = local_roots(ids[i], ids[j])
             found.append(pd.DataFrame({"a": x, "b": root})[x != root])
-        return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"a": [], "b": []})
+        return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     return map_groups(dealt, "root", work, "a bigint, b bigint")
 
