@@ -1,24 +1,29 @@
 """Main text of HTML pages by composite text density.
 
-The page becomes a tree with the end tags that HTML implies. For every node four counts are
-kept: characters, tags, characters in links, link tags. Characters per tag, adjusted for
-links against the page's own share of links, give the node's composite density; the sum over
-children gives its density sum. The lowest density on the path from the node of highest sum
-to the body is the threshold; below it nodes are dropped, and the text comes from the
-subtree of highest sum, widened to the article or main element around it.
-
-Elements that never hold article text (menus, page headers, footers, sidebars, forms,
-scripts, styles, hidden parts) and blocks whose class, id or role names an advert, notice,
-menu or comment section are removed before.
-
-Defined results: null, empty or tag-only html gives an empty text; cut-off tags at the end
-are dropped; repeated pages are extracted each; extra columns are ignored.
+The page becomes a tree with the end tags that HTML implies, in one pass whose steps do not
+depend on the depth of the tree. Parts that are beside the article by their nature go first:
+scripts, styles, menus, page headers and footers, sidebars, forms, hidden elements, and
+blocks whose class, id or role names an advert, notice, menu or comment section.
+
+For every node four counts are kept: characters, tags, characters in links, link tags. Its
+composite density is its characters per tag, adjusted for links against the page's own share
+of links; the sum over its children is its density sum. The container of highest sum is the
+core of the article. The lowest density on the path from there to the body is the threshold:
+what hangs beside that path (further sections, a lead, a headline) belongs to the article if
+it is as dense, or if it is a heading or a text block in which links do not prevail. The path
+ends below the body if it meets an article or main element.
+
+Defined results: null, empty or tag-only html gives an empty text; a cut-off tag at the end
+is dropped; repeated pages are extracted each; extra columns are ignored. A form, a header or
+a block with a telling class stays if it holds an article or main element or an h1; of a page
+header with the page's only h1 the h1 stays.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -28,126 +33,159 @@ from corpusloom.arrowmap import add_columns
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math".split())
+RAW = set("script style textarea title noscript iframe".split())
 NEVER = set("script style noscript iframe template svg math nav footer aside form button select textarea input dialog menu object head title canvas".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure details address".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a start tag closes, if they are open: by the name of the open element.
 CLOSED_BY = {
-    "p": set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
-    "li": {"li"},
-    "dt": {"dt", "dd"},
-    "dd": {"dt", "dd"},
-    "tr": {"tr", "tbody", "tfoot", "thead"},
-    "td": {"td", "th", "tr", "tbody", "tfoot"},
-    "th": {"td", "th", "tr", "tbody", "tfoot"},
-    "option": {"option", "optgroup"},
+    "p": "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(),
+    "li": ["li"],
+    "dt": ["dt", "dd"],
+    "dd": ["dt", "dd"],
+    "tr": ["tr", "tbody", "tfoot", "thead"],
+    "td": ["td", "th", "tr", "tbody", "tfoot"],
+    "th": ["td", "th", "tr", "tbody", "tfoot"],
+    "option": ["option", "optgroup"],
 }
-SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-# Words in class, id or role that name parts beside the article.
+#: What an open element is not closed across.
+LIMITS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+EVERY_LIMIT = {"body", "article", "main", "section", "div", "table", "blockquote"}
+#: End tags of inline elements do not reach out of these.
+CELLS = ("td", "th", "article", "body")
+
+#: Own choice: words in class, id or role that name menus, page heads and feet, sidebars,
+#: notices, adverts and comments.
 BESIDE = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar aside complementary contentinfo widget related recommended "
-    "share sharing social newsletter subscribe subscription signup login comment comments disqus respond replies pagination pager toolbar hidden search".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar share sharing social masthead topbar footer contentinfo colophon "
+    "sidebar complementary related recommended newsletter subscribe notice alert cookie cookies consent gdpr popup modal overlay banner "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus respond replies".split()
 )
+#: A class that starts with one of these tells of something else ("no-sidebar").
+OTHERWISE = {"no", "not", "has", "have", "with", "without", "show", "is"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-NAMES = re.compile(r"[a-z]+")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?)?")
+WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "density", "link_chars", "link_tags", "chars", "name", "parent", "sum", "tags")
+    __slots__ = ("attributes", "children", "chars", "density", "has_h1", "has_main", "link_chars", "link_tags", "name", "parent", "sum", "tags")
 
-    def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Node | None, attributes: dict[str, str] | None = None):
+        self.name, self.parent, self.attributes = name, parent, attributes or {}
         self.children: list[Node | str] = []
+        self.has_h1 = self.has_main = False
 
 
-def beside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article by its name or attributes."""
-    if name in NEVER or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    low = attributes.lower()
-    for key, value in ATTRIBUTE.findall(low):
-        if key in ("class", "id", "role") and not BESIDE.isdisjoint(NAMES.findall(value)):
-            return True
-        if key == "aria-hidden" and "true" in value or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return re.search(r"(?:^|\s)hidden(?:\s|/|$)", low) is not None
+class Tree:
+    """Builds the tree; remembers where elements of each name are open."""
+
+    def __init__(self) -> None:
+        self.root = Node("html", None)
+        self.open = [self.root]
+        self.where: dict[str, list[int]] = defaultdict(list)
+
+    def last(self, names) -> int:
+        """Depth of the innermost open element of these names, or -1."""
+        return max((self.where[n][-1] for n in names if self.where[n]), default=-1)
+
+    def close_from(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.where[self.open.pop().name].pop()
+
+    def text(self, text: str) -> None:
+        self.open[-1].children.append(text)
+
+    def start(self, name: str, attributes: dict[str, str], empty: bool) -> None:
+        if name == "html" or name == "body" and self.where["body"]:
+            return
+        for closed in OPEN_CLOSED_BY.get(name, ()):
+            at = self.where[closed][-1] if self.where[closed] else -1
+            if at > self.last(EVERY_LIMIT | LIMITS.get(closed, set())):
+                self.close_from(at)
+        node = Node(name, self.open[-1], attributes)
+        self.open[-1].children.append(node)
+        if not empty:
+            self.where[name].append(len(self.open))
+            self.open.append(node)
+
+    def end(self, name: str) -> None:
+        at = self.where[name][-1] if self.where[name] else -1
+        if at > 0 and not (name in INLINE and self.last(CELLS) > at):
+            self.close_from(at)
+
+
+#: By start tag, the open elements that it closes.
+OPEN_CLOSED_BY: dict[str, list[str]] = defaultdict(list)
+for _open, _by in CLOSED_BY.items():
+    for _name in _by:
+        OPEN_CLOSED_BY[_name].append(_open)
+OPEN_CLOSED_BY = dict(OPEN_CLOSED_BY)
 
 
 def parse(html: str) -> Node:
-    """Tree of the page without the elements that are beside the article."""
-    root = node = Node("html", None)
-    skip_name, skip_depth, articles, at, end = "", 0, 0, 0, len(html)
+    """Tree of the page. Quotes hold values only behind an equals sign, as in HTML."""
+    tree, at, end = Tree(), 0, len(html)
     while at < end:
-        m = TOKEN.match(html, at)
-        at = m.end()
-        name = m[2]
+        mark = html.find("<", at)
+        if mark != at:
+            mark = end if mark < 0 else mark
+            tree.text(unescape(html[at:mark]))
+            at = mark
+            continue
+        if html.startswith("<!--", at):
+            close = html.find("-->", at + 4)
+            at = end if close < 0 else close + 3
+            continue
+        closing = html.startswith("/", at + 1)
+        name = NAME.match(html, at + 1 + closing)
         if name is None:
-            if not skip_depth and html[m.start()] != "<":
-                node.children.append(unescape(m[0]))
-            elif not skip_depth and m[0] == "<":
-                node.children.append("<")
+            if html[at + 1 : at + 2] in ("!", "?", "/"):
+                close = html.find(">", at)
+                at = end if close < 0 else close + 1
+            else:
+                tree.text("<")
+                at += 1
             continue
-        name, closing = name.lower(), m[1]
-        if not m[4]:
+        attributes, at = read_attributes(html, name.end())
+        if at < 0:
             break
+        name = name[0].lower()
         if closing:
-            if skip_depth:
-                skip_depth -= name == skip_name
-                continue
-            up = node
-            while up is not None and up.name != name:
-                up = None if name not in ("html", "body") and up.name in ("td", "th", "article", "body") and name in INLINE else up.parent
-            if up is not None and up.parent is not None:
-                while node is not up:
-                    articles -= node.name in ("article", "main")
-                    node = node.parent
-                articles -= up.name in ("article", "main")
-                node = up.parent
-            continue
-        empty = name in VOID or m[3].endswith("/") and name in RAW
-        if skip_depth:
-            if name in RAW and not empty and name != skip_name:
-                at = raw_end(html, at, name)
-            elif name == skip_name and not empty:
-                skip_depth += 1
+            tree.end(name)
             continue
-        up = node
-        while up.parent is not None and up.name not in SCOPE.get(name, ()) and up.name not in ("body", "article", "main", "section", "div", "table", "blockquote"):
-            if name in CLOSED_BY.get(up.name, ()):
-                node = up.parent
-                break
-            up = up.parent
-        if name in ("html", "body"):
-            if name == "body" and not any(isinstance(c, Node) and c.name == "body" for c in root.children):
-                node = Node("body", root)
-                root.children.append(node)
-            continue
-        if beside(name, m[3], articles > 0):
-            if name in RAW and not empty:
-                at = raw_end(html, at, name)
-            elif not empty:
-                skip_name, skip_depth = name, 1
-            node.children.append(Node("#cut", node))
-            continue
-        new = Node(name, node)
-        node.children.append(new)
-        if not empty:
-            articles += name in ("article", "main")
-            node = new
-    return root
+        empty = name in VOID or name in RAW
+        tree.start(name, attributes, empty)
+        if name in RAW:
+            at = raw_end(html, at, name)
+    return tree.root
+
+
+def read_attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes from here on and where the tag ends, -1 if the page ends before."""
+    found: dict[str, str] = {}
+    while True:
+        m = ATTRIBUTE.match(html, at)
+        at = m.end()
+        if m[1]:
+            found.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), ""))
+        elif at >= len(html):
+            return found, -1
+        elif html[at] == ">":
+            return found, at + 1
+        else:
+            at += 1
+
+
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
 def raw_end(html: str, at: int, name: str) -> int:
     """Where the element ends whose content is no markup."""
-    found = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
-    if not found:
-        return len(html)
-    close = html.find(">", found.start())
-    return len(html) if close < 0 else close + 1
+    found = RAW_ENDS[name].search(html, at)
+    return found.end() if found else len(html)
 
 
 def in_order(root: Node) -> list[Node]:
@@ -158,6 +196,45 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
+def named_beside(node: Node) -> bool:
+    """Whether class, id or role name something beside an article."""
+    for key in ("class", "id", "role"):
+        for token in node.attributes.get(key, "").lower().split():
+            words = WORDS.findall(token)
+            if words and words[0] not in OTHERWISE and not BESIDE.isdisjoint(words):
+                return True
+    return False
+
+
+def hidden(node: Node) -> bool:
+    a = node.attributes
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").lower().replace(" ", "")
+
+
+def prune(root: Node) -> None:
+    """Replace the parts beside the article by empty nodes, in place."""
+    nodes = in_order(root)
+    for n in reversed(nodes):
+        inner = [c for c in n.children if isinstance(c, Node)]
+        n.has_h1 = n.name == "h1" or any(c.has_h1 for c in inner)
+        n.has_main = n.has_h1 or n.name in ("article", "main") or any(c.has_main for c in inner)
+    n_h1 = sum(n.name == "h1" for n in nodes)
+    todo = [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        inside = inside or n.name in ("article", "main")
+        for i, c in enumerate(n.children):
+            if isinstance(c, str):
+                continue
+            if c.name == "header" and not inside and c.has_h1 and n_h1 == 1:
+                c.children = [next(x for x in in_order(c) if x.name == "h1")]
+                todo.append((c, inside))
+            elif hidden(c) or c.name in NEVER and not (c.name == "form" and c.has_main) or c.name == "header" and not inside or named_beside(c) and not c.has_main and c.name != "body":
+                n.children[i] = Node("#gap" if c.name in INLINE or c.name in RAW or c.name in ("button", "select", "input", "svg") else "#cut", n)
+            else:
+                todo.append((c, inside))
+
+
 def measure(root: Node) -> list[Node]:
     """Counts, composite density and density sum of every node."""
     nodes = in_order(root)
@@ -166,7 +243,7 @@ def measure(root: Node) -> list[Node]:
         for c in n.children:
             if isinstance(c, str):
                 n.chars += sum(map(len, c.split()))
-            elif c.name != "#cut":
+            elif c.name[0] != "#":
                 n.chars += c.chars
                 n.tags += c.tags + 1
                 n.link_chars += c.link_chars
@@ -175,46 +252,59 @@ def measure(root: Node) -> list[Node]:
             n.link_chars = n.chars
     page = root.link_chars / root.chars if root.chars else 0.0
     for n in reversed(nodes):
-        tags, links = max(n.tags, 1), max(n.link_tags, 1)
-        plain = max(n.chars - n.link_chars, 1)
-        if n.chars:
-            base = math.log(n.chars / plain * n.link_chars + page * n.chars + math.e)
-            n.density = n.chars / tags * math.log(max(n.chars / max(n.link_chars, 1) * tags / links, 1.0) + 1e-9) / math.log(max(base, 1.0) + math.e - 1)
-        else:
-            n.density = 0.0
-        n.sum = sum(c.density for c in n.children if isinstance(c, Node))
-        own = sum(sum(map(len, c.split())) for c in n.children if isinstance(c, str))
-        n.sum += own if own else 0.0
+        n.density = density(n, page)
+        n.sum = sum(c.density for c in n.children if isinstance(c, Node) and c.name not in INLINE)
     return nodes
 
 
-def select(root: Node) -> tuple[Node, float]:
-    """The subtree that holds the main text, and the density threshold."""
+#: Share of links that every node is taken to have besides its own, so that the size of a node
+#: without links does not count.
+SMOOTH = 0.01
+
+
+def density(n: Node, page: float) -> float:
+    """Characters per tag, weighed by how little of them are links; ``page`` is the page's share."""
+    if not n.chars:
+        return 0.0
+    chars, tags = n.chars, max(n.tags, 1)
+    little = chars / (n.link_chars + SMOOTH * chars) * tags / (n.link_tags + SMOOTH * tags)
+    base = math.log(chars / (chars - n.link_chars + SMOOTH * chars) * n.link_chars + page * chars + math.e)
+    return chars / tags * math.log(max(little, 1.0)) / math.log(base + math.e - 1)
+
+
+def select(root: Node) -> list[tuple[Node, set[int] | None]]:
+    """The path from the body (or the article or main element met) to the core, outermost
+    first; each node with the positions of its children that are kept, None for all."""
     nodes = measure(root)
     body = next((n for n in nodes if n.name == "body"), root)
-    inside = in_order(body)
-    best = max(inside, key=lambda n: n.sum)
-    threshold, up = best.density, best
-    while up is not body and up.parent is not None:
-        up = up.parent
-        threshold = min(threshold, up.density)
-    dense = [n for n in inside if n.density >= threshold and n.chars]
-    best = max(dense, key=lambda n: n.sum, default=body)
-    up = best
-    while up is not None and up.name not in ("article", "main"):
-        up = up.parent
-    if up is not None:
-        return up, threshold
-    while best.name in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td"} and best.parent is not None and best is not body:
-        best = best.parent
-    return best, threshold
+    holders = [n for n in in_order(body) if n is body or n.name not in INLINE and any(isinstance(c, Node) and c.name not in INLINE for c in n.children)]
+    core = max(holders, key=lambda n: n.sum)
+    path = [core]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    top = next((i for i, n in enumerate(path) if n.name in ("article", "main")), len(path) - 1)
+    chosen: list[tuple[Node, set[int] | None]] = [(core, None)]
+    for inner, n in zip(path, path[1 : top + 1]):
+        chosen.append((n, {i for i, c in enumerate(n.children) if c is inner or isinstance(c, str) or belongs(c, threshold)}))
+    return chosen[::-1]
+
+
+def belongs(n: Node, threshold: float) -> bool:
+    """Whether a subtree beside the path is part of the article."""
+    if n.name in HEADINGS or n.has_h1 or n.name in INLINE and 2 * n.link_chars <= n.chars:
+        return True
+    return n.density >= threshold or n.name in TEXT_BLOCKS and 3 * n.link_chars <= n.chars
 
 
 def main_text(html: str | None) -> str:
     """Blocks of the main text in page order, white space folded, one a line."""
     if not html:
         return ""
-    top, _ = select(parse(html))
+    root = parse(html)
+    prune(root)
+    chosen = select(root)
+    only = {id(n): kept for n, kept in chosen if kept is not None}
     blocks: list[str] = []
     held: list[str] = []
 
@@ -224,7 +314,7 @@ def main_text(html: str | None) -> str:
         if text:
             blocks.append(text)
 
-    todo: list[Node | str | None] = [top]
+    todo: list[Node | str | None] = [chosen[0][0]]
     while todo:
         n = todo.pop()
         if n is None:
@@ -234,11 +324,11 @@ def main_text(html: str | None) -> str:
         elif n.name == "br":
             held.append("\n")
         else:
-            block = n.name not in INLINE and n.name != "#cut"
-            if block:
+            if n.name not in INLINE and n.name != "#gap":
                 flush()
                 todo.append(None)
-            todo.extend(reversed(n.children))
+            kept = only.get(id(n))
+            todo.extend(c for i, c in reversed(list(enumerate(n.children))) if kept is None or i in kept)
     flush()
     return "\n".join(blocks)
 
