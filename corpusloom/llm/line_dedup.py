@@ -43,10 +43,9 @@ def dedup_lines(docs: DataFrame, p: Params = ALL_LINES) -> DataFrame:
     gone = gone_lines(docs, p).toDF("__doc", "__t", "__gone")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*columns, doc_key(p).alias("__doc"), F.xxhash64("text").alias("__t")).join(gone, ["__doc", "__t"], "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    # The one-element array binds the lines to a name, so that they are split once a text.
+    left = F.transform(F.array(F.split("text", "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "__gone"), lambda i: F.get(x, i)), "\n"))[0]
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
     n_removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).cast(docs.schema["text"].dataType)
     return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))

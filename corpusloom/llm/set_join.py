@@ -29,12 +29,13 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.arrowmap import bound_batches
 from corpusloom.llm.membership import bit_set, maybe_in
-from corpusloom.llm.words import ended, mixed, runs, spans
+from corpusloom.llm.words import mixed, runs, spans
 from corpusloom.storage import checkpoint, materialize
 
 
@@ -79,9 +80,9 @@ def doc_key(p: Params) -> Column:
 
 
 def placed(docs: DataFrame, p: Params) -> DataFrame:
-    """Columns doc, t (hash of the text) and text, for ``runs``; null texts have no lines."""
+    """Columns doc, t (hash of the text) and text; null texts have no lines."""
     bound_batches(docs.sparkSession)
-    return docs.where(F.lit(True) if p.shingle else F.col("text").isNotNull()).select(doc_key(p).alias("doc"), F.xxhash64("text").alias("t"), ended("text").alias("text"))
+    return docs.where(F.lit(True) if p.shingle else F.col("text").isNotNull()).select(doc_key(p).alias("doc"), F.xxhash64("text").alias("t"), "text")
 
 
 class Items(NamedTuple):
@@ -95,7 +96,7 @@ class Items(NamedTuple):
 
 
 def items(column: pa.Array, p: Params, most_bytes: int = 1 << 20) -> Iterator[Items]:
-    """Items of a column of ``ended`` texts."""
+    """Items of a column of texts."""
     for run in runs(column, most_bytes):
         if not p.shingle:
             yield Items(run.start, run.lines_of_row, run.words_of_line, run.hashes)
@@ -203,10 +204,12 @@ def lists_of(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def survey(docs: DataFrame, p: Params) -> DataFrame:
     """One reading of all texts: rows of unit counts by slot (``at``, ``n``), and rows of doc,
     t and number, d1, sig (arrays) with the sets of a document's items; for whole texts also
-    their size, fingerprint and sketch."""
+    their size, fingerprint and sketch. Of a bounded sample of documents (``sample_rows``, twice
+    that at most) the text comes along."""
     block = 1 << 13
-    schema = "at int, n binary, doc bigint, t bigint, number array<int>, d1 array<bigint>, sig array<bigint>, size int, fp bigint, sketch array<bigint>"
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    drawn = F.pmod(F.xxhash64("doc", "t"), F.lit(max(1, docs.count() // p.sample_rows))) == 0
+    schema = "at int, n binary, doc bigint, t bigint, number array<int>, d1 array<bigint>, sig array<bigint>, size int, fp bigint, sketch array<bigint>, sample string"
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string()]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(k: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -230,13 +233,14 @@ def survey(docs: DataFrame, p: Params) -> DataFrame:
                     made |= {"size": pa.array(sets.size[back].astype(np.int32)), "fp": pa.array(sets.fingerprints()[back])}
                     made["sketch"] = pa.ListArray.from_arrays(pa.array(np.arange(len(sketch) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel()))
                 k = len(starts)
+                made["sample"] = pc.if_else(batch.column("drawn").slice(run.start, k), batch.column("text").slice(run.start, k), pa.scalar(None, pa.string()))
                 yield rows(k, made | {c: batch.column(c).slice(run.start, k) for c in ("doc", "t")})
         small = np.minimum(total, 65_535).astype("<u2")
         for i in range(0, p.slots, block):
             if small[i : i + block].any():
                 yield rows(1, {"at": pa.array([i], pa.int32()), "n": pa.array([small[i : i + block].tobytes()], pa.binary())})
 
-    return materialize(placed(docs, p).mapInArrow(read, schema))
+    return materialize(placed(docs, p).withColumn("drawn", drawn).mapInArrow(read, schema))
 
 
 def rarity(surveyed: DataFrame, p: Params) -> tuple[np.ndarray, int]:
@@ -254,18 +258,22 @@ def rarity(surveyed: DataFrame, p: Params) -> tuple[np.ndarray, int]:
     return np.minimum(2 * np.log2(1 + counts), 62).astype(np.uint8), int(counts.sum())
 
 
-def postings(hashes: np.ndarray, count: np.ndarray, doc: np.ndarray, sub: np.ndarray, rare: np.ndarray, p: Params) -> tuple[Sets, dict[str, np.ndarray], np.ndarray]:
-    """Sets of the lines, the columns of their prefix postings, and each posting's set.
+def postings(run: Items, batch: pa.RecordBatch, rare: np.ndarray, p: Params) -> tuple[Sets, dict[str, np.ndarray], np.ndarray]:
+    """Sets of a run's items, the columns of their prefix postings, and each posting's set.
 
-    ``doc`` and ``sub`` are the place of each line.
+    Of equal sets in the run the one at the earliest place is posted.
     """
-    sets = Sets(hashes, count, rare)
+    sets = Sets(run.hashes, run.count, rare)
     d1, sig, parts = sets.identities()
-    prefix = sets.size - -(-sets.size * p.num // p.den) + 1
+    doc, sub = (x[sets.line] for x in places(batch, run.start, run.of_row))
+    order = np.lexsort((sub, doc, d1))
+    s, t = order[1:], order[:-1]
+    first = np.ones(len(order), bool)
+    first[s] = (d1[s] != d1[t]) | (sig[s] != sig[t]) | (sets.size[s] != sets.size[t])
+    prefix = np.where(first, sets.size - -(-sets.size * p.num // p.den) + 1, 0)
     post = np.flatnonzero((sets.rank < prefix[sets.owner]) & (sets.keys >> np.uint64(58) > ONCE))
     owner = sets.owner[post]
-    line = sets.line[owner]
-    made = {"key": mixed(sets.keys[post] ^ np.uint64(0x5851F42D4C957F2D)), "d1": d1[owner], "sig": sig[owner], "doc": doc[line], "sub": sub[line], "size": sets.size[owner].astype(np.int32), "at": sets.rank[post].astype(np.int32), "wide": parts[owner, :3]}
+    made = {"key": mixed(sets.keys[post] ^ np.uint64(0x5851F42D4C957F2D)), "d1": d1[owner], "sig": sig[owner], "doc": doc[owner], "sub": sub[owner], "size": sets.size[owner].astype(np.int32), "at": sets.rank[post].astype(np.int32), "wide": parts[owner, :3]}
     return sets, made, owner
 
 
@@ -277,22 +285,22 @@ def places(batch: pa.RecordBatch, start: int, lines_of_row: np.ndarray) -> tuple
     return doc[row], (t[row] >> 32 << 32) + number
 
 
-def long_lists(docs: DataFrame, rare: np.ndarray, p: Params) -> dict[int, int]:
+def long_lists(surveyed: DataFrame, rare: np.ndarray, p: Params) -> dict[int, int]:
     """Shares of lists that a bounded sample of documents shows to be long."""
-    n = docs.count()
-    step = max(1, n // p.sample_rows)
-    cast = docs.sparkSession.sparkContext.broadcast(rare)
+    cast = surveyed.sparkSession.sparkContext.broadcast(rare)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in items(batch.column("text"), p):
-                place = places(batch, run.start, run.of_row)
-                found, seen = np.unique(postings(run.hashes, run.count, *place, cast.value, p)[1]["key"].view(np.int64), return_counts=True)
+            for run in items(batch.column("sample"), p):
+                found, seen = np.unique(postings(run, batch, cast.value, p)[1]["key"].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen)], ["key", "seen"])
 
-    drawn = placed(docs.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(step)) == 0), p).mapInArrow(keys, "key bigint, seen bigint")
-    expected = F.sum("seen") * step
-    found = drawn.groupBy("key").agg(expected.alias("n"), F.sum("seen").alias("seen")).where((F.col("n") > p.share) & (F.col("seen") > 4))
+    drawn = surveyed.where("sample is not null").select("doc", "t", "sample")
+    rows, all_rows = drawn.count(), surveyed.where("doc is not null").count()
+    if not rows:
+        return {}
+    found = drawn.mapInArrow(keys, "key bigint, seen bigint").groupBy("key").agg(F.sum("seen").alias("seen"))
+    found = found.withColumn("n", F.ceil(F.col("seen") * all_rows / rows)).where((F.col("n") > p.share) & (F.col("seen") > 4))
     # Lists above a share of all rows in a sample of that size are bounded in number.
     return {r["key"] & (2**64 - 1): -(-r["n"] // p.share) for r in found.collect()}
 
@@ -311,15 +319,8 @@ def posted(docs: DataFrame, rare: np.ndarray, shares: dict[int, int], buckets: i
         rare, shares, wanted = shared.value
         for batch in batches:
             for run in items(batch.column("text"), p, 1 << 22):
-                sets, x, owner = postings(run.hashes, run.count, *places(batch, run.start, run.of_row), rare, p)
+                sets, x, owner = postings(run, batch, rare, p)
                 key = x.pop("key")
-                # Equal sets of a run are posted at the earliest place.
-                order = np.lexsort((x["sub"], x["doc"], x["d1"], key))
-                keep = np.ones(len(order), bool)
-                s, t = order[1:], order[:-1]
-                keep[1:] = (key[s] != key[t]) | (x["d1"][s] != x["d1"][t]) | (x["sig"][s] != x["sig"][t]) | (x["size"][s] != x["size"][t])
-                order = order[keep]
-                key, owner, x = key[order], owner[order], {k: v[order] for k, v in x.items()}
                 if shares:
                     key, row = dealt(key, x["d1"], shares)
                     owner, x = owner[row], {k: v[row] for k, v in x.items()}
@@ -378,20 +379,20 @@ class Lists:
         words = table.column("words").combine_chunks()
         self.words = words.flatten().to_numpy(zero_copy_only=False) if words.null_count < len(words) else None
         x["from"] = np.cumsum(x["size"], dtype=np.int64) - x["size"]
-        # Places as numbers; equal places get one number.
+        # By place; places become numbers, equal places get one number.
         order = np.lexsort((x["sub"], x["doc"]))
+        x = {c: v[order] for c, v in x.items()}
         new = np.ones(n, bool)
-        new[1:] = (x["doc"][order[1:]] != x["doc"][order[:-1]]) | (x["sub"][order[1:]] != x["sub"][order[:-1]])
-        x["place"] = np.empty(n, np.int64)
-        x["place"][order] = np.cumsum(new) - 1
-        order = np.lexsort((x["place"], x["d1"], x["list"]))
+        new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["sub"][1:] != x["sub"][:-1])
+        x["place"] = np.cumsum(new) - 1
+        order = np.argsort((x["list"].astype(np.int64) << 32) + (x["d1"] & 0xFFFFFFFF), kind="stable")
         s, t = order[1:], order[:-1]
         keep = np.ones(n, bool)
         keep[1:] = np.any([x[c][s] != x[c][t] for c in ("list", "d1", "sig", "size")], axis=0)
-        x = {c: v[order[keep]] for c, v in x.items()}
         base = math.log(p.den / p.num * 1.001)
         kind = (np.log(np.maximum(x["size"], 1)) / base).astype(np.int64) + 1
-        order = np.lexsort((x["place"], kind, x["list"]))
+        order = np.sort(order[keep])
+        order = order[np.argsort((x["list"][order].astype(np.int64) << 32) + kind[order], kind="stable")]
         self.x = {c: v[order] for c, v in x.items()}
         kind = kind[order]
         starts, ends = spans(self.x["list"])
@@ -574,7 +575,7 @@ def similar_sets(docs: DataFrame, surveyed: DataFrame, p: Params, sets: DataFram
     """
     spark = docs.sparkSession
     rare, n_units = rarity(surveyed, p)
-    shares = long_lists(docs, rare, p)
+    shares = long_lists(surveyed, rare, p)
     # About a fourth of all units is posted, with 50 bytes each.
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n_units * 50 // 4 // p.bucket_bytes)
     pairs = materialize(candidates(posted(docs, rare, shares, buckets, p), p))

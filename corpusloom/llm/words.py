@@ -14,9 +14,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -50,23 +49,22 @@ def spans(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
 
 
-def ended(text: str) -> Column:
-    """Lower-cased text with a line feed behind, as ``runs`` wants it."""
-    return F.concat(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("\n"))
-
-
 def runs(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Run]:
-    """Words of a column of ``ended`` texts, about ``most_bytes`` together, a row at least."""
+    """Words of the lower-cased texts of a column, about ``most_bytes`` together, a row at least."""
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    sizes = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
     at = 0
     while at < len(column):
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
-        text = data[offsets[at] : offsets[upto]]
+        upto = max(at + 1, int(np.searchsorted(sizes, int(sizes[at]) + most_bytes, "right")) - 1)
+        # A line feed behind each text ends its last word and line.
+        part = pc.binary_join_element_wise(pc.utf8_lower(column.slice(at, upto - at).fill_null("")), "", "\n")
+        if isinstance(part, pa.ChunkedArray):
+            part = part.combine_chunks()
+        offsets = np.frombuffer(part.buffers()[1], kind)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        text = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         starts, ends = word_bounds(text)
         feeds = np.flatnonzero(text == 10)
-        lines = np.searchsorted(feeds, offsets[at : upto + 1] - offsets[at])
+        lines = np.searchsorted(feeds, offsets - offsets[0])
         yield Run(at, np.diff(lines), np.diff(np.searchsorted(starts, feeds), prepend=0), word_hashes(text, starts, ends))
         at = upto
 
