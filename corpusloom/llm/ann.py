@@ -4,14 +4,16 @@ A tree of median cuts on a bounded sample gives lists of equal share and their c
 Every distinct vector enters its nearest list and, near a boundary, up to ``replicas`` lists
 whose centroid is within ``boundary`` times the nearest distance. Queries search the
 centroids through an in-memory neighbour graph, keep the lists within ``ratio`` times the
-distance of the nearest, ``least_lists`` at least, and compare with all vectors of those lists in double precision.
+distance of the nearest, and compare with all vectors of those lists in double precision.
 
 Lists that still grow large are dealt out as shares. Equal vectors are one entry that names
 its smallest ids, as many as a result can use, so copies cost nothing and ties stay exact.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or whose
-length is not the most common one, take no part; equal distances go to the smaller id;
-rows that repeat an id are one candidate at its least distance; extra columns are ignored.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no
+part; vectors of different length are no neighbours of each other, and each length has lists
+of its own; equal distances go to the smaller id; rows that repeat an id are one candidate at
+its least distance, and one query, which asks with each of its vectors; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.embedding_dedup import usual_length, valid_vector
+from corpusloom.llm.embedding_dedup import valid_vector
 from corpusloom.sampling import hash_sample
 from corpusloom.storage import checkpoint
 
@@ -41,7 +43,6 @@ class Params:
     replicas: int = 3
     boundary: float = 1.08
     ratio: float = 1.13
-    least_lists: int = 24
     degree: int = 24
     together: int = 16
     share: int = 20_000
@@ -85,29 +86,96 @@ class CentroidGraph:
         sq = (x * x).sum(axis=1)[:, None] + (self.c * self.c).sum(axis=1)[None] - 2 * x @ self.c.T
         return np.sqrt(np.maximum(sq, 0))
 
-    def search(self, q: np.ndarray, ratio: float, least: int) -> np.ndarray:
-        """Lists within ``ratio`` of the nearest distance, the ``least`` nearest at least.
+    def search(self, q: np.ndarray, ratio: float) -> np.ndarray:
+        """Lists within ``ratio`` of the nearest distance.
 
-        The walk goes on from the nearest open centroid until it is farther than both.
+        The walk starts from some centroids spread over the tree and goes on from the nearest
+        open one until that is too far.
         """
+        start = np.arange(0, len(self.c), max(1, int(len(self.c) ** 0.5)))
         seen = np.zeros(len(self.c), bool)
-        seen[0] = True
-        best = float(np.sqrt(((self.c[0] - q) ** 2).sum()))
-        todo, found, near = [(best, 0)], [(best, 0)], [-best]
+        seen[start] = True
+        todo = list(zip(np.sqrt(((self.c[start] - q) ** 2).sum(axis=1)).tolist(), start.tolist(), strict=True))
+        found, best = list(todo), min(todo)[0]
+        heapq.heapify(todo)
         while todo:
             d, i = heapq.heappop(todo)
-            if d > best * ratio and len(near) >= least and d > -near[0]:
+            if d > best * ratio:
                 break
             new = self.next[i][~seen[self.next[i]]]
             seen[new] = True
             for e, j in zip(np.sqrt(((self.c[new] - q) ** 2).sum(axis=1)).tolist(), new.tolist(), strict=True):
                 heapq.heappush(todo, (e, j))
-                heapq.heappush(near, -e)
-                if len(near) > least:
-                    heapq.heappop(near)
                 found.append((e, j))
                 best = min(best, e)
-        return np.array([j for e, j in found if e <= max(best * ratio, -near[0])], np.int64)
+        return np.array([j for e, j in found if e <= best * ratio], np.int64)
+
+
+class Index:
+    """Centroid graphs by vector length; each length has list numbers of its own."""
+
+    def __init__(self, sample: list[np.ndarray], n: int, p: Params):
+        self.graphs: dict[int, tuple[int, CentroidGraph]] = {}
+        self.spare, at = p.together, p.together
+        for length in sorted({len(v) for v in sample}):
+            x = np.stack(sorted((v for v in sample if len(v) == length), key=lambda v: v.tolist()))
+            share = n * len(x) // len(sample)
+            n_lists = int(np.clip(share // p.list_size, 1, min(p.most_lists, max(1, len(x) // 4))))
+            self.graphs[length] = (at, CentroidGraph(balanced_centroids(x, n_lists), p.degree))
+            # Bundles of lists never mix lengths.
+            at += -(-n_lists // p.together) * p.together
+        self.spare = at
+
+    def alone(self, length: int, p: Params) -> list[int]:
+        """The one list of a length that the sample does not show."""
+        return [self.spare + length * p.together]
+
+    def post(self, vectors: list[np.ndarray], p: Params) -> list[list[int]]:
+        """Lists that hold each vector."""
+        out: list[list[int]] = [[] for _ in vectors]
+        lengths = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        for length in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == length)
+            if length not in self.graphs:
+                for i in rows:
+                    out[i] = self.alone(length, p)
+                continue
+            first, graph = self.graphs[length]
+            for k in range(0, len(rows), 2000):
+                part = rows[k : k + 2000]
+                d = graph.distances(np.stack([vectors[i] for i in part]))
+                near = np.argsort(d, axis=1, kind="stable")[:, : p.replicas]
+                far = np.take_along_axis(d, near, 1)
+                for i, a, b in zip(part, near, far, strict=True):
+                    out[i] = (first + a[b <= b[0] * p.boundary]).tolist()
+        return out
+
+    def route(self, q: np.ndarray, p: Params) -> list[int]:
+        """Lists that a query looks into."""
+        if len(q) not in self.graphs:
+            return self.alone(len(q), p)
+        first, graph = self.graphs[len(q)]
+        return (first + graph.search(q, p.ratio)).tolist()
+
+
+def nearest(v: np.ndarray, ids: list, q: np.ndarray, wanted: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """The ``k`` nearest ids of the wanted rows of ``v``, ties to the smaller id; each id once."""
+    rows = np.flatnonzero(wanted)
+    if not len(rows):
+        return []
+    exact = np.sqrt(((v[rows] - q) ** 2).sum(axis=1))
+    order = np.argsort(exact, kind="stable")
+    # Rows as near as the k-th of the nearest ids, all ties included.
+    upto, seen = 0, set()
+    while upto < len(order) and len(seen) < k:
+        seen.update(ids[rows[order[upto]]])
+        upto += 1
+    upto = int(np.searchsorted(exact[order], exact[order[upto - 1]], "right"))
+    best: dict[int, float] = {}
+    for i in order[:upto]:
+        for x in ids[rows[i]]:
+            best.setdefault(int(x), float(exact[i]))
+    return heapq.nsmallest(k, ((d, x) for x, d in best.items()))
 
 
 def search(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> DataFrame:
@@ -117,40 +185,31 @@ def search(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> Data
     no candidate.
     """
     spark = vectors.sparkSession
-    length = usual_length(vectors)
-    usable = valid_vector() & (F.size("embedding") == length) & F.col("vec_id").isNotNull()
-    rows = vectors.where(usable).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    usable = valid_vector() & F.col("vec_id").isNotNull()
+    rows = vectors.where(usable).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct()
     order = Window.partitionBy("embedding").orderBy("vec_id")
     least = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= p.k + 1)
     reps = checkpoint(least.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    asked = checkpoint(queries.where(usable).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")))
+    asked = checkpoint(queries.where(usable).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct())
     n = reps.count()
     if not n or asked.isEmpty():
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sample = hash_sample(reps.select("embedding"), p.sample, ["embedding"], n).toPandas()
     if not len(sample):
         sample = reps.select("embedding").limit(1).toPandas()
-    x = np.stack(sorted((np.asarray(v, np.float64) for v in sample["embedding"]), key=lambda v: v.tolist()))
-    n_lists = int(np.clip(n // p.list_size, 1, min(p.most_lists, max(1, len(x) // 4))))
-    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, n_lists), p.degree))
+    index = spark.sparkContext.broadcast(Index([np.asarray(v, np.float64) for v in sample["embedding"]], n, p))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for i in range(0, len(frame), 2000):
-                part = frame.iloc[i : i + 2000]
-                d = graph.value.distances(np.stack(part["embedding"].to_list()))
-                near = np.argsort(d, axis=1, kind="stable")[:, : p.replicas]
-                far = np.take_along_axis(d, near, 1)
-                lists = [a[b <= b[0] * p.boundary].tolist() for a, b in zip(near, far, strict=True)]
-                yield pd.DataFrame({"embedding": part["embedding"], "ids": part["ids"], "lists": lists})
+            yield frame[["embedding", "ids"]].assign(lists=index.value.post([np.asarray(v, np.float64) for v in frame["embedding"]], p))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            found = [graph.value.search(np.asarray(v, np.float64), p.ratio, p.least_lists).tolist() for v in frame["embedding"]]
-            yield pd.DataFrame({"embedding": frame["embedding"], "qid": frame["qid"], "lists": found})
+            yield frame[["embedding", "qid"]].assign(lists=[index.value.route(np.asarray(v, np.float64), p) for v in frame["embedding"]])
 
     posted = reps.mapInPandas(post, "embedding array<double>, ids array<bigint>, lists array<bigint>")
-    distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("qid"))
+    # A query id with several vectors asks with each, so queries are told apart by a number.
+    distinct = checkpoint(asked.select("embedding").distinct().withColumn("qid", F.monotonically_increasing_id()))
     routed = distinct.mapInPandas(route, "embedding array<double>, qid bigint, lists array<bigint>")
     # Neighbouring list numbers come from one branch of the tree and share a task.
     bundle = lambda c: F.array_distinct(F.transform(c, lambda i: F.floor(i / p.together)))
@@ -168,32 +227,33 @@ def search(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> Data
         out: dict[str, list] = {"qid": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             v, q = np.stack(left["embedding"].to_list()), np.stack(right["embedding"].to_list())
-            n_all = int(max(max(map(max, left["lists"])), max(map(max, right["lists"])))) + 1
-            on = lambda lists: (np.repeat(np.arange(len(lists)), list(map(len, lists))), np.concatenate(list(lists)).astype(int))
-            member, wanted = np.zeros((len(v), n_all), np.float32), np.zeros((len(q), n_all), np.float32)
-            member[on(left["lists"])] = 1
-            wanted[on(right["lists"])] = 1
-            ids, sq = left["ids"].to_numpy(), (v * v).sum(axis=1)
+            known = np.unique(np.concatenate([*left["lists"], *right["lists"]]))
+            member, wanted = np.zeros((len(v), len(known)), np.float32), np.zeros((len(q), len(known)), np.float32)
+            for table, lists in ((member, left["lists"]), (wanted, right["lists"])):
+                table[np.repeat(np.arange(len(lists)), list(map(len, lists))), np.searchsorted(known, np.concatenate(list(lists)))] = 1
+            ids, sq = left["ids"].to_list(), (v * v).sum(axis=1)
             for i in range(0, len(q), 64):
                 part = q[i : i + 64]
                 rough = sq[None] - 2 * part @ v.T
                 rough[wanted[i : i + 64] @ member.T == 0] = np.inf
-                top = np.argpartition(rough, min(k + 6, len(v) - 1), axis=1)[:, : k + 7]
-                for r, cand in enumerate(top):
-                    cand = cand[np.isfinite(rough[r, cand])]
-                    exact = np.sqrt(((v[cand] - part[r]) ** 2).sum(axis=1))
-                    pairs = sorted((d, int(x)) for d, c in zip(exact.tolist(), cand.tolist(), strict=True) for x in ids[c])[: k + 1]
+                # Rough distances only cut off what is surely farther than k + 1 nearer ids.
+                slack = 1e-9 * (sq.max() + (part * part).sum(axis=1))
+                for r in range(len(part)):
+                    open_rows, rows, pairs = int(np.isfinite(rough[r]).sum()), k + 1, []
+                    while open_rows:
+                        cut = np.partition(rough[r], min(rows, open_rows) - 1)[min(rows, open_rows) - 1]
+                        pairs = nearest(v, ids, part[r], rough[r] <= cut + slack[r], k + 1)
+                        if len(pairs) > k or rows >= open_rows:
+                            break
+                        rows *= 4
                     out["qid"] += [right["qid"].iloc[i + r]] * len(pairs)
                     out["vec_id"] += [x for _, x in pairs]
                     out["score"] += [d for d, _ in pairs]
         return pd.DataFrame(out).astype({"qid": "int64", "vec_id": "int64", "score": "float64"})
 
     hits = posts.groupBy("bundle", "share").cogroup(asks.groupBy("bundle", "share")).applyInPandas(compare, "qid bigint, vec_id bigint, score double")
-    # An entry met in several bundles counts once.
-    best = Window.partitionBy("qid").orderBy("score", "vec_id")
-    hits = hits.groupBy("qid", "vec_id").agg(F.min("score").alias("score"))
-    hits = hits.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
     named = asked.join(distinct, "embedding").select("query_id", "qid")
-    own = named.join(hits, "qid").where("query_id <> vec_id")
+    # An entry met in several bundles, or by several vectors of a query id, counts once.
+    own = hits.join(named, "qid").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return own.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -214,21 +214,60 @@ def test_embedding_shares_count_alike(spark, monkeypatch):
     assert sorted(embedding_dedup.near_duplicates(df).collect()) == want
 
 
-def test_ann_recall(spark):
-    df, _ = vectors_of(spark, 1500)
-    df = df.where("label is not null")
-    got = ann.search(df, df.where("vec_id % 10 = 0"), ann.Params(list_size=20, together=2, share=100)).toPandas()
-    good = [(r["vec_id"], np.array(r["embedding"], float)) for r in df.collect() if r["embedding"] and len(r["embedding"]) == 16 and None not in r["embedding"] and np.isfinite(r["embedding"]).all() and any(r["embedding"])]
-    good = list(dict(good).items())
-    hits = total = 0
-    for q, v in good:
-        if q % 10 == 0:
-            top = sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in good if i != q)[:10]
-            mine = got[got.query_id == q].sort_values("rank")
-            assert list(mine["rank"]) == list(range(1, 11)) and list(mine.score) == sorted(mine.score)
-            hits += len(set(mine.vec_id) & {i for _, i in top})
-            total += 10
-    assert hits / total >= 0.9
+def plain_neighbours(rows, k=10):
+    """The k nearest other ids of each id divisible by 10, by comparing all rows of one length."""
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    out = {}
+    for q in {i for i, _ in good if i % 10 == 0}:
+        best = {}
+        for own in [v for i, v in good if i == q]:
+            for i, v in good:
+                if i != q and len(v) == len(own):
+                    d = float(np.sqrt(((v - own) ** 2).sum()))
+                    best[i] = min(best.get(i, d), d)
+        out[q] = [(i, d) for d, i in sorted((d, i) for i, d in best.items())[:k]]
+    return out
+
+
+def neighbours(spark, rows, p=ann.Params()):
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = {}
+    for r in sorted(ann.search(df, df.where("vec_id % 10 = 0"), p).collect()):
+        assert r["rank"] == len(out.setdefault(r["query_id"], [])) + 1
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_ann_ties_repeated_rows_and_lengths(spark):
+    """Ties, repeated queries, one id with two vectors and rare lengths, against all pairs."""
+    eye = np.eye(200)
+    rows = [(i + 1, eye[i].tolist()) for i in range(200)] + [(100, eye[99].tolist())] * 2 + [(50, eye[3].tolist())]
+    rows += [(1000 + i, [1.0 + i, 2.0, float(i % 3)]) for i in range(30)] + [(1010, [9.0, 9.0, 9.0]), (2000, [1.0, 1.0]), (2001, [1.0, 2.0]), (None, [1.0, 3.0]), (2010, [0.0, 0.0])]
+    want = plain_neighbours(rows)
+    got = neighbours(spark, rows)
+    assert got.keys() == want.keys() and 2010 not in got
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert [d for _, d in got[q]] == pytest.approx([d for _, d in want[q]], rel=1e-12)
+
+
+def test_ann_recall_where_the_ratio_decides(spark):
+    """Many lists, of which each query looks into few."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((60, 12))
+    x = centres[rng.integers(60, size=4000)] + 0.35 * rng.standard_normal((4000, 12))
+    rows = [(i, x[i].tolist()) for i in range(4000)]
+    p = ann.Params(list_size=20, together=2, ratio=1.3)
+    index = ann.Index([np.array(v) for _, v in rows], 4000, p)
+    looked = np.mean([len(index.route(x[i], p)) for i in range(0, 4000, 10)])
+    assert len(index.graphs[12][1].c) > 150 and looked < 30
+    want, got = plain_neighbours(rows), neighbours(spark, rows, p)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_ann_small_tables(spark):
+    df, _ = vectors_of(spark, 100)
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id < 5")
     assert ann.search(few, few).count() == 20
