@@ -29,7 +29,6 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,6 +217,7 @@ def survey(docs: DataFrame, p: Params) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(p.slots, np.int32)
         for batch in batches:
+            drawn = batch.column("drawn").to_pylist()
             for run in items(batch.column("text"), p):
                 np.add.at(total, (run.hashes & np.uint64(p.slots - 1)).astype(np.int64), 1)
                 sets = Sets(run.hashes, run.count)
@@ -233,7 +233,7 @@ def survey(docs: DataFrame, p: Params) -> DataFrame:
                     made |= {"size": pa.array(sets.size[back].astype(np.int32)), "fp": pa.array(sets.fingerprints()[back])}
                     made["sketch"] = pa.ListArray.from_arrays(pa.array(np.arange(len(sketch) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel()))
                 k = len(starts)
-                made["sample"] = pc.if_else(batch.column("drawn").slice(run.start, k), batch.column("text").slice(run.start, k), pa.scalar(None, pa.string()))
+                made["sample"] = pa.array([batch.column("text")[i].as_py() if drawn[i] else None for i in range(run.start, run.start + k)], pa.string())
                 yield rows(k, made | {c: batch.column(c).slice(run.start, k) for c in ("doc", "t")})
         small = np.minimum(total, 65_535).astype("<u2")
         for i in range(0, p.slots, block):
