@@ -207,6 +207,34 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_at_the_threshold(spark):
+    """Pairs at a cosine just over 0.93 and many pivots, two vector lengths, a rare one."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for length, n in ((24, 1200), (6, 300), (3, 4)):
+        x = rng.standard_normal((n, length))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        g = rng.standard_normal((n // 2, length))
+        g -= (g * x[: n // 2]).sum(axis=1)[:, None] * x[: n // 2]
+        g /= np.linalg.norm(g, axis=1)[:, None]
+        x[n // 2 :] = 0.931 * x[: n // 2] + (1 - 0.931**2) ** 0.5 * g
+        rows += [(len(rows) + i, v.tolist(), float(i % 3 == 3)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label double")
+    links = {}
+    for a, u, _ in rows:
+        links[a] = 0
+    for length in (24, 6, 3):
+        ids = [i for i, v, _ in rows if len(v) == length]
+        x = np.array([rows[i][1] for i in ids])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        for i, n in zip(ids, ((x @ x.T >= 0.93).sum(axis=1) - 1).tolist()):
+            links[i] = n
+    for n_pivots in (None, 512):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, n_pivots=n_pivots).collect()}
+        assert got.keys() == links.keys() and all(got[i] <= links[i] for i in got)
+        assert sum(got.values()) >= 0.97 * sum(links.values()) > 1500
+
+
 def test_embedding_shares_count_alike(spark, monkeypatch):
     df, _ = vectors_of(spark)
     want = sorted(embedding_dedup.near_duplicates(df).collect())
