@@ -8,8 +8,9 @@ run over key ranges: totals of ranges first, then rows within a range, so that a
 any size is spread over many tasks.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of
-its own, last in order; a null id draws from an own stream; rows that are repeated get the
-same key and are ordered by size; extra columns pass through untouched.
+its own, last in order; null ids draw by their size; rows that are repeated get the same key,
+are ordered by size and are taken one by one until the budget is met; a document of size 0 is
+taken once an epoch; extra columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -21,18 +22,18 @@ from corpusloom.storage import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a key range holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def word_count(text: str = "text") -> Column:
-    """Words of a text without building them: starts of words are counted."""
-    flat = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\u000b\f\r", "     ")
-    return F.regexp_count(flat, F.lit("[^ ]+")).cast("long")
+    """Words of a text, without building them."""
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def uniform(id_col: str = "doc_id", seed: str = "mix") -> Column:
-    """A number in (0, 1) from an id, alike in every run and engine that has MD5."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12)
+def uniform(id_col: str = "doc_id", seed: str = "mix", size: str = "size") -> Column:
+    """A number in (0, 1) from an id (null: from the size), alike in every run and engine that has MD5."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.col(size).cast("string")))
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -81,11 +82,42 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 15
     slim = checkpoint(work.select("source", "doc_id", "size", "quality"))
     plan = checkpoint(source_targets(slim, weights, percent, most))
     drawn = draw(slim, plan, seed)
-    same = [F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")), F.col("w.source").eqNullSafe(F.col("d.source")), F.col("w.size") == F.col("d.size"), F.col("w.quality") == F.col("d.quality")]
-    # Rows alike in id, source, size and weight are taken alike, so one decision serves them.
-    once = drawn.groupBy("doc_id", "source", "size", "quality").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("copies").alias("copies"))
-    joined = work.alias("w").join(once.alias("d"), on=same)
-    return joined.select("w.row", "w.size", "source_size", "target", "w.quality", "copies", (F.col("copies") * F.col("w.size")).cast("long").alias("taken"))
+    alike = drawn.groupBy("doc_id", "source", "size", "quality").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.count("*").alias("n"), F.sum("copies").alias("all"))
+    # Rows alike in these are taken alike, but for those of one group a source at which its
+    # budget ends: some of them are taken once more.
+    alike = alike.select("*", F.floor(F.col("all") / F.col("n")).alias("copies")).withColumn("more", F.col("all") - F.col("copies") * F.col("n"))
+    alike = checkpoint(alike)
+    done = joined_rows(work, alike.where("more = 0"))
+    if not alike.where("more > 0").isEmpty():
+        done = done.drop("more").union(taken_once_more(checkpoint(joined_rows(work, alike.where("more > 0")))))
+    else:
+        done = done.drop("more")
+    return done.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+
+
+def joined_rows(work: DataFrame, alike: DataFrame) -> DataFrame:
+    """Rows of ``work`` with the decision on those alike."""
+    same = F.col("w.size") == F.col("d.size")
+    for c in ("doc_id", "source", "quality"):
+        same &= F.col(f"w.{c}").eqNullSafe(F.col(f"d.{c}"))
+    joined = work.alias("w").join(alike.alias("d"), on=same)
+    return joined.select("w.row", "w.size", "source_size", "target", "w.quality", F.col("copies").cast("long").alias("copies"), F.col("more").cast("long").alias("more"))
+
+
+def taken_once_more(rows: DataFrame) -> DataFrame:
+    """``rows`` with a copy more for the first ``more`` rows of each source, without ``more``.
+
+    Rows are ordered by their hash; equal rows are numbered within the partitions that hold
+    them, so that a row that repeats very often is numbered by many tasks.
+    """
+    rows = rows.withColumns({"source": F.col("row.source"), "hash": F.xxhash64("row"), "part": F.spark_partition_id()})
+    counts = rows.groupBy("source", "hash", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("hash", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("source").alias("s"), F.col("hash").alias("h"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("source", "hash", "part").orderBy("copies"))
+    numbered = rows.withColumn("nth", nth).join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("h")) & (F.col("part") == F.col("p")))
+    extra = F.when(F.col("before") + F.col("nth") <= F.col("more"), 1).otherwise(0)
+    return numbered.select("row", "size", "source_size", "target", "quality", (F.col("copies") + extra).cast("long").alias("copies"))
 
 
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2, seed: str = "mix") -> DataFrame:
@@ -110,6 +142,6 @@ def draw(slim: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
     within = Window.partitionBy("k.source", "k.at").orderBy("key", "doc_id", "size", "quality").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("size").over(within)
     # The document that crosses the budget is taken if that ends nearer to it.
-    fits = upto.cast("double") - F.col("size").cast("double") / 2.0 <= F.col("budget")
+    fits = (F.col("size") > 0) & (upto.cast("double") - F.col("size").cast("double") / 2.0 <= F.col("budget"))
     rows = rows.select("k.source", "doc_id", "size", "quality", "source_size", "target", (F.col("epochs") + F.when(fits, 1).otherwise(0)).cast("long").alias("copies"))
     return rows.withColumn("taken", F.col("copies") * F.col("size"))

@@ -105,7 +105,7 @@ sized as (
   from capped
 ), keyed as (
   select w.doc_id, w.source, w.size, w.quality, w.text, p.source_size, p.target,
-    -ln(((('0x' || substr(md5('mix:' || coalesce(w.doc_id::varchar, 'null')), 1, 12))::bigint)::double + 0.5::double) / 281474976710656.0::double) / w.quality as key,
+    -ln(((('0x' || substr(md5('mix:' || coalesce(w.doc_id::varchar, 'null:' || w.size::varchar)), 1, 12))::bigint)::double + 0.5::double) / 281474976710656.0::double) / w.quality as key,
     case when p.source_size > 0 then floor(p.target / p.source_size)::bigint else 0 end as epochs
   from w join plan p on w.source is not distinct from p.source
 ), summed as (

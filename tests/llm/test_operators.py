@@ -322,6 +322,13 @@ def test_mix_targets(spark):
     shares = [r.target / weights[s] for s, r in open_.iterrows()]
     assert max(shares) - min(shares) < 1e-6 * max(shares)
     assert mixing.mix_sizes(docs.limit(0)).count() == 0
+    rows = [(None, "two words", "en", "s", 9)] * 200 + [(None, "two more", "en", "s", 9)] * 50 + [(5, "a b c", "en", "t", 5)] * 100 + [(6, "", "en", "t", 0), (7, None, None, None, None)]
+    odd = spark.createDataFrame(rows, DOCS)
+    whole, sizes = mixing.mix(odd).toPandas(), mixing.mix_sizes(odd).toPandas()
+    for name in ("s", "t"):
+        a, b = whole[whole.row.map(lambda r: r.source == name)], sizes[sizes.source == name]
+        assert a.taken.sum() == b.taken.sum() and abs(a.taken.sum() - a.target.iloc[0]) <= 3 and len(a) == len(b)
+    assert (whole.copies <= 2).all() and len(whole) == len(rows)
     full = mixing.mix(docs.withColumn("size", F.lit("clash")))
     assert full.count() == 602 and full.select("row.size").first()[0] == "clash"
 
