@@ -8,7 +8,8 @@ soft labels of a bounded sample, then scores every document by its own words.
 
 Defined results: a null, empty or white text is bad by rule of the length labeller and
 scored by the bias alone; repeated rows are scored each; null ids are kept; extra columns
-are ignored. With one pattern only, the posterior is the prior of EM's start.
+are ignored; a table of long texts alone is scored by the bias, which is then 0. With one
+pattern only, the posterior is the prior of EM's start.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.arrowmap import add_columns
+from corpusloom.arrowmap import add_columns, bound_batches
 from corpusloom.sampling import hash_sample
 
 # Frequent function words of the corpus languages.
@@ -35,9 +36,11 @@ FUNCTION_WORDS = set("the of and to in a is that it for on was as with be by der
 
 @dataclass(frozen=True)
 class Params:
-    """``sample_rows`` sets how many documents the scorer is fitted on (twice that at most)."""
+    """``sample_rows`` sets how many documents the scorer is fitted on (twice that at most, of
+    ``sample_chars`` characters each at most)."""
 
     sample_rows: int = 4000
+    sample_chars: int = 100_000
     slots: int = 1 << 16
     epochs: int = 12
     rate: float = 0.5
@@ -207,12 +210,14 @@ def classify(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
         for frame in batches:
             yield pd.DataFrame({"votes": [Document(t).pattern() for t in frame["__text"]]})
 
+    bound_batches(spark)
     seen = rows.select("__text").mapInPandas(vote, "votes int").groupBy("votes").count().toPandas().sort_values("votes")
     if not len(seen):
         return spark.createDataFrame([], f"`{id_col}` {kind}, votes int, posterior double, score double, keep boolean")
     post, _, _ = fit_votes(seen["votes"].to_numpy(), seen["count"].to_numpy(float), p.em_rounds)
     posterior = dict(zip(seen["votes"].tolist(), post.tolist(), strict=True))
-    sample = hash_sample(rows, p.sample_rows, [id_col, "__text"], int(seen["count"].sum())).toPandas()
+    short = rows.where(F.coalesce(F.length("__text"), F.lit(0)) <= p.sample_chars)
+    sample = hash_sample(short, p.sample_rows, [id_col, "__text"], int(seen["count"].sum())).toPandas()
     sample = sample.sort_values([id_col, "__text"], na_position="first")
     known = [Document(t) for t in sample["__text"]]
     soft = np.array([posterior[d.pattern()] for d in known])

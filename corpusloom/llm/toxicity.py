@@ -33,11 +33,13 @@ from corpusloom.sampling import hash_sample
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds and sizes; the first three bound what the driver holds (rows: twice that at most)."""
+    """Bounds and sizes; the first four bound what the driver holds (rows: twice that at most,
+    a row for each labelled id; texts of over ``train_chars`` characters are not trained on)."""
 
     toxic_rows: int = 1000
     clean_rows: int = 1500
     train_windows: int = 12_000
+    train_chars: int = 100_000
     vocabulary: int = 20_000
     least_count: int = 4
     trigrams: int = 4096
@@ -383,8 +385,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     sample = hash_sample(known.where("toxic = 1"), p.toxic_rows, ["doc_id"], ones)
     sample = sample.union(hash_sample(known.where("toxic = 0"), p.clean_rows, ["doc_id"], n - ones))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], na_position="first").reset_index(drop=True)
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= p.train_chars).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Of the rows of a repeated id one is trained on.
+    rows = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
+    rows = rows.sort_values("doc_id").reset_index(drop=True)
     return train(rows, ones / n if n else 0.0, p)
 
 
