@@ -26,8 +26,9 @@ from corpusloom.arrowmap import add_columns
 
 #: Longest piece, in bytes, that goes into a matrix.
 LONGEST = 256
-#: Pieces remembered by a worker; the memory is emptied when full.
-REMEMBERED = 250_000
+#: Pieces of at most LONGEST bytes that a worker remembers, and their characters together; the
+#: memory is emptied when full.
+REMEMBERED, REMEMBERED_CHARS = 120_000, 2_000_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -71,6 +72,7 @@ class Codec:
             todo = todo[~won]
             at[todo] = (at[todo] + np.uint64(1)) & self.mask
         self.seen: dict[str, bytes] = {}
+        self.seen_chars = 0
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
@@ -161,8 +163,6 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Add the ids of new pieces to the worker's memory."""
-        if len(self.seen) + len(pieces) > REMEMBERED:
-            self.seen.clear()
         buckets: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
             raw = p.encode()
@@ -174,18 +174,21 @@ class Codec:
             else:
                 buckets.setdefault(len(raw) if len(raw) <= 16 else 16 + (len(raw) + 15) // 16 * 16, []).append((p, raw))
         for width, found in buckets.items():
-            step = max(64, 262_144 // width)
+            step = max(64, 131_072 // width)
             for i in range(0, len(found), step):
                 part = found[i : i + step]
                 self.seen.update(zip((p for p, _ in part), self.merge_matrix([raw for _, raw in part]), strict=True))
+        self.seen_chars += sum(map(len, pieces))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(t) for t in texts]
         pieces = set().union(*split)
         new = {p for p in pieces if p not in self.seen}
+        if len(self.seen) + len(new) > REMEMBERED or self.seen_chars + sum(map(len, new)) > REMEMBERED_CHARS:
+            self.seen, self.seen_chars, new = {}, 0, pieces
         if new:
-            self.learn(new if len(self.seen) + len(new) <= REMEMBERED else pieces)
+            self.learn(new)
         return [b"".join(map(self.seen.__getitem__, x)) for x in split]
 
     def encode_bytes(self, text: str) -> bytes:
@@ -220,7 +223,7 @@ class _Shared:
         return self.cast.value
 
 
-def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+def slices(texts: list[str], chars: int = 400_000) -> Iterator[list[str]]:
     """Runs of texts with about ``chars`` characters together, at least a text each."""
     held, total = [], 0
     for t in texts:
