@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -16,6 +17,18 @@ BATCH_ROWS = 2000
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system.
+
+    Python workers are kept for later tasks; without this each keeps the memory of its
+    largest task while it waits.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's rows per Arrow batch to BATCH_ROWS; a lower setting stays."""
     if not 0 < int(spark.conf.get(BATCH_CONF, "10000")) <= BATCH_ROWS:
@@ -40,5 +53,7 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, Sequen
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             columns += [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], types[n], from_pandas=False) for n in types]
             yield pa.RecordBatch.from_arrays(columns, [*names, *types])
+            del columns, made
+        give_back()
 
     return df.mapInArrow(run, StructType([*kept, *new.fields]))

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusloom.arrowmap import give_back
+
 
 def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """Regroup batches sorted by ``key`` so that no group spans two of them."""
@@ -44,6 +46,7 @@ def map_groups(df: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.DataFr
             out = work(frame)
             if len(out):
                 yield out
+        give_back()
 
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
