@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.arrowmap import bound_batches
+from corpusloom.arrowmap import bound_batches, give_back
 from corpusloom.llm.membership import bit_set, maybe_in
 from corpusloom.llm.words import mixed, runs, spans
 from corpusloom.storage import checkpoint, materialize
@@ -239,6 +239,7 @@ def survey(docs: DataFrame, p: Params) -> DataFrame:
         for i in range(0, p.slots, block):
             if small[i : i + block].any():
                 yield rows(1, {"at": pa.array([i], pa.int32()), "n": pa.array([small[i : i + block].tobytes()], pa.binary())})
+        give_back()
 
     return materialize(placed(docs, p).withColumn("drawn", drawn).mapInArrow(read, schema))
 
@@ -346,6 +347,7 @@ def posted(docs: DataFrame, rare: np.ndarray, shares: dict[int, int], buckets: i
                     columns["words"] = lists_of([np.concatenate([words[sets.starts[o] : sets.starts[o] + sets.size[o]] for o in owner[s:e]]) for s, e in zip(a, b, strict=True)], pa.int64())
                 columns["bucket"] = pa.array(bucket[a].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+        give_back()
 
     return placed(docs, p).mapInArrow(post, POSTS)
 
@@ -500,6 +502,8 @@ def candidates(posts: DataFrame, p: Params) -> DataFrame:
         keep = np.ones(len(order), bool)
         keep[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
         order = order[keep]
+        del lists
+        give_back()
         made = [c[order] for c in columns[:4]] + [more[order], np.full(len(order), table.column("bucket")[0].as_py(), np.int32), at[order].astype(np.int32)]
         return pa.Table.from_arrays([pa.array(c) for c in made], names)
 
@@ -540,6 +544,7 @@ def words_of(docs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
                 ends = np.cumsum(np.concatenate([[0], found.size[hit]])).astype(np.int32)
                 words = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.words()[mine[found.owner]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(d1[hit]), pa.array(sig[hit]), words], [*SET, "words"])
+        give_back()
 
     return placed(docs, p).mapInArrow(read, "d1 bigint, sig bigint, words array<bigint>")
 
