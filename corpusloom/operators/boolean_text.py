@@ -1,40 +1,28 @@
-"""A small boolean text query, read on the driver and run as column expressions."""
+"""Boolean text search from given terms, as column expressions."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import occurrences
 
-PART = re.compile(r'"([^"]+)"|(\S+)')
 
+def search(docs: DataFrame, terms: Iterable[tuple[str, str, int]], text: str = "text") -> DataFrame:
+    """Documents that match, with ``score``: weighted occurrences of the wanted terms.
 
-def parse(query: str) -> list[tuple[str, str, int]]:
-    """(operator, term, weight) from left to right; phrases weigh 2, words 1."""
-    out: list[tuple[str, str, int]] = []
-    operator = "AND"
-    for phrase, word in PART.findall(query):
-        if word in ("AND", "OR", "NOT"):
-            operator = word
-        else:
-            out.append((operator, (phrase or word).lower(), 2 if phrase else 1))
-            operator = "AND"
-    return out
-
-
-def search(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """Documents that match, with ``score``: weighted occurrences of the wanted terms."""
+    ``terms`` are (AND, OR or NOT, term, weight), applied from left to right.
+    """
     low = F.lower(text)
     hit: Column | None = None
     score: Column = F.lit(0)
-    for operator, term, weight in parse(query):
-        has = low.contains(term)
+    for operator, term, weight in terms:
+        has = low.contains(term.lower())
         if operator == "NOT":
             hit = ~has if hit is None else hit & ~has
             continue
         hit = has if hit is None else hit | has if operator == "OR" else hit & has
-        score = score + occurrences(low, term) * weight
+        score = score + occurrences(low, term.lower()) * weight
     return docs.where(F.lit(False) if hit is None else hit).withColumn("score", score)

@@ -19,23 +19,32 @@ def containing(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", quote
 
     The second to fifth blank-separated tokens of a quote stand whole in any text that holds
     it, so their hash meets the hashes of a text's runs of four tokens in an equi-join; only
-    texts that meet are compared with the whole quote. Quotes too short for that are
-    compared with every text (they are a stated query set).
+    texts that meet are compared with the whole quote. Quotes too short for that meet texts
+    on their first characters, three at most, in an equi-join of its own.
     """
     tokens = F.split("text", " ")
     q = quotes.where("text is not null and text <> ''").select(quote_id, F.col("text").alias("quote"), tokens.alias("tokens"))
     enough = F.size("tokens") >= PROBE + 2
     long = q.where(enough).select(quote_id, "quote", probe(F.col("tokens"), F.lit(1)).alias("probe"))
-    short = q.where(~enough).select(quote_id, "quote")
+    short = q.where(~enough).select(quote_id, "quote", F.substring("quote", 1, 3).alias("probe"))
     t = docs.where("text is not null").select(doc_id, "text")
     runs = t.select(doc_id, tokens.alias("tokens")).where(F.size("tokens") >= PROBE)
     starts = F.sequence(F.lit(0), F.size("tokens") - PROBE)
     probes = runs.select(doc_id, F.explode(F.array_distinct(F.transform(starts, lambda i: probe(F.col("tokens"), i)))).alias("probe"))
-    hits = probes.join(long.select(quote_id, "probe"), "probe").select(doc_id, quote_id).distinct()
-    full = hits.join(long.drop("probe"), quote_id).join(t, doc_id).where(F.col("text").contains(F.col("quote")))
-    few = t.crossJoin(F.broadcast(short)).where(F.col("text").contains(F.col("quote")))
     columns = [doc_id, quote_id, (F.expr("instr(text, quote)") - 1).alias("start")]
-    return full.select(*columns).union(few.select(*columns))
+
+    def compared(probes: DataFrame, asked: DataFrame) -> DataFrame:
+        hits = probes.join(asked.select(quote_id, "probe"), "probe").select(doc_id, quote_id).distinct()
+        return hits.join(asked.drop("probe"), quote_id).join(t, doc_id).where(F.col("text").contains(F.col("quote"))).select(*columns)
+
+    found = compared(probes, long)
+    if short.isEmpty():
+        return found
+    at = F.sequence(F.lit(1), F.length("text"))
+    sizes = [r[0] for r in short.select(F.length("probe")).distinct().collect()]  # 1, 2 or 3
+    parts = F.array_distinct(F.flatten(F.array(*[F.transform(at, lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))) for n in sizes])))
+    grams = t.where("text <> ''").select(doc_id, F.explode(parts).alias("probe"))
+    return found.union(compared(grams, short))
 
 
 def validate(evidence: DataFrame, texts: DataFrame) -> DataFrame:

@@ -17,9 +17,14 @@ def order_versions(orders: DataFrame) -> DataFrame:
 
 
 def close_previous(versions: DataFrame) -> DataFrame:
-    """Adds valid_to: the start of the next version of the document (null: open)."""
-    w = Window.partitionBy("document_id").orderBy("valid_from", "version_id")
-    return versions.withColumn("valid_to", F.lead("valid_from").over(w))
+    """Closes open periods: valid_to becomes the next later start of the document (null: open).
+
+    Versions that start on one day do not close each other, and a period that has an end
+    already (column valid_to) keeps it.
+    """
+    later = Window.partitionBy("document_id").orderBy(F.unix_date("valid_from")).rangeBetween(1, Window.unboundedFollowing)
+    to = F.min("valid_from").over(later)
+    return versions.withColumn("valid_to", F.coalesce(F.col("valid_to"), to) if "valid_to" in versions.columns else to)
 
 
 def in_force(versions: DataFrame, day: str) -> DataFrame:

@@ -287,9 +287,9 @@ def ev_entailment(spark: SparkSession, d: str) -> DataFrame:
     return w.join(after, "item_id").select("item_id", F.round(F.when(same, overlap).otherwise(F.least(overlap, F.lit(0.2))), 6).alias("entailment"))
 
 
-@query("ev_altered_quotes", "select item_id, not contains(lower(b.text), lower(substring(case when item_id % 3 = 0 then text || 'x' else text end, 5, 200))) as altered from benchmark b")
+@query("ev_altered_quotes", "select item_id, not contains(lower(b.text), lower(case when item_id % 3 = 0 then text || 'x' else text end)) as altered from benchmark b")
 def ev_altered_quotes(spark: SparkSession, d: str) -> DataFrame:
-    quote = F.substring(F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 5, 200)
+    quote = F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
     return table(spark, d, "benchmark").select("item_id", (~F.lower("text").contains(F.lower(quote))).alias("altered"))
 
 
@@ -329,9 +329,9 @@ def me_coverage_gate(spark: SparkSession, d: str) -> DataFrame:
 # Text functions
 
 
-@query("fn_quote_fold", r"select doc_id, regexp_replace(replace(replace(lower(substring(text, 1, 300)), '&amp;', '&'), '&quot;', '\"'), '[^\p{L}\p{N}]+', ' ', 'g') as folded from documents")
+@query("fn_quote_fold", r"select doc_id, regexp_replace(replace(replace(lower(text), '&amp;', '&'), '&quot;', '\"'), '[^\p{L}\p{N}]+', ' ', 'g') as folded from documents")
 def fn_quote_fold(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.replace(F.replace(F.lower(F.substring("text", 1, 300)), F.lit("&amp;"), F.lit("&")), F.lit("&quot;"), F.lit('"'))
+    plain = F.replace(F.replace(F.lower("text"), F.lit("&amp;"), F.lit("&")), F.lit("&quot;"), F.lit('"'))
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ").alias("folded"))
 
 

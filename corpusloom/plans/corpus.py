@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
@@ -29,11 +29,18 @@ def ig_chunk_generic(spark: SparkSession, d: str) -> DataFrame:
 @query("ig_chunk_validate", f"with {CHUNKS_SQL}, s as (select doc_id, ordinal, body, coalesce(sum(length(body) + 1) over (partition by doc_id order by ordinal rows between unbounded preceding and 1 preceding), 0) as start from lines) select s.doc_id, count(*) as n, count(*) filter (where substring(d.text, s.start::int + 1, length(s.body)) = s.body) as n_exact from s join documents d using (doc_id) group by 1")
 def ig_chunk_validate(spark: SparkSession, d: str) -> DataFrame:
     """Offsets of lines by a running sum; each slice of the text must equal its line."""
-    t = table(spark, d, "documents").select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("ordinal", "body"))
-    before = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("body") + 1).over(before), F.lit(0)).cast("int")
-    s = t.withColumn("start", start).withColumn("exact", F.substring(F.col("text"), F.col("start") + 1, F.length("body")) == F.col("body"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("exact").alias("n_exact"))
+    """Offsets of lines by a running sum; each slice of the text must equal its line.
+
+    Sum and check run inside the array of a text's lines, so no text is copied or shuffled.
+    """
+    first = F.struct(F.lit(1).alias("start"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_exact"))
+
+    def step(s: Column, line: Column) -> Column:
+        exact = F.substring(F.col("text"), s["start"], F.length(line)) == line
+        return F.struct((s["start"] + F.length(line) + 1).alias("start"), (s["n"] + 1).alias("n"), (s["n_exact"] + F.when(exact, 1).otherwise(0)).alias("n_exact"))
+
+    done = F.aggregate(F.split("text", "\n"), first, step)
+    return table(spark, d, "documents").select("doc_id", done.alias("s")).select("doc_id", "s.n", "s.n_exact")
 
 
 @query("ig_identity", "select source, lang, count(*) as n_versions, min(doc_id) as first_id from documents group by 1, 2")
@@ -43,14 +50,14 @@ def ig_identity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ig_hash_lookup",
-    """with stored as (select doc_id % 50 as document_id, sha256(text) as h, bool_or(doc_id >= 50) as cur from documents where doc_id < 100 group by 1, 2),
-    incoming as (select doc_id, doc_id % 50 as document_id, sha256(text) as h from documents where doc_id < 300)
+    """with stored as (select source as document_id, sha256(text) as h, bool_or(n_chars >= 500) as cur from documents where lang = 'en' group by 1, 2),
+    incoming as (select doc_id, source as document_id, sha256(text) as h from documents)
     select i.doc_id, case when s.cur is null then 'new' when s.cur then 'unchanged' else 'reverted_content' end as action from incoming i left join stored s on s.document_id = i.document_id and s.h = i.h""",
 )
 def ig_hash_lookup(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 50).alias("document_id"), F.sha2("text", 256).alias("content_sha256"))
-    stored = t.where("doc_id < 100").withColumn("is_current", F.col("doc_id") >= 50)
-    return versions.outcomes(t.where("doc_id < 300"), stored).select("doc_id", "action")
+    """All documents come in; those of one language are stored already."""
+    t = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("document_id"), F.sha2("text", 256).alias("content_sha256"), (F.col("n_chars") >= 500).alias("is_current"))
+    return versions.outcomes(t.drop("is_current"), t.where("lang = 'en'")).select("doc_id", "action")
 
 
 @query("ig_close_effective", f"with {VERSIONS_SQL} select document_id, version_id, valid_from, valid_to from versions")
@@ -132,10 +139,10 @@ def ig_segmented_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(joined.alias("canonical"), F.sum(F.length(F.trim("text"))).cast("long").alias("n_chars"))
 
 
-@query("ig_locator_for_range", "select l_orderkey, 's. ' || min(l_linenumber) || '-' || max(l_linenumber) as label from lineitem where l_linenumber < 5 group by 1")
+@query("ig_locator_for_range", "select l_orderkey, 's. ' || min(l_linenumber) || '-' || max(l_linenumber) as label from lineitem group by 1")
 def ig_locator_for_range(spark: SparkSession, d: str) -> DataFrame:
     label = F.concat(F.lit("s. "), F.min("l_linenumber").cast("string"), F.lit("-"), F.max("l_linenumber").cast("string"))
-    return table(spark, d, "lineitem").where("l_linenumber < 5").groupBy("l_orderkey").agg(label.alias("label"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(label.alias("label"))
 
 
 @query("ig_watch_compare", "with a as (select o_custkey as k, count(*) as n from orders where o_orderdate < timestamp '1995-01-01' group by 1), b as (select o_custkey as k, count(*) as n from orders where o_orderdate >= timestamp '1995-01-01' group by 1) select coalesce(a.k, b.k) as k, case when a.k is null then 'baseline_stored' when b.k is null then 'gone' when a.n = b.n then 'unchanged' else 'maybe_changed' end as state from a full outer join b on a.k = b.k")
@@ -166,11 +173,14 @@ def snk_chunk_insert(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.sha2("body", 256).alias("h")).agg(F.count("*").alias("n_seen"), F.min("doc_id").alias("first_doc"))
 
 
-@query("src_paged_document", "select conv_id, string_agg(text, chr(10) order by turn) as text from conversations group by 1 having count(*) <= 6")
+@query("src_paged_document", "select conv_id, case when count(*) <= 6 then 'OK' else 'TOO_MANY_PAGES' end as status, case when count(*) <= 6 then string_agg(text, chr(10) order by turn) end as text from conversations group by 1")
 def src_paged_document(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a document in order; one of over six pages is refused with a status."""
     pages = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    g = table(spark, d, "conversations").groupBy("conv_id").agg(pages.alias("pages")).where(F.size("pages") <= 6)
-    return g.select("conv_id", F.array_join(F.transform("pages", lambda x: x["text"]), "\n").alias("text"))
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(pages.alias("pages"))
+    few = F.size("pages") <= 6
+    status = F.when(few, "OK").otherwise("TOO_MANY_PAGES").alias("status")
+    return g.select("conv_id", status, F.when(few, F.array_join(F.transform("pages", lambda x: x["text"]), "\n")).alias("text"))
 
 
 # Retrieval

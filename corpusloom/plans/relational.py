@@ -33,7 +33,7 @@ def flt_visibility(spark: SparkSession, d: str) -> DataFrame:
 
 
 VERSIONS_SQL = """versions as (select o_custkey as document_id, o_orderkey as version_id, o_orderdate::date as valid_from,
-  lead(o_orderdate::date) over (partition by o_custkey order by o_orderdate, o_orderkey) as valid_to from orders)"""
+  min(o_orderdate::date) over (partition by o_custkey order by o_orderdate::date range between interval 1 day following and unbounded following) as valid_to from orders)"""
 
 
 @query("flt_as_of", f"with {VERSIONS_SQL} select document_id, version_id from versions where valid_from <= date '1996-06-30' and (valid_to is null or date '1996-06-30' < valid_to)")
@@ -101,7 +101,7 @@ def flt_iso_date_regex(spark: SparkSession, d: str) -> DataFrame:
 def flt_boolean_text(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.operators.boolean_text import search
 
-    return search(table(spark, d, "documents"), '"of the" AND with NOT license').select("doc_id", F.col("score").cast("long").alias("score"))
+    return search(table(spark, d, "documents"), [("AND", "of the", 2), ("AND", "with", 1), ("NOT", "license", 1)]).select("doc_id", F.col("score").cast("long").alias("score"))
 
 
 @query("flt_injection_scan", "select doc_id from documents where regexp_matches(lower(text), 'token = \"|password|ignore (all|previous)')")
@@ -242,11 +242,12 @@ def jn_as_of_version(spark: SparkSession, d: str) -> DataFrame:
     return versions.as_of_join(e, v, "at").select("event_id", "version_id")
 
 
-@query("jn_range_overlap", "with s as (select l_orderkey, l_linenumber, l_partkey % 5000 as lo, l_partkey % 5000 + l_quantity::int as hi from lineitem where l_linenumber = 1), q as (select o_orderkey, o_custkey % 5000 as lo, o_custkey % 5000 + 2 as hi from orders where o_orderkey % 50 = 0) select q.o_orderkey, s.l_orderkey from q join s on s.lo < q.hi and s.hi > q.lo")
+@query("jn_range_overlap", "with s as (select l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber as lo, l_orderkey * 8 + l_linenumber + l_quantity::int as hi from lineitem), q as (select o_orderkey, o_orderkey * 8 as lo, o_orderkey * 8 + 2 as hi from orders) select q.o_orderkey, s.l_orderkey, s.l_linenumber from q join s on s.lo < q.hi and s.hi > q.lo")
 def jn_range_overlap(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey", "l_partkey % 5000 as lo", "l_partkey % 5000 + cast(l_quantity as int) as hi")
-    q = table(spark, d, "orders").where("o_orderkey % 50 = 0").selectExpr("o_orderkey", "o_custkey % 5000 as q_lo", "o_custkey % 5000 + 2 as q_hi")
-    return versions.range_join(s, q, ("lo", "hi"), ("q_lo", "q_hi"), width=50).select("o_orderkey", "l_orderkey")
+    """Ranges of all lines against ranges of all orders, along one axis of order numbers."""
+    s = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_orderkey * 8 + l_linenumber as lo", "l_orderkey * 8 + l_linenumber + cast(l_quantity as int) as hi")
+    q = table(spark, d, "orders").selectExpr("o_orderkey", "o_orderkey * 8 as q_lo", "o_orderkey * 8 + 2 as q_hi")
+    return versions.range_join(s, q, ("lo", "hi"), ("q_lo", "q_hi"), width=50).select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
 @query("jn_rate_periods", "with r(lo, hi, rate, prio) as (values (date '1990-01-01', date '1996-01-01', 5, 0), (date '1996-01-01', date '2000-01-01', 8, 0), (date '1995-06-01', date '1996-06-01', 7, 1)) select o_orderkey, rate from (select o_orderkey, rate, row_number() over (partition by o_orderkey order by prio desc) as rn from orders join r on o_orderdate::date >= lo and o_orderdate::date < hi) where rn = 1")
@@ -303,9 +304,9 @@ def jn_one_hop_expand(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "n_regionkey").where("seed <> reached").select("seed", "reached")
 
 
-@query("jn_cross_grid", "select c_custkey, r_regionkey from customer, region where c_custkey <= 500")
+@query("jn_cross_grid", "select c_custkey, r_regionkey from customer, region")
 def jn_cross_grid(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where("c_custkey <= 500").crossJoin(F.broadcast(table(spark, d, "region"))).select("c_custkey", "r_regionkey")
+    return table(spark, d, "customer").crossJoin(F.broadcast(table(spark, d, "region"))).select("c_custkey", "r_regionkey")
 
 
 @query("jn_left_title", "select event_id, c_name as title from events left join customer on c_custkey = user_id")
@@ -448,10 +449,15 @@ def ag_token_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("tokens"))
 
 
-@query("ag_search_groups", "select c_mktsegment, count(*) as total, string_agg(c_custkey::varchar, ',' order by c_custkey) filter (where c_custkey <= 200) as first_ids from customer group by 1")
+@query("ag_search_groups", "with r as (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as rn from customer) select c_mktsegment, count(*) as total, string_agg(c_custkey::varchar, ',' order by rn) filter (where rn <= 20) as first_ids from r group by 1")
 def ag_search_groups(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("c_custkey") <= 200, F.col("c_custkey")))), lambda x: x.cast("string"))
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("total"), F.nullif(F.array_join(ids, ","), F.lit("")).alias("first_ids"))
+    """Size of each group and its 20 best hits (the report's length)."""
+    c = table(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
+    totals = c.groupBy("c_mktsegment").agg(F.count("*").alias("total"))
+    rn = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    top = c.withColumn("rn", rn).where("rn <= 20").groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("rn", "c_custkey"))).alias("ids"))
+    ids = F.array_join(F.transform("ids", lambda x: x["c_custkey"].cast("string")), ",")
+    return totals.join(top, "c_mktsegment").select("c_mktsegment", "total", ids.alias("first_ids"))
 
 
 @query("ag_observation_census", "select source, count(*) filter (where quality = 1) as supported, count(*) filter (where quality = 0) as failed, count(*) filter (where quality is null) as abstained from documents left join labels using (doc_id) group by 1")
@@ -465,10 +471,12 @@ def ag_latest_amendment(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_max(F.regexp_extract_all("text", F.lit("([0-9]{2,})"), F.lit(1))).alias("latest"))
 
 
-@query("ag_cell_pivot", "select conv_id, max(case when turn = 0 then role end) as t0, max(case when turn = 1 then role end) as t1, max(case when turn = 2 then role end) as t2 from conversations group by 1")
+@query("ag_cell_pivot", "with c as (select o_custkey, o_orderpriority, count(*) as n, max(o_totalprice) as top from orders group by 1, 2) select o_custkey, max(top) filter (where o_orderpriority = '1-URGENT') as urgent, max(top) filter (where o_orderpriority = '2-HIGH') as high, max(top) filter (where o_orderpriority = '3-MEDIUM') as medium, max(top) filter (where o_orderpriority = '4-NOT SPECIFIED') as open, max(top) filter (where o_orderpriority = '5-LOW') as low from c group by 1")
 def ag_cell_pivot(spark: SparkSession, d: str) -> DataFrame:
-    grid = table(spark, d, "conversations").groupBy("conv_id").pivot("turn", [0, 1, 2]).agg(F.max("role"))
-    return grid.select("conv_id", F.col("0").alias("t0"), F.col("1").alias("t1"), F.col("2").alias("t2"))
+    """A row a customer, a column for each of the five priorities."""
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "open", "5-LOW": "low"}
+    grid = table(spark, d, "orders").groupBy("o_custkey").pivot("o_orderpriority", list(names)).agg(F.max("o_totalprice"))
+    return grid.select("o_custkey", *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
 
 
 # Windows
@@ -522,8 +530,8 @@ def wn_topk_per_claim(spark: SparkSession, d: str) -> DataFrame:
 @query("wn_codepoint_windows", "select doc_id, i::int as seq, substring(text, (i * 750 + 1)::int, 1000) as part from (select doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 250) / 750.0)::int))) as i from documents)")
 def wn_codepoint_windows(spark: SparkSession, d: str) -> DataFrame:
     n = F.greatest(F.lit(1), F.ceil((F.length("text") - 250) / 750.0)).cast("int")
-    t = table(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    return t.select("doc_id", "seq", F.substring(F.col("text"), F.col("seq") * 750 + 1, F.lit(1000)).alias("part"))
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 750 + 1, F.lit(1000)))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(cut).alias("seq", "part"))
 
 
 @query("wn_duplicate_numbering", "select c_custkey, c_mktsegment || case when row_number() over (partition by c_mktsegment, c_nationkey order by c_custkey) > 1 then '#' || row_number() over (partition by c_mktsegment, c_nationkey order by c_custkey) else '' end as label from customer")
@@ -587,9 +595,13 @@ def lm_topk_partition(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey")
 
 
-@query("lm_paginate_text", "select doc_id, substring(text, 501, 500) as page, ceil(length(text) / 500.0)::bigint as pages from documents")
+@query("lm_paginate_text", "select doc_id, page_no, substring(text, (page_no * 500 + 1)::int, 500) as page, pages from (select doc_id, text, ceil(length(text) / 500.0)::bigint as pages, unnest(range(0, ceil(length(text) / 500.0)::bigint)) as page_no from documents)")
 def lm_paginate_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 501, 500).alias("page"), F.ceil(F.length("text") / 500.0).alias("pages"))
+    """All pages of 500 code points; they are cut before rows are made, so no text is copied."""
+    pages = F.ceil(F.length("text") / 500.0)
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), pages - 1), lambda i: F.substring(F.col("text"), (i * 500 + 1).cast("int"), F.lit(500)))
+    t = table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.posexplode(cut).alias("page_no", "page"), pages.alias("pages"))
+    return t.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "page", "pages")
 
 
 @query("lm_chunk_window", "select l_orderkey, l_linenumber from lineitem order by l_orderkey, l_linenumber limit 30 offset 60")

@@ -141,9 +141,9 @@ def fn_vkn(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", (F.length(text.digits(F.col("c_name"))) == 10).alias("is_tax_id"))
 
 
-@query("fn_csv_field", """select doc_id, '"' || replace(case when regexp_matches(substring(text, 1, 60), '^[=+@-]') then chr(39) || substring(text, 1, 60) else substring(text, 1, 60) end, '"', '""') || '"' as field from documents""")
+@query("fn_csv_field", """select doc_id, '"' || replace(case when regexp_matches(text, '^[=+@-]') then chr(39) || text else text end, '"', '""') || '"' as field from documents""")
 def fn_csv_field(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.csv_field(F.substring("text", 1, 60)).alias("field"))
+    return table(spark, d, "documents").select("doc_id", text.csv_field(F.col("text")).alias("field"))
 
 
 @query("fn_contains_quote", "select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
@@ -153,9 +153,9 @@ def fn_contains_quote(spark: SparkSession, d: str) -> DataFrame:
     return containing(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
 
 
-@query("fn_ascii_fold", "select doc_id, regexp_replace(translate(lower(translate(substring(text, 1, 200), 'İI', 'iı')), 'ıçğöşüâîûéèêëáàäíìïóòôúùñß', 'icgosuaiueeeeaaaiiiooouuns'), '[^\\x00-\\x7f]', '', 'g') as ascii from documents")
+@query("fn_ascii_fold", "select doc_id, regexp_replace(translate(lower(translate(text, 'İI', 'iı')), 'ıçğöşüâîûéèêëáàäíìïóòôúùñß', 'icgosuaiueeeeaaaiiiooouuns'), '[^\\x00-\\x7f]', '', 'g') as ascii from documents")
 def fn_ascii_fold(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.translate(text.tr_lower(F.substring("text", 1, 200)), "ıçğöşüâîûéèêëáàäíìïóòôúùñß", "icgosuaiueeeeaaaiiiooouuns")
+    plain = F.translate(text.tr_lower(F.col("text")), "ıçğöşüâîûéèêëáàäíìïóòôúùñß", "icgosuaiueeeeaaaiiiooouuns")
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(plain, "[^\\x00-\\x7f]", "").alias("ascii"))
 
 
