@@ -335,13 +335,6 @@ def fn_quote_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ").alias("folded"))
 
 
-@query("fn_lexeme_match", "select a.p_partkey as a, left(a.p_type, 4) = left(b.p_type, 4) as matches from part a join part b on b.p_partkey = a.p_partkey + 1")
-def fn_lexeme_match(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_type")
-    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_type").alias("other"))
-    return p.join(after, "p_partkey").select(F.col("p_partkey").alias("a"), (F.substring("p_type", 1, 4) == F.substring("other", 1, 4)).alias("matches"))
-
-
 @query("ps_values", r"select doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'))) as n_dates, len(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?'))) as n_amounts from documents")
 def ps_values(spark: SparkSession, d: str) -> DataFrame:
     n = lambda p: F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(1)))).cast("long")

@@ -159,40 +159,6 @@ def fn_ascii_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(plain, "[^\\x00-\\x7f]", "").alias("ascii"))
 
 
-@query(
-    "ps_polarity",
-    "select doc_id, case when contains(lower(text), ' not ') or contains(lower(text), ' nicht ') then 'NEGATIVE' when contains(lower(text), ' with ') or contains(lower(text), ' mit ') then 'AFFIRMATIVE' else 'NEUTRAL' end as polarity from documents",
-)
-def ps_polarity(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower("text")
-    has = lambda *terms: F.exists(F.array(*map(F.lit, terms)), lambda x: t.contains(x))
-    polarity = F.when(has(" not ", " nicht "), "NEGATIVE").when(has(" with ", " mit "), "AFFIRMATIVE").otherwise("NEUTRAL")
-    return table(spark, d, "documents").select("doc_id", polarity.alias("polarity"))
-
-
-@query(
-    "ps_stance",
-    "select doc_id, case when source = 'src0' then 'NORM' when contains(lower(text), ' not ') then 'NEGATIVE' else 'NEUTRAL' end as stance from documents",
-)
-def ps_stance(spark: SparkSession, d: str) -> DataFrame:
-    stance = F.when(F.col("source") == "src0", "NORM").when(F.lower("text").contains(" not "), "NEGATIVE").otherwise("NEUTRAL")
-    return table(spark, d, "documents").select("doc_id", stance.alias("stance"))
-
-
-@query(
-    "ps_authority",
-    """select doc_id, case when source = 'src0' then 1 when source in ('src1', 'src2') then 2 when source = 'src3' then 3 when starts_with(source, 'src1') then 4 else 5 end as tier,
-    case when source = 'src0' then 1.0::double when source in ('src1', 'src2') then 0.9::double when source = 'src3' then 0.8::double when starts_with(source, 'src1') then 0.6::double else 0.3::double end as authority from documents""",
-)
-def ps_authority(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("source")
-    rules = [(s == "src0", 1, 1.0), (s.isin("src1", "src2"), 2, 0.9), (s == "src3", 3, 0.8), (s.startswith("src1"), 4, 0.6)]
-    tier, score = F.lit(5), F.lit(0.3)
-    for rule, t, x in reversed(rules):
-        tier, score = F.when(rule, t).otherwise(tier), F.when(rule, x).otherwise(score)
-    return table(spark, d, "documents").select("doc_id", tier.alias("tier"), score.alias("authority"))
-
-
 @query("ps_predicate", "select event_id, split_part(event_type || ';' || user_id::varchar, ';', 1) as base, split_part(event_type || ';' || user_id::varchar, ';', 2) as event from events")
 def ps_predicate(spark: SparkSession, d: str) -> DataFrame:
     tag = F.concat_ws(";", "event_type", F.col("user_id").cast("string"))
