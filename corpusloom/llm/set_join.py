@@ -61,7 +61,7 @@ class Params:
     first_candidates: int = 4
     long_candidates: int = 16
     long_words: int = 64
-    bucket_bytes: int = 32_000_000
+    bucket_bytes: int = 16_000_000
 
 
 ONE = np.uint64(1)
@@ -173,14 +173,12 @@ class Sets:
     def fingerprints(self) -> np.ndarray:
         """SimHash of each set: a bit is 1 if set in over half the hashes of its words."""
         h = mixed(self.words() + np.uint64(0x2545F4914F6CDD1D))
-        out = np.zeros((len(self.size), 8), np.uint8)
-        for a in range(0, len(self.size), 64):
-            b = min(a + 64, len(self.size))
-            s, e = self.starts[a], self.starts[b - 1] + self.size[b - 1]
-            bits = np.unpackbits(h[s:e].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, self.starts[a:b] - s, axis=0, dtype=np.int32)
-            out[a:b] = np.packbits(2 * ones > self.size[a:b, None], axis=1, bitorder="little")
-        return out.view(np.int64).ravel()
+        ones = np.zeros((len(self.size), 64), np.int32)
+        for i in range(0, len(h), 1 << 15):
+            bits = np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            starts, _ = spans(self.owner[i : i + (1 << 15)])
+            ones[self.owner[i + starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        return np.packbits(2 * ones > self.size[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
     def sketches(self, bits: int) -> np.ndarray:
         """Parity sketch of each set, rows of longs: a word flips one of ``bits``."""
@@ -319,7 +317,7 @@ def posted(docs: DataFrame, rare: np.ndarray, shares: dict[int, int], buckets: i
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare, shares, wanted = shared.value
         for batch in batches:
-            for run in items(batch.column("text"), p, 1 << 22):
+            for run in items(batch.column("text"), p):
                 sets, x, owner = postings(run, batch, rare, p)
                 key = x.pop("key")
                 if shares:
@@ -582,7 +580,7 @@ def similar_sets(docs: DataFrame, surveyed: DataFrame, p: Params, sets: DataFram
     rare, n_units = rarity(surveyed, p)
     shares = long_lists(surveyed, rare, p)
     # About a fourth of all units is posted, with 50 bytes each.
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n_units * 50 // 4 // p.bucket_bytes)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n_units * 50 // 4 // p.bucket_bytes)
     pairs = materialize(candidates(posted(docs, rare, shares, buckets, p), p))
     first = pairs.select(*X, *Y)
     judged = checkpoint(verified(first if more is None else first.union(more.select(*X, *Y)), docs, p, sets))
