@@ -309,7 +309,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 #: Words that a worker remembers inputs for.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 class Scorer:
@@ -392,7 +392,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     return train(rows, ones / n if n else 0.0, p)
 
 
-def slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str | None]]:
+def slices(texts: list[str | None], chars: int = 400_000) -> Iterator[list[str | None]]:
     """Runs of texts with about ``chars`` characters together, at least a text each."""
     held, total = [], 0
     for t in texts:
@@ -408,8 +408,8 @@ def slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str
 _scorers: dict[int, Scorer] = {}
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``toxicity`` (double, 0 to 1)."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and ``name`` (double, 0 to 1), which replaces one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     mark = int(np.random.default_rng().integers(1 << 62))
 
@@ -418,6 +418,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _scorers.clear()
             _scorers[mark] = Scorer(shared.value)
         texts = batch.column(text).to_pylist()
-        return {"toxicity": np.concatenate([np.zeros(0), *map(_scorers[mark].scores, slices(texts))])}
+        return {name: np.concatenate([np.zeros(0), *map(_scorers[mark].scores, slices(texts))])}
 
-    return add_columns(docs, make, "toxicity double")
+    return add_columns(docs, make, f"`{name}` double")
