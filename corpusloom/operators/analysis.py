@@ -9,8 +9,19 @@ from corpusloom.graph import connected_components
 
 
 def compare_values(a: Column, b: Column, gap: float = 0.01) -> Column:
-    """Equal values corroborate, values within the gap are in tension, others contradict."""
-    return F.when(a == b, "CORROBORATION").when(F.abs(a - b) <= gap * F.greatest(a, b), "TENSION").otherwise("CONTRADICTION")
+    """Equal values corroborate, values within the gap of the larger are in tension, others contradict."""
+    larger = F.greatest(F.abs(a), F.abs(b))
+    return F.when(a == b, "CORROBORATION").when((larger > 0) & (F.abs(a - b) <= gap * larger), "TENSION").otherwise("CONTRADICTION")
+
+
+def compare_dates(a: Column, b: Column, exact: Column, named: Column) -> Column:
+    """Verdict on two dates; ``exact``: both name a day; ``named``: both are of one named event.
+
+    Dates of different precision are in tension; two days of a named event contradict each
+    other, other days only if they are not in one month.
+    """
+    month = F.date_trunc("month", a) == F.date_trunc("month", b)
+    return F.when(a == b, "CORROBORATION").when(~exact, "TENSION").when(~named & month, "TENSION").otherwise("CONTRADICTION")
 
 
 def pairwise(seen: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:

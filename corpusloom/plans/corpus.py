@@ -375,11 +375,19 @@ def an_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return analysis.pairwise(seen, ["l_orderkey", "kind"], "seq", "value").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("an_compare_values", "select a.o_orderkey as a, case when a.o_totalprice = b.o_totalprice then 'CORROBORATION' when abs(a.o_totalprice - b.o_totalprice) <= 0.01 * greatest(a.o_totalprice, b.o_totalprice) then 'TENSION' else 'CONTRADICTION' end as verdict from orders a join orders b on b.o_orderkey = a.o_orderkey + 1")
+@query(
+    "an_compare_values",
+    """with v as (select a.o_orderkey as a, a.o_totalprice - 150000 as x, b.o_totalprice - 150000 as y, a.o_orderdate::date as d, b.o_orderdate::date as e, a.o_orderpriority = '1-URGENT' or b.o_orderpriority = '1-URGENT' as vague,
+      a.o_orderstatus = 'F' and b.o_orderstatus = 'F' as named from orders a join orders b on b.o_orderkey = a.o_orderkey + 1)
+    select a, case when x = y then 'CORROBORATION' when abs(x - y) <= 0.01 * greatest(abs(x), abs(y)) then 'TENSION' else 'CONTRADICTION' end as amounts,
+      case when d = e then 'CORROBORATION' when vague then 'TENSION' when not named and date_trunc('month', d) = date_trunc('month', e) then 'TENSION' else 'CONTRADICTION' end as dates from v""",
+)
 def an_compare_values(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    after = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_totalprice").alias("other"))
-    return o.join(after, "o_orderkey").select(F.col("o_orderkey").alias("a"), analysis.compare_values(F.col("o_totalprice"), F.col("other")).alias("verdict"))
+    """Amounts (of either sign) and dates of neighbouring orders; urgent ones count as of vague date."""
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") - 150000).alias("x"), F.to_date("o_orderdate").alias("d"), (F.col("o_orderpriority") == "1-URGENT").alias("u"), (F.col("o_orderstatus") == "F").alias("f"))
+    after = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("x").alias("y"), F.col("d").alias("e"), F.col("u").alias("v"), F.col("f").alias("g"))
+    dates = analysis.compare_dates(F.col("d"), F.col("e"), ~(F.col("u") | F.col("v")), F.col("f") & F.col("g"))
+    return o.join(after, "o_orderkey").select(F.col("o_orderkey").alias("a"), analysis.compare_values(F.col("x"), F.col("y")).alias("amounts"), dates.alias("dates"))
 
 
 @query(

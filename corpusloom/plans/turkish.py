@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, turkish
-from corpusloom.operators import articles, authority, packing
+from corpusloom.operators import articles, authority, packing, references
 from corpusloom.plans.registry import query
 from corpusloom.tables import table
 
@@ -258,3 +258,49 @@ def me_match_items(spark: SparkSession, d: str) -> DataFrame:
     both = F.greatest(F.lit(0), F.least("b", "d") - F.greatest("a", "c"))
     pairs = gold.join(found, ["case_id", "kind"]).withColumn("iou", both / (F.greatest("b", "d") - F.least("a", "c"))).where("iou >= 0.5")
     return packing.match_items(pairs.select("case_id", "gold", "found", "iou"), "case_id")
+
+
+CITING = [
+    (1, "6098 sayılı Türk Borçlar Kanununun 49. maddesi, TBK m. 49 ve HMK md. 27/1 ile E. 2019/123, K. 2020/45."),
+    (2, "TCK ve CMK birlikte; madde 5 ayrı. 4857 sayılı İş Kanunu"),
+    (3, "İİK m.67 TCKX m. 1"),
+    (4, "atıf yok"),
+]
+CITING_SQL = f"t as (select col0 as id, col1 as text from {values(CITING)} x union all select doc_id + 1000, text from documents)"
+FOUND_SQL = (
+    f"{CITING_SQL}, p as (select id, string_split(regexp_replace(text, '({references.ANY})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as p from t where regexp_matches(text, '{references.ANY}')), "
+    "u as (select id, unnest(range(0, len(p))) as k, unnest(p) as part from p), "
+    "m as (select *, sum(length(part) - case when contains(part, chr(2)) then 1 else 0 end) over (partition by id order by k rows between unbounded preceding and 1 preceding) as start from u), "
+    "r as (select id, start, string_split(part, chr(2))[1] as name, row_number() over (partition by id order by k) as n from m where contains(part, chr(2))), "
+    f"found as (select id, n, start::int as start, (start + length(name))::int as stop, case when regexp_matches(name, '^(?:{references.LAW}|{references.SHORT})') then 'law' when regexp_matches(name, '^(?:{references.ARTICLE})') then 'article' when regexp_matches(name, '^E') then 'file' else 'decision' end as kind, "
+    f"case name {' '.join(f"when '{k}' then '{v}'" for k, v in references.NUMBERS.items())} else regexp_extract(name, '[0-9]+(?:/[0-9]+)?') end as number from r)"
+)
+
+
+def citing(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select((F.col("doc_id") + 1000).alias("id"), "text")
+    return spark.createDataFrame(CITING, "id bigint, text string").union(docs)
+
+
+@query("ps_references", f"with {FOUND_SQL} select * from found")
+def ps_references(spark: SparkSession, d: str) -> DataFrame:
+    found = references.references(citing(spark, d), "id")
+    return found.select("id", F.col("n").cast("long").alias("n"), "start", F.col("end").alias("stop"), "kind", "number")
+
+
+@query("ps_outbound", f"with {FOUND_SQL}, o as (select *, lead(kind) over w as next_kind, lead(number) over w as next_number from found where kind in ('law', 'article') window w as (partition by id order by n)) select id, n, number as law, case when next_kind = 'article' then next_number end as article from o where kind = 'law'")
+def ps_outbound(spark: SparkSession, d: str) -> DataFrame:
+    found = references.references(citing(spark, d), "id")
+    return references.outbound(found, "id").withColumn("n", F.col("n").cast("long"))
+
+
+def canonical_sql() -> str:
+    out = r"regexp_replace(text, '([0-9]{3,4}) sayılı(?: [A-ZÇĞİÖŞÜ][a-zçğıöşü]+)* Kanun[a-zçğıöşü]*', '\1', 'g')"
+    for short, number in references.NUMBERS.items():
+        out = rf"regexp_replace({out}, '(^|[^\p{{L}}]){short}\b', '\1{number}', 'g')"
+    return out
+
+
+@query("ps_canonicalize_refs", f"with {CITING_SQL} select id, {canonical_sql()} as text from t where id < 1000")
+def ps_canonicalize_refs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(CITING, "id bigint, text string").select("id", references.canonical(F.col("text")).alias("text"))
