@@ -392,13 +392,16 @@ def an_compare_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "an_components",
-    """with recursive e as (select distinct l_orderkey as a, 1000000000 + l_suppkey as b from lineitem where l_quantity >= 50 and l_discount >= 0.09),
+    """with recursive o as (select lag(o_orderkey) over w as a, o_orderkey as b, date_diff('day', lag(o_orderdate::date) over w, o_orderdate::date) as days from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+    e as (select a, b from o where a is not null and days <= 60),
     l as (select a, b from e union select b, a from e), r(id, c) as (select a, a from l union select l.b, r.c from r join l on l.a = r.id)
     select id, min(c) as component from r group by 1""",
 )
 def an_components(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09").select(F.col("l_orderkey").alias("a"), (F.lit(1_000_000_000) + F.col("l_suppkey")).alias("b"))
-    return analysis.groups(e)
+    """Orders of a customer that follow each other within 60 days, joined to groups."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, d, "orders").select(F.lag("o_orderkey").over(w).alias("a"), F.col("o_orderkey").alias("b"), F.datediff(F.to_date("o_orderdate"), F.lag(F.to_date("o_orderdate")).over(w)).alias("days"))
+    return analysis.groups(o.where("a is not null and days <= 60").select("a", "b"))
 
 
 @query("an_contra_batches", "select o_custkey, o_orderkey, ceil(row_number() over (partition by o_custkey order by o_orderkey) / 5.0)::int as batch from orders")
