@@ -60,9 +60,9 @@ def test_range_join_equals_plain(spark):
 
 def test_boolean_text(spark):
     df = spark.createDataFrame([(1, "red fox and RED hen"), (2, "a fox"), (3, "the red fox ran")], "k int, text string")
-    assert {r["k"]: r["score"] for r in boolean_text.search(df, '"red fox" NOT ran').collect()} == {1: 2}
-    assert {r["k"] for r in boolean_text.search(df, "hen OR ran").collect()} == {1, 3}
-    assert boolean_text.search(df, "").count() == 0
+    assert {r["k"]: r["score"] for r in boolean_text.search(df, [("AND", "red fox", 2), ("NOT", "RAN", 1)]).collect()} == {1: 2}
+    assert {r["k"] for r in boolean_text.search(df, [("AND", "hen", 1), ("OR", "ran", 1)]).collect()} == {1, 3}
+    assert boolean_text.search(df, []).count() == 0
 
 
 def test_backoff_doubles(spark):
@@ -72,6 +72,18 @@ def test_backoff_doubles(spark):
     assert got == {1: ("queued", 30), 2: ("queued", 60), 3: ("dead", 0)}
 
 
+def test_quotes_of_any_length(spark):
+    """Long quotes, and short ones inside words, against plain containment."""
+    from corpusloom.operators.evidence import containing
+
+    texts = ["one two three four five six seven", "xone two", "seven six", "", None, "öne tw o", "a"]
+    quotes = ["one two three four five six", "two three four five six seven", "ne tw", "six", "e", "ö", "zz", "", None, "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "item_id int, text string")
+    got = sorted(tuple(r) for r in containing(docs, asked).collect())
+    assert got == sorted((i, k, t.index(q)) for i, t in enumerate(texts) for k, q in enumerate(quotes) if t and q and q in t)
+
+
 def test_components(spark):
     from corpusloom.graph import connected_components
 
