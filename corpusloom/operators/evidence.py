@@ -42,7 +42,8 @@ def containing(docs: DataFrame, quotes: DataFrame, doc_id: str = "doc_id", quote
         return found
     at = F.sequence(F.lit(1), F.length("text"))
     sizes = [r[0] for r in short.select(F.length("probe")).distinct().collect()]  # 1, 2 or 3
-    parts = F.array_distinct(F.flatten(F.array(*[F.transform(at, lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))) for n in sizes])))
+    cut = lambda n: F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    parts = F.array_distinct(F.flatten(F.array(*map(cut, sizes))))
     grams = t.where("text <> ''").select(doc_id, F.explode(parts).alias("probe"))
     return found.union(compared(grams, short))
 
