@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +38,21 @@ from corpusloom.columns import pick
 from corpusloom.llm.bpe import slices
 from corpusloom.storage import materialize
 
-#: White space at which a text may be parted without changing its ids.
-BLANKS = str.maketrans("\t\n\r", "   ")
-#: Words a worker remembers, and how long they may be.
-REMEMBERED, LONGEST = 200_000, 64
+#: Words of one generation that a worker remembers, and how long they may be.
+REMEMBERED, LONGEST = 300_000, 64
+
+
+def parted(text: str) -> list[str]:
+    """A text at white space where it may be parted without changing its ids."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space: word by word, remembered."""
+    """Ids of texts by a tokenizer that drops white space: word by word, remembered.
+
+    When a generation of words is full, it becomes the older one; words that come again move to
+    the new one, so frequent words stay known and memory is bounded.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -52,23 +60,30 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: set[str]) -> list[str]:
+        """Have the ids of all ``words`` at hand; the long ones, which are not to be kept."""
+        missing = words.difference(self.seen)
+        if len(self.seen) + len(missing) > REMEMBERED:
+            self.seen, self.older, missing = {}, self.seen, words
+        older = self.older
+        new = [w for w in missing if w not in older]
+        self.seen.update((w, older[w]) for w in missing if w in older)
+        long = [w for w in new if len(w) > LONGEST]
+        short = [w for w in new if len(w) <= LONGEST] if long else new
+        found = self.tokenizer.encode_batch_fast(short, add_special_tokens=False)
+        self.seen.update(zip(short, [array("I", e.ids).tobytes() for e in found], strict=True))
+        self.seen.update((w, self.ids(w)) for w in long)
+        return long
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.translate(BLANKS).split(" ") for t in texts]
-        words = set().union(*split)
-        new = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen, new = {}, list(words)
-        short = [w for w in new if len(w) <= LONGEST]
-        for w, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            self.seen[w] = np.array(e.ids, "<u4").tobytes()
-        long = [w for w in new if len(w) > LONGEST]
-        for w in long:
-            self.seen[w] = self.ids(w)
+        split = [parted(t) for t in texts]
+        long = self.learn(set().union(*split))
         out = [b"".join(map(self.seen.__getitem__, x)) for x in split]
         for w in long:
             del self.seen[w]
