@@ -21,6 +21,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ from corpusloom.storage import materialize
 
 #: Words of one generation that a worker remembers, and how long they may be.
 REMEMBERED, LONGEST = 300_000, 64
+#: Marks that may follow a word; they never share a token with a letter.
+MARKS = ",.;:!?"
 
 
 def parted(text: str) -> list[str]:
@@ -47,11 +50,21 @@ def parted(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable bytes for themselves, others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of texts by a tokenizer that drops white space: word by word, remembered.
 
-    When a generation of words is full, it becomes the older one; words that come again move to
-    the new one, so frequent words stay known and memory is bounded.
+    The tokenizer takes texts in lower case and keeps letters, digits and marks apart. So a word
+    of Latin letters goes to its merges directly, in lower case and without the marks behind it;
+    any other word takes the whole tokenizer. When a generation of words is full, it becomes the
+    older one; words that come again move to the new one, so frequent words stay known and memory
+    is bounded.
     """
 
     def __init__(self, definition: str):
@@ -59,25 +72,54 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
+        self.merges = self.tokenizer.model
+        self.letters = byte_letters()
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, word: str) -> bytes | None:
+        """Ids of a word of lower-case Latin letters; null for other words."""
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) >= "\u0250" or word != word.lower() or not unicodedata.is_normalized("NFC", word):
+                return None
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
 
     def learn(self, words: set[str]) -> list[str]:
         """Have the ids of all ``words`` at hand; the long ones, which are not to be kept."""
         missing = words.difference(self.seen)
         if len(self.seen) + len(missing) > REMEMBERED:
             self.seen, self.older, missing = {}, self.seen, words
-        older = self.older
-        new = [w for w in missing if w not in older]
-        self.seen.update((w, older[w]) for w in missing if w in older)
-        long = [w for w in new if len(w) > LONGEST]
-        short = [w for w in new if len(w) <= LONGEST] if long else new
-        found = self.tokenizer.encode_batch_fast(short, add_special_tokens=False)
-        self.seen.update(zip(short, [array("I", e.ids).tobytes() for e in found], strict=True))
-        self.seen.update((w, self.ids(w)) for w in long)
+        seen, older, long, odd = self.seen, self.older, [], []
+        for w in missing:
+            if w in older:
+                seen[w] = older[w]
+                continue
+            if len(w) > LONGEST:
+                long.append(w)
+                continue
+            core = w.rstrip(MARKS)
+            root = core.lower() if core.isascii() else core
+            if not core.isalpha():
+                odd.append(w)
+                continue
+            got = seen.get(root) or self.merged(root)
+            if got is None:
+                odd.append(w)
+                continue
+            seen[root] = got
+            tail = w[len(core) :]
+            if tail and tail not in seen:
+                seen[tail] = self.ids(tail)
+            seen[w] = got + seen[tail] if tail else got
+        found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        seen.update(zip(odd, [array("I", e.ids).tobytes() for e in found], strict=True))
+        seen.update((w, self.ids(w)) for w in long)
         return long
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
