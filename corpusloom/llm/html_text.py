@@ -15,8 +15,9 @@ ends below the body if it meets an article or main element.
 
 Defined results: null, empty or tag-only html gives an empty text; a cut-off tag at the end
 is dropped; repeated pages are extracted each; extra columns are ignored. A form, a header or
-a block with a telling class stays if it holds an article or main element or an h1; of a page
-header with the page's only h1 the h1 stays.
+a block with a telling class stays if it holds an article or main element or an h1; a form also
+if it holds most of a page without any of these; of a page header with the page's only h1 the h1
+stays. Formulas stay in their line, without the source notes beside them; a dialog counts if open.
 """
 
 from __future__ import annotations
@@ -34,8 +35,11 @@ from corpusloom.arrowmap import add_columns
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe".split())
-NEVER = set("script style noscript iframe template svg math nav footer aside form button select textarea input dialog menu object head title canvas".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+NEVER = set("script style noscript iframe template svg annotation annotation-xml nav footer aside form button select textarea input menu head title canvas".split())
+MATH = set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = MATH | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that may stand in a head; any other start tag, and text, ends it.
+IN_HEAD = set("base link meta noscript script style template title".split())
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure details address".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag closes, if they are open: by the name of the open element.
@@ -95,12 +99,21 @@ class Tree:
         while len(self.open) > depth:
             self.where[self.open.pop().name].pop()
 
+    def end_head(self) -> None:
+        """Leave a head whose end tag is left out."""
+        if self.open[-1].name == "head":
+            self.close_from(len(self.open) - 1)
+
     def text(self, text: str) -> None:
+        if not text.isspace():
+            self.end_head()
         self.open[-1].children.append(text)
 
     def start(self, name: str, attributes: dict[str, str], empty: bool) -> None:
         if name == "html" or name == "body" and self.where["body"]:
             return
+        if name not in IN_HEAD:
+            self.end_head()
         for closed in OPEN_CLOSED_BY.get(name, ()):
             at = self.where[closed][-1] if self.where[closed] else -1
             if at > self.last(EVERY_LIMIT | LIMITS.get(closed, set())):
@@ -208,7 +221,7 @@ def named_beside(node: Node) -> bool:
 
 def hidden(node: Node) -> bool:
     a = node.attributes
-    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").lower().replace(" ", "")
+    return node.name == "dialog" and "open" not in a or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").lower().replace(" ", "")
 
 
 def prune(root: Node) -> None:
@@ -218,7 +231,13 @@ def prune(root: Node) -> None:
         inner = [c for c in n.children if isinstance(c, Node)]
         n.has_h1 = n.name == "h1" or any(c.has_h1 for c in inner)
         n.has_main = n.has_h1 or n.name in ("article", "main") or any(c.has_main for c in inner)
+        n.chars = sum(c.chars if isinstance(c, Node) else len(c.strip()) for c in n.children)
     n_h1 = sum(n.name == "h1" for n in nodes)
+
+    def is_page(n: Node) -> bool:
+        """Whether a form is the frame of the page: it holds the article, or most text of a page that marks none."""
+        return n.name == "form" and (n.has_main or not root.has_main and 2 * n.chars > root.chars)
+
     todo = [(root, False)]
     while todo:
         n, inside = todo.pop()
@@ -229,8 +248,8 @@ def prune(root: Node) -> None:
             if c.name == "header" and not inside and c.has_h1 and n_h1 == 1:
                 c.children = [next(x for x in in_order(c) if x.name == "h1")]
                 todo.append((c, inside))
-            elif hidden(c) or c.name in NEVER and not (c.name == "form" and c.has_main) or c.name == "header" and not inside or named_beside(c) and not c.has_main and c.name != "body":
-                n.children[i] = Node("#gap" if c.name in INLINE or c.name in RAW or c.name in ("button", "select", "input", "svg") else "#cut", n)
+            elif hidden(c) or c.name in NEVER and not is_page(c) or c.name == "header" and not inside or named_beside(c) and not c.has_main and c.name != "body":
+                n.children[i] = Node("#gap" if c.name in INLINE or c.name in RAW or c.name in ("button", "select", "input", "svg", "annotation", "annotation-xml") else "#cut", n)
             else:
                 todo.append((c, inside))
 

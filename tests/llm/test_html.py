@@ -23,6 +23,15 @@ ARTICLE = "Some long text of the article, in one block of words."
         (f"<div><section><h2>A</h2><p>{ARTICLE}</p><p>{ARTICLE}</p></section><section><h2>B</h2><p>{ARTICLE}</p></section></div>", f"A\n{ARTICLE}\n{ARTICLE}\nB\n{ARTICLE}"),
         (f"<div id=main><p>{ARTICLE}</p><ul><li>x<li>y</ul></div><div id=comments><p>{ARTICLE}</p><p>{ARTICLE}</p><p>I agree</p></div>", f"{ARTICLE}\nx\ny"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+        (f"<!DOCTYPE html><head><title>x</title><body><article><h1>T</h1><p>{ARTICLE}</p><p>more</p></article>", f"T\n{ARTICLE}\nmore"),
+        (f"<head><meta charset=utf-8><title>x</title><style>p{{}}</style><h1>T</h1><p>{ARTICLE}<p>more", f"T\n{ARTICLE}\nmore"),
+        (f"<title>x</title><p>{ARTICLE}<p>more", f"{ARTICLE}\nmore"),
+        ("<head>\n  <title>x</title>\n  Words in front of all tags", "Words in front of all tags"),
+        ("<article><p>We have <math><mi>x</mi><mo>=</mo><mfrac><mn>2</mn><mn>3</mn></mfrac></math> as shown.</p></article>", "We have x=23 as shown."),
+        ("<article><p>So <math><semantics><mi>y</mi><annotation encoding=tex>\\\\y</annotation></semantics></math> holds.</p><object data=x><p>A film on rivers.</p></object></article>", "So y holds.\nA film on rivers."),
+        (f"<body><form action=/page><div><p>{ARTICLE}</p><p>more</p><input name=q><button>Go</button></div></form>", f"{ARTICLE}\nmore"),
+        (f"<article><h1>T</h1><p>{ARTICLE}</p></article><form><p>{ARTICLE}</p><p>{ARTICLE}</p></form>", f"T\n{ARTICLE}"),
+        (f"<article><p>{ARTICLE}</p><dialog><p>Sign up</p></dialog><dialog open><p>Seen</p></dialog></article>", f"{ARTICLE}\nSeen"),
     ],
 )
 def test_articles_of_many_shapes(html, text):
