@@ -16,15 +16,16 @@ TIERS: list[tuple[int, float, list[str], list[str]]] = [
     (6, 0.55, ["kurul"], ["KVKK", "REKABET", "BDDK", "BTK", "KIK", "SAYISTAY", "GIB", "SIGORTA"]),
 ]
 # Phrases of a negative and of an affirmative outcome, and stems of statute types.
-NEGATIVE = (
-    "unsurları oluşmadığ|unsurlarının oluşmadığ|unsurları oluşmamış|unsurlarının oluşmamış|suçun unsurları oluşmad|oluşmadığı hakkında|suç oluşmaz|suçu oluşmaz|"
-    "oluşturmadığ|uygulanmaz|beraat|davanın reddine|istemin reddine|talebin reddi|talebinin reddi|şikayetin reddine|başvurunun reddine|iptal isteminin reddi|"
-    "ihlal bulunmadığ|aykırılık bulunmadığ|kusuru bulunmadığ|delil bulunmamakta|hukuki nitelikte|bozulmasına|kabul edilemez|aksi yönde"
-).split("|")
-AFFIRMATIVE = (
-    "suçunu oluşturduğ|suçu oluşturduğ|oluşturduğu kabul|oluşturduğ|unsurları oluşmuş|unsurlarının oluştuğ|kabul edilmelidir|ihlal edildiğ|ihlal ettiğ|"
-    "kabulüne|mahkumiyetine|mahkûmiyetine|cezalandırılmasına"
-).split("|")
+NEGATIVE = [
+    "unsurları oluşmadığ", "unsurlarının oluşmadığ", "unsurları oluşmamış", "unsurlarının oluşmamış", "suçun unsurları oluşmad",
+    "oluşmadığı hakkında", "suç oluşmaz", "suçu oluşmaz", "oluşturmadığ", "uygulanmaz", "beraat", "davanın reddine", "istemin reddine",
+    "talebin reddi", "talebinin reddi", "şikayetin reddine", "başvurunun reddine", "iptal isteminin reddi", "ihlal bulunmadığ",
+    "aykırılık bulunmadığ", "kusuru bulunmadığ", "delil bulunmamakta", "hukuki nitelikte", "bozulmasına", "kabul edilemez", "aksi yönde",
+]
+AFFIRMATIVE = [
+    "suçunu oluşturduğ", "suçu oluşturduğ", "oluşturduğu kabul", "oluşturduğ", "unsurları oluşmuş", "unsurlarının oluştuğ", "kabul edilmelidir",
+    "ihlal edildiğ", "ihlal ettiğ", "kabulüne", "mahkumiyetine", "mahkûmiyetine", "cezalandırılmasına",
+]
 STATUTE_TYPES = "kanun khk kararname tüzük tuzuk yönetmelik yonetmelik tebliğ teblig genelge mevzuat anayasa".split()
 
 

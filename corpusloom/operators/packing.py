@@ -1,14 +1,14 @@
-"""Sequential packing of spans and sentences, one document at a time.
+"""Packing of spans and sentences to units and chunks, and matching of items.
 
-A greedy fold has no relational form; each fold runs over one document's array of spans, in
-Arrow batches, and what it gives is a row a unit.
+Texts are cut by column functions. What is greedy along a document has no relational form: it
+runs over the document's array of lengths, in Arrow batches, and gives a row a unit.
 """
 
 from __future__ import annotations
 
-import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +17,11 @@ from pyspark.sql.functions import pandas_udf
 # Abbreviations whose dot ends no sentence, in chunking.
 SHORT_FORMS = "Dr Prof Av Md Yrd Doç No S vs vb bkz".split()
 # Abbreviations and currencies before a dot, in claims.
-ABBREVIATIONS = set(
+ABBREVIATIONS = (
     "m md mad mdd maddesi no nu nolu sy sayılı av dr prof doç yrd öğr gör bkz krş vb vs vd vdv s sh c bk ek hd cd hgk cgk ibk "
-    "iddk ybk d daire yarg e k t ltd şti tic san a ş sk sok cad mah apt blv kat tel".split()
-)
-CURRENCIES = set("TL YTL TRY USD EUR GBP CHF".split())
+    "iddk ybk d daire yarg e k t ltd şti tic san a ş sk sok cad mah apt blv kat tel"
+).split()
+CURRENCIES = "TL YTL TRY USD EUR GBP CHF".split()
 
 
 def unit_numbers(spans: list[tuple[int, int]], target: int, most: int) -> list[int]:
@@ -49,74 +49,68 @@ def pack_units(spans: DataFrame, key: str, target: int = 2400, most: int = 4000)
     return each.groupBy(key, "unit").agg(F.min("s.start").alias("start"), F.max_by("s.end", "s").alias("end"), F.count("*").alias("n_spans"))
 
 
-def packed_sentences(text: str | None, size: int, overlap: int, least: int) -> list[str]:
-    """Chunks of whole sentences; each starts with the last sentences of the one before."""
-    for k, short in enumerate(SHORT_FORMS):
-        text = (text or "").replace(f"{short}.", f"\u0001{k}\u0001")
-    whole = lambda s: re.sub("\u0001(\\d+)\u0001", lambda m: SHORT_FORMS[int(m[1])] + ".", s)
-    sentences = [s for s in (whole(x).strip() for x in re.split(r"[.!?]+", text or "")) if s]
-    chunks, held, total = [], [], 0
-    for s in sentences:
-        if held and total + len(s) > size:
-            chunks.append(" ".join(held))
-            kept = 0
-            for n, last in enumerate(reversed(held), 1):
-                kept += len(last)
-                if kept >= overlap:
-                    break
-            held, total = held[-n:], kept
-        held.append(s)
-        total += len(s)
-    if held and len(" ".join(held)) >= least:
-        chunks.append(" ".join(held))
-    return chunks
+def chunk_sentences(text: Column) -> Column:
+    """Sentences without their marks; dots of short forms belong to the sentence."""
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\b({'|'.join(SHORT_FORMS)})\.", "$1\u0001")
+    bare = F.transform(F.split(whole, r"[.!?]+"), lambda x: F.translate(F.regexp_replace(x, r"^\s+|\s+$", ""), "\u0001", "."))
+    return F.filter(bare, lambda x: x != "")
+
+
+def chunk_spans(lengths: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """First and last sentence of each chunk, by searching the running sum of lengths.
+
+    A chunk ends where the next sentence would pass ``size``; the next one starts at the last
+    sentence from which to that end there is an overlap of at least ``overlap``, and always
+    holds one sentence more.
+    """
+    if not len(lengths):
+        return []
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    spans, first, new, end = [], 0, 0, len(lengths) - 1
+    while True:
+        last = min(end, max(new, int(np.searchsorted(upto, upto[first] + size, "right")) - 2))
+        spans.append((first, last))
+        if last == end:
+            return spans
+        back = int(np.searchsorted(upto, upto[last + 1] - overlap, "right")) - 1
+        first, new = min(last, max(first, back)), last + 1
 
 
 def overlap_chunks(docs: DataFrame, key: str, text: str = "text", size: int = 1000, overlap: int = 200, least: int = 100) -> DataFrame:
-    """Chunks of whole sentences with overlap: key, ordinal, chunk."""
-
-    @pandas_udf("array<string>")
-    def cut(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda t: packed_sentences(t, size, overlap, least))
-
-    return docs.select(key, F.posexplode(cut(text)).alias("ordinal", "chunk"))
-
-
-def ends_short_form(before: str) -> bool:
-    """Whether the dot at the end of a text closes an abbreviation or an ordinal number."""
-    found = re.search(r"(\S+)\.$", before[-41:])
-    token = found[1].lstrip("(\"'“‘«[") if found else ""
-    if not token or "." in token:
-        return bool(token)
-    if token.isdigit():
-        return len(token) <= 3
-    if len(token) == 1:
-        return True
-    if token in CURRENCIES:
-        return False
-    return token.isupper() and len(token) <= 5 or token.replace("İ", "i").replace("I", "ı").lower() in ABBREVIATIONS
-
-
-def sentences_of(text: str | None) -> list[str]:
-    """Sentences; a dot after an abbreviation or a short ordinal does not end one."""
-    out, start, text = [], 0, text or ""
-    for m in re.finditer(r"[.!?;]\s+|\n{2,}", text):
-        mark = m[0][0]
-        if mark == "." and ends_short_form(text[: m.start() + 1][-41:]):
-            continue
-        out.append(text[start : m.start() + (mark in ".!?;")])
-        start = m.end()
-    return [*out, text[start:]]
+    """Chunks of whole sentences with overlap: key, ordinal, chunk.
+
+    Only the lengths of sentences go to Python; a last chunk below ``least`` is left out.
+    """
 
+    @pandas_udf("array<struct<first:int,last:int>>")
+    def spans(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: [{"first": a, "last": b} for a, b in chunk_spans(np.asarray(x), size, overlap)])
 
-def sentences(text: Column | str) -> Column:
-    """``sentences_of`` as a column of arrays."""
+    parted = docs.select(key, chunk_sentences(F.col(text)).alias("s"))
+    cut = parted.withColumn("spans", spans(F.transform("s", lambda x: F.length(x))))
+    each = cut.select(key, "s", F.size("spans").alias("n"), F.posexplode("spans").alias("ordinal", "x"))
+    chunk = F.array_join(F.slice("s", F.col("x.first") + 1, F.col("x.last") - F.col("x.first") + 1), " ")
+    return each.select(key, "n", "ordinal", chunk.alias("chunk")).where((F.col("ordinal") + 1 < F.col("n")) | (F.length("chunk") >= least)).drop("n")
 
-    @pandas_udf("array<string>")
-    def cut(rows: pd.Series) -> pd.Series:
-        return rows.map(sentences_of)
 
-    return cut(text)
+OPENING = r"[(\[\"'“‘«]*"
+#: What a dot closes without ending a sentence: something with a dot inside, an ordinal, a
+#: single character, a few capitals, an abbreviation.
+SHORT_TOKEN = rf"{OPENING}(?:\S*\.\S*|[0-9]{{1,3}}|\S|\p{{Lu}}{{2,5}}|(?i:{'|'.join(ABBREVIATIONS)}))"
+AMOUNT = rf"{OPENING}(?:{'|'.join(CURRENCIES)})"
+
+
+def sentences(text: Column | str) -> Column:
+    """Sentences of a text as an array; null gives one empty sentence.
+
+    Full stops, exclamation and question marks and semicolons before white space end a sentence,
+    and so do blank lines. A dot after a short form does not, but for one after a currency.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+    marked = F.regexp_replace(F.coalesce(column, F.lit("")), rf"(?<!\S)({AMOUNT})\.(?=\s)", "$1\u0001")
+    marked = F.regexp_replace(marked, rf"(?<!\S)({SHORT_TOKEN})\.(?=\s)", "$1\u0002")
+    parts = F.split(F.translate(marked, "\u0001", "."), r"(?<=[.!?;])\s+|\n{2,}")
+    return F.transform(parts, lambda x: F.translate(x, "\u0002", "."))
 
 
 def sequence_ratio(a: Column | str, b: Column | str) -> Column:
@@ -130,19 +124,34 @@ def sequence_ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def matched(wanted: list[list[int]], n: int) -> int:
-    """Most pairs of a matching in which item i may take one of ``wanted[i]`` out of ``n``."""
-    owner = [-1] * n
-
-    def place(i: int, seen: set[int]) -> bool:
-        for j in wanted[i]:
-            if j not in seen:
-                seen.add(j)
-                if owner[j] < 0 or place(owner[j], seen):
-                    owner[j] = i
-                    return True
-        return False
-
-    return sum(place(i, set()) for i in range(len(wanted)))
+    """Most pairs of a matching in which item i may take one of ``wanted[i]`` out of ``n``.
+
+    Each item is placed along a shortest alternating path, found breadth first.
+    """
+    owner: dict[int, int] = {}
+    placed = 0
+    for start in range(len(wanted)):
+        came: dict[int, int] = {}
+        queue, free = [start], None
+        for i in queue:
+            for j in wanted[i]:
+                if j not in came:
+                    came[j] = i
+                    if j not in owner:
+                        free = j
+                        break
+                    queue.append(owner[j])
+            if free is not None:
+                break
+        if free is None:
+            continue
+        placed += 1
+        on_path = set(queue)
+        taken = {i: j for j, i in owner.items() if i in on_path}
+        while free is not None:
+            i = came[free]
+            owner[free], free = i, taken.get(i)
+    return placed
 
 
 def match_items(pairs: DataFrame, key: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Queries on Turkish words, statutes, sources and packed texts.
 
-Words and statutes that the tables do not hold come from small fixtures, which query and SQL
-share.
+All run over the tables; words and statutes that these do not hold are added from small
+fixtures, which query and SQL share.
 """
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, turkish
@@ -92,11 +92,18 @@ def fn_stem_set(spark: SparkSession, d: str) -> DataFrame:
 NAMES = "Çetin Cemal Ilgaz İlker Şule Sami Öznur Osman Ünal Umut Ğani Gani Zeki çağrı ışık iğde".split()
 
 
-@query("so_turkish_collation", f"select col0 as name, row_number() over (order by col0 collate tr, col0) as place from {values([(n,) for n in NAMES])} t")
+@query(
+    "so_turkish_collation",
+    f"with n as (select 'names' as brand, col0 as name from {values([(n,) for n in NAMES])} t union select p_brand, p_name from part union select 'size ' || p_size, p_type from part) "
+    "select brand, name, row_number() over (partition by brand order by name collate tr, name) as place from n",
+)
 def so_turkish_collation(spark: SparkSession, d: str) -> DataFrame:
-    """Names in the order of the Turkish alphabet; a list of names is one small window."""
-    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return names.select("name", F.row_number().over(Window.orderBy(F.collate("name", "tr_CI"), "name")).cast("long").alias("place"))
+    """Distinct names of each brand, and types of each size, in the order of the Turkish alphabet."""
+    part = table(spark, d, "part")
+    own = spark.createDataFrame([("names", n) for n in NAMES], "brand string, name string")
+    names = own.union(part.select("p_brand", "p_name")).union(part.select(F.concat(F.lit("size "), F.col("p_size").cast("string")), "p_type")).distinct()
+    place = F.row_number().over(Window.partitionBy("brand").orderBy(F.collate("name", "tr_CI"), "name"))
+    return names.select("brand", "name", place.cast("long").alias("place"))
 
 
 STATUTES = [
@@ -105,11 +112,28 @@ STATUTES = [
     (3, "MADDE 5/A - bir yatırımcı Madde 61. - iki\nMADDE 61. - yeniden"),
     (4, "\n\n  Mükerrer Madde 7 – metin\nMADDE 8\n** Konu **\nson"),
 ]
-HEAD_SQL = f"statutes as (select col0 as id, col1 as text from {values(STATUTES)} t)"
+#: Lines of documents become articles of a statute by their length: a line of its own, a heading within a line, or text.
+HEADS = [("MADDE ", " – "), ("\n**EK MADDE ", "**\n"), ("Geçici Madde ", " - "), ("see Madde ", ". - ")]
+LINE_SQL = (
+    "list_transform(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda x: case length(x[1]) % 6 "
+    + " ".join(f"when {k} then '{a.replace(chr(10), chr(1))}' || (x[2] // 6 + 1) || '{b.replace(chr(10), chr(1))}' || x[1]" for k, (a, b) in enumerate(HEADS))
+    + " else x[1] end)"
+)
+HEAD_SQL = f"statutes as (select col0 as id, col1 as text from {values(STATUTES)} t union all select doc_id + 1000, replace(array_to_string({LINE_SQL}, chr(10)), chr(1), chr(10)) from documents)"
+
+
+def statutes(spark: SparkSession, d: str) -> DataFrame:
+    """The fixture and all documents, their lines headed as articles by rule."""
 
+    def line(x: Column, i: Column) -> Column:
+        number = (F.floor(i / 6) + 1).cast("string")
+        headed = F.when(F.lit(False), x)
+        for k, (a, b) in enumerate(HEADS):
+            headed = headed.when(F.length(x) % 6 == k, F.concat(F.lit(a), number, F.lit(b), x))
+        return headed.otherwise(x)
 
-def statutes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATUTES, "id int, text string")
+    docs = table(spark, d, "documents").select((F.col("doc_id") + 1000).alias("id"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return spark.createDataFrame(STATUTES, "id bigint, text string").union(docs)
 
 
 def cut_sql(heading: str) -> str:
@@ -127,12 +151,12 @@ PLAIN_SQL = f"{cut_sql(articles.PLAIN)}, plain as (select id, ordinal::int as or
 
 @query("ig_split_articles", f"with {MARKED_SQL} select * from marked")
 def ig_split_articles(spark: SparkSession, d: str) -> DataFrame:
-    return articles.split_marked(statutes(spark), "id")
+    return articles.split_marked(statutes(spark, d), "id")
 
 
 @query("ig_split_articles_plain", f"with {PLAIN_SQL} select * from plain")
 def ig_split_articles_plain(spark: SparkSession, d: str) -> DataFrame:
-    return articles.split_plain(statutes(spark), "id")
+    return articles.split_plain(statutes(spark, d), "id")
 
 
 @query(
@@ -143,13 +167,13 @@ def ig_split_articles_plain(spark: SparkSession, d: str) -> DataFrame:
     "row_number() over (partition by id order by hits desc, ordinal) as rank from p",
 )
 def ig_article_search(spark: SparkSession, d: str) -> DataFrame:
-    found = articles.search(articles.split_marked(statutes(spark), "id"), "id", "yatırımcı", around=10)
+    found = articles.search(articles.split_marked(statutes(spark, d), "id"), "id", "yatırımcı", around=10)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("ig_isolate_articles", f"with {PLAIN_SQL} select id, article, count(*) as n, case when count(*) = 1 then min(content) end as content from plain group by 1, 2")
 def ig_isolate_articles(spark: SparkSession, d: str) -> DataFrame:
-    return articles.lone(articles.split_plain(statutes(spark), "id"), "id")
+    return articles.lone(articles.split_plain(statutes(spark, d), "id"), "id")
 
 
 SOURCES = [
@@ -157,6 +181,9 @@ SOURCES = [
     (6, "x", "YARGITAY 3. Hukuk Dairesi", "6098"), (7, "x", "Danıştay 5. Daire", None), (8, "x", "İstanbul Bölge Adliye Mahkemesi", None), (9, "x", "Ankara 2. İş Mahkemesi", None),
     (10, "KVKK", None, None), (11, "x", "Rekabet Kurulu", None), (12, "blog", None, None), (13, "x", "BURSA 1. AĞIR CEZA", None),
 ]
+#: Sources of documents, their courts and laws by rule.
+COURTS = ["", "Anayasa Mahkemesi", "Yargıtay 4. Dairesi", "Bölge Adliye", "Rekabet Kurulu", "x"]
+SOURCED_SQL = f"select doc_id + 1000, source, lower(translate((list_value({', '.join(repr(c) for c in COURTS)}))[(n_chars % {len(COURTS)} + 1)::int], 'İI', 'iı')), case when lang = 'de' then '6098' end from documents"
 AUTHORITY_SQL = " ".join(
     f"when regexp_matches(court, '{'|'.join(words)}')" + (f" or upper(source) in ({', '.join(repr(x) for x in sources)})" if sources else "") + f" then {{{n}}}" for n, _, words, sources in authority.TIERS
 )
@@ -166,12 +193,15 @@ SCORE_SQL = AUTHORITY_SQL.format(0, 1, *[f"{t[1]}::double" for t in authority.TI
 
 @query(
     "ps_authority",
-    f"with s as (select col0 as id, col1 as source, lower(translate(coalesce(col2, ''), 'İI', 'iı')) as court, col3 as law from {values(SOURCES)} t) "
+    f"with s as (select col0 as id, col1 as source, lower(translate(coalesce(col2, ''), 'İI', 'iı')) as court, col3 as law from {values(SOURCES)} t union all {SOURCED_SQL}) "
     f"select id, (case when upper(source) = 'MEVZUAT' or (law is not null and court = '') then 1 {TIER_SQL} else 7 end)::int as tier, "
     f"case when upper(source) = 'MEVZUAT' or (law is not null and court = '') then 1.0::double {SCORE_SQL} else 0.4::double end as score from s",
 )
 def ps_authority(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.createDataFrame(SOURCES, "id int, source string, court string, law string")
+    """Fixture sources and those of all documents."""
+    court = F.element_at(F.array(*[F.lit(c) for c in COURTS]), (F.col("n_chars") % len(COURTS) + 1).cast("int"))
+    docs = table(spark, d, "documents").select((F.col("doc_id") + 1000).alias("id"), "source", court.alias("court"), F.when(F.col("lang") == "de", "6098").alias("law"))
+    s = spark.createDataFrame(SOURCES, "id bigint, source string, court string, law string").union(docs)
     tier, score = authority.authority(F.col("source"), F.col("court"), F.col("law"))
     return s.select("id", tier.alias("tier"), score.alias("score"))
 
@@ -236,7 +266,20 @@ def wn_overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
     return packing.overlap_chunks(table(spark, d, "documents"), "doc_id")
 
 
-@query("fn_sentence_split")
+def marked_sql(source: str, token: str, mark: int) -> str:
+    """Dots after a token, marked; twice, as neighbours share the white space between them."""
+    one = lambda x: rf"regexp_replace({x}, '(^|\s)({token})\.(\s)', '\1\2' || chr({mark}) || '\3', 'g')"
+    return one(one(source))
+
+
+TOKENS = {k: v.replace("'", "''") for k, v in (("short", packing.SHORT_TOKEN), ("amount", packing.AMOUNT))}
+SENTENCE_SQL = (
+    f"m as (select doc_id, {marked_sql(f"replace({marked_sql("coalesce(text, '')", TOKENS['amount'], 1)}, chr(1), '.' || chr(3))", TOKENS['short'], 2)} as t from documents), "
+    r"c as (select doc_id, string_split(regexp_replace(regexp_replace(replace(t, chr(3), ''), '([.!?;])\s+', '\1' || chr(4), 'g'), '\n\n+', chr(4), 'g'), chr(4)) as p from m)"
+)
+
+
+@query("fn_sentence_split", f"with {SENTENCE_SQL} select doc_id, unnest(range(0, len(p)))::int as ordinal, replace(unnest(p), chr(2), '.') as sentence from c")
 def fn_sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(packing.sentences("text")).alias("ordinal", "sentence"))
 
@@ -301,6 +344,6 @@ def canonical_sql() -> str:
     return out
 
 
-@query("ps_canonicalize_refs", f"with {CITING_SQL} select id, {canonical_sql()} as text from t where id < 1000")
+@query("ps_canonicalize_refs", f"with {CITING_SQL} select id, {canonical_sql()} as text from t")
 def ps_canonicalize_refs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(CITING, "id bigint, text string").select("id", references.canonical(F.col("text")).alias("text"))
+    return citing(spark, d).select("id", references.canonical(F.col("text")).alias("text"))

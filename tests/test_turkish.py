@@ -4,6 +4,7 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import turkish
@@ -60,6 +61,26 @@ def test_units_and_chunks(spark):
         assert any(f"Cümle {i} " in c for c in got)
 
 
+def plain_chunks(lengths, size, overlap):
+    """Chunks by walking the sentences."""
+    chunks, held = [], []
+    for i, n in enumerate(lengths):
+        if held and sum(lengths[j] for j in held) + n > size:
+            chunks.append(held)
+            back = next((k for k in range(1, len(held) + 1) if sum(lengths[j] for j in held[-k:]) >= overlap), len(held))
+            held = held[-back:]
+        held = [*held, i]
+    return [(c[0], c[-1]) for c in [*chunks, held] if c]
+
+
+def test_chunk_spans_equal_plain():
+    rnd = random.Random(6)
+    for _ in range(500):
+        lengths = [rnd.randrange(1, rnd.choice([5, 40])) for _ in range(rnd.randrange(30))]
+        size, overlap = rnd.randrange(1, 60), rnd.randrange(0, 30)
+        assert packing.chunk_spans(np.array(lengths, int), size, overlap) == plain_chunks(lengths, size, overlap)
+
+
 def test_sentences(spark):
     text = "Yarg. 9. HD kararı m. 14 uyarınca verildi. Bedel 10.000 TL. Ödendi! A.Ş. bildirdi; sonra 2019. Yeni\n\nSon"
     docs = spark.createDataFrame([(text,), (None,)], "t string").select(packing.sentences("t").alias("s")).collect()
@@ -71,6 +92,7 @@ def test_sentences(spark):
 
 def test_matching_equals_all_assignments():
     rnd = random.Random(8)
+    assert packing.matched([[i, i + 1] for i in range(3000)] + [[0]], 3001) == 3001
     for _ in range(200):
         wanted = [[j for j in range(4) if rnd.random() < 0.4] for _ in range(4)]
         best = max(sum(j in wanted[i] for i, j in enumerate(p)) for p in itertools.permutations(range(4)))
