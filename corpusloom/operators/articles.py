@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import occurrences
+from corpusloom.functions.text import cp_slice
 
 # How articles are headed in marked-up and in plain texts.
 MARKED = r"(?:^|\n)\s*\*{0,2}(?:(?:EK|Ek|GEÇİCİ|Geçici|MÜKERRER|Mükerrer)\s+)?(?:MADDE|Madde)\s+[0-9]+"
@@ -37,16 +42,38 @@ def split_plain(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return p.select(key, "ordinal", F.regexp_extract("content", PLAIN_PARTS, 1).alias("article"), "content")
 
 
-def search(articles: DataFrame, key: str, term: str, around: int = 100) -> DataFrame:
-    """Articles that hold a term: rank by number of hits, and the text around the first."""
-    from pyspark.sql import Window
+def offsets(text: Column, term: str) -> Column:
+    """Where a term starts in a text, in order; hits do not overlap."""
+    gaps = F.transform(F.split(text, re.escape(term)), lambda x: F.length(x))
+    before = F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    walked = F.aggregate(before, first, lambda s, n: F.struct((s["at"] + n + len(term)).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all")))
+    return walked["all"]
+
+
+def search(articles: DataFrame, key: str, terms: Sequence[str], without: Sequence[str] = (), every: bool = True, around: int = 100) -> DataFrame:
+    """Articles that hold every term (or any), and none of ``without``, in any case.
+
+    Gives key, ordinal, article, hits of all terms, n_terms held, the text around the earliest
+    hit with dots where it is cut, and the rank within the key: more terms, more hits, earlier.
+    """
+    low = F.lower("content")
+    rows = articles.withColumns({f"__at{i}": offsets(low, t.lower()) for i, t in enumerate(terms)})
+    held = [F.size(f"__at{i}") > 0 for i in range(len(terms))]
+    kept = reduce(and_ if every else or_, held)
+    for t in without:
+        kept = kept & ~low.contains(t.lower())
+
+    def spans(i: int, size: int) -> Column:
+        return F.transform(f"__at{i}", lambda x: F.struct(x.alias("start"), (x + size).alias("end")))
 
-    low, t = F.lower("content"), term.lower()
-    at = F.instr(low, t) - 1
-    start, end = F.greatest(at - around, F.lit(0)), F.least(at + len(t) + around, F.length("content"))
-    preview = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(F.col("content"), start + 1, end - start), F.when(end < F.length("content"), "...").otherwise(""))
-    hits = articles.where(low.contains(t)).select(key, "ordinal", "article", occurrences(low, t).alias("hits"), preview.alias("preview"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("hits"), "ordinal")))
+    hit = F.array_min(F.concat(*[spans(i, len(t)) for i, t in enumerate(terms)]))
+    start, end = F.greatest(hit["start"] - around, F.lit(0)), F.least(hit["end"] + around, F.length("content"))
+    dots = lambda cut: F.when(cut, "...").otherwise("")
+    preview = F.concat(dots(start > 0), cp_slice(F.col("content"), start, end), dots(end < F.length("content")))
+    hits = sum(F.size(f"__at{i}") for i in range(len(terms)))
+    found = rows.where(kept).select(key, "ordinal", "article", hits.alias("hits"), sum(h.cast("int") for h in held).alias("n_terms"), preview.alias("preview"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n_terms"), F.desc("hits"), "ordinal")))
 
 
 def lone(articles: DataFrame, key: str) -> DataFrame:

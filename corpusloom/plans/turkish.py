@@ -167,8 +167,19 @@ def ig_split_articles_plain(spark: SparkSession, d: str) -> DataFrame:
     "row_number() over (partition by id order by hits desc, ordinal) as rank from p",
 )
 def ig_article_search(spark: SparkSession, d: str) -> DataFrame:
-    found = articles.search(articles.split_marked(statutes(spark, d), "id"), "id", "yatırımcı", around=10)
-    return found.withColumn("rank", F.col("rank").cast("long"))
+    found = articles.search(articles.split_marked(statutes(spark, d), "id"), "id", ["yatırımcı"], around=10)
+    return found.select("id", "ordinal", "article", "hits", "preview", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "ig_article_search_terms",
+    f"with {MARKED_SQL}, h as (select *, (length(content) - length(replace(lower(content), 'the', ''))) // 3 as a, (length(content) - length(replace(lower(content), 'of ', ''))) // 3 as b from marked where not contains(lower(content), 'license')) "
+    "select id, ordinal, article, (a + b)::int as hits, (a > 0)::int + (b > 0)::int as n_terms, row_number() over (partition by id order by (a > 0)::int + (b > 0)::int desc, a + b desc, ordinal) as rank from h where a > 0 or b > 0",
+)
+def ig_article_search_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with either of two terms and without a third."""
+    found = articles.search(articles.split_marked(statutes(spark, d), "id"), "id", ["the", "of "], without=["license"], every=False)
+    return found.select("id", "ordinal", "article", "hits", "n_terms", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ig_isolate_articles", f"with {PLAIN_SQL} select id, article, count(*) as n, case when count(*) = 1 then min(content) end as content from plain group by 1, 2")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import turkish
-from corpusloom.operators import packing, versions
+from corpusloom.operators import articles, packing, versions
 
 
 def plain_stem(word):
@@ -104,3 +104,33 @@ def test_versions_of_one_day_stay_open(spark):
     df = spark.createDataFrame(rows, "document_id int, version_id int, valid_from string, valid_to string").select("document_id", "version_id", F.to_date("valid_from").alias("valid_from"), F.to_date("valid_to").alias("valid_to"))
     got = {r["version_id"]: str(r["valid_to"]) for r in versions.close_previous(df).collect()}
     assert got == {1: "2021-01-01", 2: "2021-01-01", 3: "None", 4: "2019-06-01", 5: "None"}
+
+
+def plain_search(content, terms, without, every, around):
+    """Hits, terms held and preview by scanning for each term."""
+    low = content.lower()
+    found = {t: [] for t in terms}
+    for t in terms:
+        at = low.find(t)
+        while at >= 0:
+            found[t].append(at)
+            at = low.find(t, at + len(t))
+    held = [bool(v) for v in found.values()]
+    if not (all(held) if every else any(held)) or any(t in low for t in without):
+        return None
+    start, end = min((a, a + len(t)) for t, v in found.items() for a in v)
+    a, b = max(0, start - around), min(len(content), end + around)
+    return sum(map(len, found.values())), sum(held), ("..." if a else "") + content[a:b] + ("..." if b < len(content) else "")
+
+
+def test_article_search_equals_plain(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(["Kira", "kira ", "bedel", "é🙂", " a.b", "x", "depozito"]) for _ in range(rnd.randrange(1, 25))) for _ in range(80)]
+    df = spark.createDataFrame([(i % 7, i, str(i), t) for i, t in enumerate(texts)], "id int, ordinal int, article string, content string")
+    for terms, without, every in ((["kira"], [], True), (["kira", "bedel"], ["depozito"], True), (["a.b", "bedel"], [], False)):
+        got = {r["ordinal"]: (r["hits"], r["n_terms"], r["preview"], r["rank"], r["id"]) for r in articles.search(df, "id", terms, without, every, 6).collect()}
+        want = {i: p for i, t in enumerate(texts) if (p := plain_search(t, terms, without, every, 6))}
+        assert {i: g[:3] for i, g in got.items()} == want
+        for k in range(7):
+            order = sorted((i for i, g in got.items() if g[4] == k), key=lambda i: (-got[i][1], -got[i][0], i))
+            assert [got[i][3] for i in order] == list(range(1, len(order) + 1))
