@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom import worker
 from corpusloom.arrowmap import add_columns
 
 #: Longest piece, in bytes, that goes into a matrix.
@@ -201,14 +202,8 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    if shared.id not in _codecs:
-        _codecs.clear()
-        _codecs[shared.id] = Codec(*shared.value)
-    return _codecs[shared.id]
+    return worker.held(("bpe", shared.id), lambda: Codec(*shared.value))
 
 
 class _Shared:

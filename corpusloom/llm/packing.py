@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from corpusloom import worker
 from corpusloom.arrowmap import bound_batches, give_back
 from corpusloom.columns import pick
 from corpusloom.llm.bpe import slices
@@ -132,14 +133,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
-    if shared.value[0] not in _encoders:
-        _encoders.clear()
-        _encoders[shared.value[0]] = Encoder(shared.value[1])
-    return _encoders[shared.value[0]]
+    return worker.held(("words", shared.value[0]), lambda: Encoder(shared.value[1]))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:

@@ -36,6 +36,7 @@ from corpusloom.arrowmap import bound_batches, give_back
 from corpusloom.llm.membership import bit_set, maybe_in
 from corpusloom.llm.words import mixed, runs, spans
 from corpusloom.storage import checkpoint, materialize
+from corpusloom.worker import release
 
 
 @dataclass(frozen=True)
@@ -213,6 +214,7 @@ def survey(docs: DataFrame, p: Params) -> DataFrame:
         return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(k, kind) for c, kind in zip(names, types, strict=True)], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(p.slots, np.int32)
         for batch in batches:
             drawn = batch.column("drawn").to_pylist()
@@ -315,6 +317,7 @@ def posted(docs: DataFrame, rare: np.ndarray, shares: dict[int, int], buckets: i
     names = [c.split()[0] for c in POSTS.split(", ")]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rare, shares, wanted = shared.value
         for batch in batches:
             for run in items(batch.column("text"), p):
@@ -530,6 +533,7 @@ def words_of(docs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bit_set(sets))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for run in items(batch.column("text"), p):
                 found = Sets(run.hashes, run.count)

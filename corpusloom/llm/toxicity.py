@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom import worker
 from corpusloom.arrowmap import add_columns
 from corpusloom.sampling import hash_sample
 
@@ -405,19 +406,13 @@ def slices(texts: list[str | None], chars: int = 400_000) -> Iterator[list[str |
         yield held
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
     """All columns of ``docs`` and ``name`` (double, 0 to 1), which replaces one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     mark = int(np.random.default_rng().integers(1 << 62))
 
     def make(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(shared.value)
-        texts = batch.column(text).to_pylist()
-        return {name: np.concatenate([np.zeros(0), *map(_scorers[mark].scores, slices(texts))])}
+        scorer = worker.held(("toxicity", mark), lambda: Scorer(shared.value))
+        return {name: np.concatenate([np.zeros(0), *map(scorer.scores, slices(batch.column(text).to_pylist()))])}
 
     return add_columns(docs, make, f"`{name}` double")
