@@ -21,6 +21,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
 import zlib
 from array import array
@@ -41,9 +42,12 @@ from corpusloom.llm.bpe import slices
 from corpusloom.storage import materialize
 
 #: Words of one generation that a worker remembers, and how long they may be.
-REMEMBERED, LONGEST = 300_000, 64
-#: Marks that may follow a word; they never share a token with a letter.
-MARKS = ",.;:!?"
+REMEMBERED, LONGEST = 600_000, 64
+#: Characters of texts that are parted together.
+TOGETHER = 1_000_000
+#: Marks that may follow a word: ASCII punctuation but the apostrophe, which may share a token
+#: with a letter.
+MARKS = string.punctuation.replace("'", "")
 
 
 def parted(text: str) -> list[str]:
@@ -82,9 +86,7 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def merged(self, word: str) -> bytes | None:
-        """Ids of a word of lower-case Latin letters; null for other words."""
-        if not word.isalpha():
-            return None
+        """Ids of a word of lower-case Latin letters; null for words of other letters."""
         if not word.isascii():
             if max(word) >= "\u0250" or word != word.lower() or not unicodedata.is_normalized("NFC", word):
                 return None
@@ -96,28 +98,34 @@ class Encoder:
         missing = words.difference(self.seen)
         if len(self.seen) + len(missing) > REMEMBERED:
             self.seen, self.older, missing = {}, self.seen, words
-        seen, older, long, odd = self.seen, self.older, [], []
+        seen, before, long, odd = self.seen, self.older.get, [], []
         for w in missing:
-            if w in older:
-                seen[w] = older[w]
+            got = before(w)
+            if got is not None:
+                seen[w] = got
                 continue
             if len(w) > LONGEST:
                 long.append(w)
                 continue
-            core = w.rstrip(MARKS)
+            core = w
+            if not w.isalpha():
+                core = w.rstrip(MARKS)
+                if not core.isalpha():
+                    odd.append(w)
+                    continue
             root = core.lower() if core.isascii() else core
-            if not core.isalpha():
-                odd.append(w)
-                continue
-            got = seen.get(root) or self.merged(root)
+            got = seen.get(root) or before(root) or self.merged(root)
             if got is None:
                 odd.append(w)
                 continue
-            seen[root] = got
-            tail = w[len(core) :]
-            if tail and tail not in seen:
-                seen[tail] = self.ids(tail)
-            seen[w] = got + seen[tail] if tail else got
+            if root is not w:
+                seen[root] = got
+            if core is not w:
+                tail = w[len(core) :]
+                if tail not in seen:
+                    seen[tail] = self.ids(tail)
+                got += seen[tail]
+            seen[w] = got
         found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
         seen.update(zip(odd, [array("I", e.ids).tobytes() for e in found], strict=True))
         seen.update((w, self.ids(w)) for w in long)
@@ -160,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int
             out: dict[str, list] = {n: [] for n in kinds}
             source: list[int] = []
             row = 0
-            for texts in slices([t or "" for t in batch.column("__text").to_pylist()]):
+            for texts in slices([t or "" for t in batch.column("__text").to_pylist()], TOGETHER):
                 for ids in encoder.encode_many(texts):
                     ids += closing
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
