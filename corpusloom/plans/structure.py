@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import clauses, isolation, relations, windows
+from corpusloom.operators import clauses, isolation, relations, scoring, windows
 from corpusloom.plans.registry import query
 from corpusloom.tables import table
 
@@ -195,3 +195,35 @@ def ig_isolation_props(spark: SparkSession, d: str) -> DataFrame:
     problems = [("SMALL_KEY", ~(k >= 10), F.col("props")), ("NO_VALUE", ~(F.col("value") >= 1), F.col("value"))]
     done = isolation.isolate(table(spark, d, "events"), F.struct(k.alias("k")), problems, ["event_id"])
     return done.select("event_id", "result.ok.k", "result.err.reason")
+
+
+# Scores by the best assignment
+
+KIND_WEIGHTS = {"A": 2.0, "N": 1.0, "R": 0.5}
+SPAN_SQL = "r as (select l_orderkey as case_id, l_returnflag as kind, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as item, (l_suppkey % 20)::bigint as lo, (l_suppkey % 20 + l_quantity)::bigint as hi from lineitem), v as (select *, case kind when 'A' then 2.0::double when 'R' then 0.5::double else 1.0::double end as value from r)"
+
+
+@query(
+    "me_matter_score",
+    f"""with recursive {SPAN_SQL},
+    p as (select g.case_id, g.item as gold, f.item as found, g.value, floor((least(g.hi, f.hi) - greatest(g.lo, f.lo)) * 1000000 / (greatest(g.hi, f.hi) - least(g.lo, f.lo)))::bigint as weight
+      from v g join v f on f.case_id = g.case_id and f.kind = g.kind and g.item % 2 = 1 and f.item % 2 = 0 where least(g.hi, f.hi) > greatest(g.lo, f.lo)),
+    ok as (select * from p where weight >= 500000),
+    s as (
+      select case_id, 0::bigint as done, 0::bigint as mask, 0.0::double as total from (select distinct case_id from v)
+      union
+      select s.case_id, ok.gold, s.mask + (1::bigint << ok.found::int), s.total + ok.weight * ok.value / 1000000 from s join ok on ok.case_id = s.case_id and ok.gold > s.done and (s.mask & (1::bigint << ok.found::int)) = 0
+    ),
+    b as (select case_id, max(total) as won from s group by 1),
+    n as (select case_id, sum(value) filter (where item % 2 = 1) as wanted, sum(value) filter (where item % 2 = 0) as given from v group by 1)
+    select case_id, round(won / wanted + 1e-9, 6) as recall, round(won / given + 1e-9, 6) as precision, round(2 * won / (wanted + given) + 1e-9, 6) as f1 from n join b using (case_id)""",
+)
+def me_matter_score(spark: SparkSession, d: str) -> DataFrame:
+    """Found items of each case against its gold items, by the best assignment of each kind."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("kind"), n.cast("long").alias("item"), (F.col("l_suppkey") % 20).alias("lo"), (F.col("l_suppkey") % 20 + F.col("l_quantity")).cast("long").alias("hi")
+    )
+    scores = scoring.matter_scores(rows.where("item % 2 = 1"), rows.where("item % 2 = 0"), KIND_WEIGHTS)
+    # Sums of whole weights often end on half a digit; a little more rounds all of these up.
+    return scores.select("case_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("recall", "precision", "f1")])
