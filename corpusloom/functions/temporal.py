@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Public holidays with the same date each year, as month and day.
@@ -38,16 +38,14 @@ def in_recess(day: Column) -> Column:
     return F.date_format(day, "MM-dd").between("07-20", "08-31")
 
 
-def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """One row a day: day, workday and next_workday (the day itself if it is one)."""
-    days = spark.sql(f"select explode(sequence(date'{first}', date'{last}')) as day")
-    days = days.withColumn("workday", ~(is_weekend(F.col("day")) | is_fixed_holiday(F.col("day"))))
-    # A window by year and month start keeps it off a single task; 31 days reach past any run.
-    ahead = F.explode(F.sequence(F.lit(0), F.lit(31)))
-    near = days.select("day", ahead.alias("k")).withColumn("to", F.expr("date_add(day, k)"))
-    open_day = ~(is_weekend(F.col("to")) | is_fixed_holiday(F.col("to")))
-    following = near.where(open_day).groupBy("day").agg(F.min("to").alias("next_workday"))
-    return days.join(following, "day")
+#: A run of weekends and fixed holidays is always shorter than this.
+LONGEST_RUN = 14
+
+
+def next_workday(day: Column) -> Column:
+    """The day itself if it is a working day, else the next one; null for null."""
+    ahead = F.sequence(day, F.date_add(day, LONGEST_RUN))
+    return F.get(F.filter(ahead, lambda x: ~(is_weekend(x) | is_fixed_holiday(x))), F.lit(0))
 
 
 def deadline(start: Column, days: Column) -> Column:

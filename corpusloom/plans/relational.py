@@ -466,9 +466,11 @@ def ag_observation_census(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("supported"), F.count_if(F.col("quality") == 0).alias("failed"), F.count_if(F.col("quality").isNull()).alias("abstained"))
 
 
-@query("ag_latest_amendment", r"select doc_id, list_max(regexp_extract_all(text, '[0-9]{2,}')) as latest from documents")
+@query("ag_latest_amendment", r"select doc_id, list_max(list_transform(regexp_extract_all(text, '[0-9]{2,}'), lambda x: try_cast(x as decimal(38, 0))))::varchar as latest from documents")
 def ag_latest_amendment(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_max(F.regexp_extract_all("text", F.lit("([0-9]{2,})"), F.lit(1))).alias("latest"))
+    """The greatest number of a text, by value; numbers of more than 38 digits do not count."""
+    found = F.regexp_extract_all("text", F.lit("([0-9]{2,})"), F.lit(1))
+    return table(spark, d, "documents").select("doc_id", F.array_max(F.transform(found, lambda x: x.try_cast("decimal(38,0)"))).cast("string").alias("latest"))
 
 
 @query("ag_cell_pivot", "with c as (select o_custkey, o_orderpriority, count(*) as n, max(o_totalprice) as top from orders group by 1, 2) select o_custkey, max(top) filter (where o_orderpriority = '1-URGENT') as urgent, max(top) filter (where o_orderpriority = '2-HIGH') as high, max(top) filter (where o_orderpriority = '3-MEDIUM') as medium, max(top) filter (where o_orderpriority = '4-NOT SPECIFIED') as open, max(top) filter (where o_orderpriority = '5-LOW') as low from c group by 1")

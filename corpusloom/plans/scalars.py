@@ -231,27 +231,27 @@ def dt_judicial_recess(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", temporal.in_recess(F.to_date("o_orderdate")).alias("recess"))
 
 
-CALENDAR_SQL = f"""cal as (select unnest(generate_series(date '1990-01-01', date '2030-12-31', interval 1 day))::date as day),
-work as (select day from cal where isodow(day) < 6 and not ({HOLIDAY.format("day")})),
-next as (select c.day, (select min(w.day) from work w where w.day >= c.day and w.day <= c.day + 31) as next_workday from cal c)"""
+def next_workday_sql(day: str) -> str:
+    return f"list_filter(list_transform(range(0, 15), lambda i: ({day} + i::int)::date), lambda x: isodow(x) < 6 and not ({HOLIDAY.format('x')}))[1]"
 
 
-@query("dt_next_workday", f"with {CALENDAR_SQL} select o_orderkey, next_workday from orders join next on day = {DAY}")
+@query("dt_next_workday", f"select o_orderkey, {next_workday_sql(DAY)} as next_workday from orders union all select -e.event_id - 1, {next_workday_sql("(date '1970-01-01' + (e.event_id * 37)::int)")} from events e")
 def dt_next_workday(spark: SparkSession, d: str) -> DataFrame:
-    cal = temporal.calendar(spark, "1990-01-01", "2030-12-31")
-    return table(spark, d, "orders").join(cal, F.to_date("o_orderdate") == F.col("day")).select("o_orderkey", "next_workday")
+    """Working days from the dates of orders, and from days of all years, one an event."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    days = table(spark, d, "events").select((-F.col("event_id") - 1).alias("o_orderkey"), F.date_add(F.lit("1970-01-01").cast("date"), (F.col("event_id") * 37).cast("int")).alias("day"))
+    return orders.unionByName(days).select("o_orderkey", temporal.next_workday(F.col("day")).alias("next_workday"))
 
 
 @query(
     "dt_deadline",
-    f"""with {CALENDAR_SQL}, p as (select o_orderkey, ({DAY} + 30)::date as e from orders),
+    f"""with p as (select o_orderkey, ({DAY} + 30)::date as e from orders),
     q as (select o_orderkey, case when {RECESS.format("e")} then make_date(year(e), 9, 7) else e end as e from p)
-    select o_orderkey, next_workday as deadline from q join next on day = e""",
+    select o_orderkey, {next_workday_sql("e")} as deadline from q""",
 )
 def dt_deadline(spark: SparkSession, d: str) -> DataFrame:
-    cal = temporal.calendar(spark, "1990-01-01", "2030-12-31")
     ends = table(spark, d, "orders").select("o_orderkey", temporal.deadline(F.to_date("o_orderdate"), F.lit(30)).alias("day"))
-    return ends.join(cal, "day").select("o_orderkey", F.col("next_workday").alias("deadline"))
+    return ends.select("o_orderkey", temporal.next_workday(F.col("day")).alias("deadline"))
 
 
 @query(

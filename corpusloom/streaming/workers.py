@@ -137,6 +137,14 @@ def hashed_vector(text: Column, dims: int = 16) -> Column:
     """A unit vector of the words' hashed counts; null without words."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm))
+
+    def counted(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+
+    # In an array of one, slots and counts have names, so that each is worked out once.
+    counts = F.transform(F.array(slots), counted)
+    return F.get(F.transform(counts, scaled), F.lit(0))
