@@ -66,3 +66,63 @@ def validate(evidence: DataFrame, texts: DataFrame) -> DataFrame:
         .otherwise("OK")
     )
     return j.withColumn("outcome", outcome).drop("text")
+
+
+def word_list(text: Column) -> Column:
+    """Lower-case runs of letters and digits, in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def word_runs(words: Column, n: int = PROBE) -> Column:
+    """All runs of n words, in order, repeats included; shorter texts are one run.
+
+    In an array of one the words have a name, so that they are worked out once, not once a run.
+    """
+
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+    return F.filter(F.get(F.transform(F.array(words), runs), F.lit(0)), lambda x: x != "")
+
+
+def quote_states(docs: DataFrame, quotes: DataFrame, least: float = 0.5, doc_id: str = "doc_id", quote_id: str = "item_id") -> DataFrame:
+    """How each quote stands in the text that holds most of it.
+
+    Gives quote_id, doc_id, state, share and altered_at. VERBATIM: letter by letter. FOLDED:
+    with the same words. ALTERED: with at least ``least`` of its runs of words. MISSING: no text
+    has that. ``altered_at`` is the first word (from 0) whose run the text lacks. Quote and text
+    meet on runs of words; only the best text of each quote is read again. Ties go to the
+    smaller id.
+    """
+    q = quotes.select(F.col(quote_id).alias("q"), F.col("text").alias("quote"), word_list(F.col("text")).alias("words")).withColumn("runs", word_runs(F.col("words")))
+    asked = q.select("q", F.explode(F.array_distinct("runs")).alias("run"))
+    held = docs.select(F.col(doc_id).alias("d"), F.explode(F.array_distinct(word_runs(word_list(F.col("text"))))).alias("run"))
+    met = held.join(asked, "run").groupBy("q", "d").agg(F.count("*").alias("n"))
+    best = met.groupBy("q").agg(F.max(F.struct("n", (-F.col("d")).alias("back"))).alias("b")).select("q", (-F.col("b.back")).alias("d"), "b.n")
+    texts = docs.select(F.col(doc_id).alias("d"), F.col("text").alias("body")).join(best.select("d").distinct(), "d", "left_semi")
+    found = q.join(best, "q", "left").join(texts, "d", "left")
+    share = F.coalesce("n", F.lit(0)) / F.size(F.array_distinct("runs"))
+    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    plain = padded(word_list(F.col("body")))
+    state = (
+        F.when(F.coalesce(F.col("body").contains(F.col("quote")), F.lit(False)), "VERBATIM")
+        .when(F.coalesce(plain.contains(padded(F.col("words"))), F.lit(False)), "FOLDED")
+        .when(share >= least, "ALTERED")
+        .otherwise("MISSING")
+    )
+    lacking = F.get(F.transform(F.array(word_runs(word_list(F.col("body")))), lambda own: F.array_position(F.transform("runs", lambda x: F.array_contains(own, x)), F.lit(False)) - 1), F.lit(0))
+    rows = found.select("q", "d", state.alias("state"), F.round(share, 6).alias("share"), lacking.alias("lacking"))
+    return rows.select(F.col("q").alias(quote_id), F.when(F.col("state") != "MISSING", F.col("d")).alias(doc_id), "state", "share", F.when(F.col("state") == "ALTERED", F.col("lacking")).cast("long").alias("altered_at"))
+
+
+def checked_claims(evidence: DataFrame) -> DataFrame:
+    """Claims of validated evidence (claim, outcome, side): n, n_ok, passes, verdict.
+
+    ``passes``: there is evidence and all of it holds. Only evidence that holds counts for the
+    verdict; ``side`` is pro, contra or null.
+    """
+    ok = F.col("outcome") == "OK"
+    pro, contra = F.count_if(ok & (F.col("side") == "pro")) > 0, F.count_if(ok & (F.col("side") == "contra")) > 0
+    verdict = F.when(pro & contra, "DISPUTED").when(contra, "CONTRARY").when(pro, "SUPPORTED").otherwise("OPEN")
+    n, n_ok = F.count("outcome"), F.count_if(ok)
+    return evidence.groupBy("claim").agg(n.alias("n"), n_ok.alias("n_ok"), ((n > 0) & (n == n_ok)).alias("passes"), verdict.alias("verdict"))

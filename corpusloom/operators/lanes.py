@@ -63,10 +63,16 @@ def lexical_lane(queries: DataFrame, docs: DataFrame, k: int, rarest: int = 8, l
 
 
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct runs of n words."""
-    w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n words; texts of fewer words have none."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    none = F.array().cast("array<string>")
+
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(made)).otherwise(none)
+
+    # In an array of one the words have a name, so that they are worked out once, not once a run.
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def trigram_lane(queries: DataFrame, docs: DataFrame, k: int, least: float = 0.3) -> DataFrame:

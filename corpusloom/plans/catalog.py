@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, vectors
-from corpusloom.operators import analysis, parsing, queues, retrieval
+from corpusloom.operators import evidence, analysis, parsing, queues, retrieval
 from corpusloom.plans.corpus import CHUNKS_SQL, DENSE_SQL, JOBS_SQL, NOW, WORDS_SQL, first_vector, jobs
 from corpusloom.plans.registry import query
 from corpusloom.plans.relational import LANES_SQL, lanes
@@ -287,10 +287,28 @@ def ev_entailment(spark: SparkSession, d: str) -> DataFrame:
     return w.join(after, "item_id").select("item_id", F.round(F.when(same, overlap).otherwise(F.least(overlap, F.lit(0.2))), 6).alias("entailment"))
 
 
-@query("ev_altered_quotes", "select item_id, not contains(lower(b.text), lower(case when item_id % 3 = 0 then text || 'x' else text end)) as altered from benchmark b")
+QUOTED_SQL = r"""q as (
+  select item_id, case item_id % 3 when 0 then text when 1 then upper(text) else regexp_replace(text, '^(\S+\s+\S+\s+\S+\s+)\S+', '\1altered') end as quote from benchmark
+), w as (select item_id, quote, list_filter(string_split_regex(lower(quote), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words from q),
+r as (select *, list_filter(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda i: array_to_string(words[i:i + 3], ' ')), lambda x: x <> '') as runs from w),
+t as (select doc_id, text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words from documents),
+u as (select doc_id, text, words, list_filter(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda i: array_to_string(words[i:i + 3], ' ')), lambda x: x <> '') as runs from t),
+m as (select item_id, doc_id, count(*) as n from (select item_id, unnest(list_distinct(runs)) as run from r) a join (select doc_id, unnest(list_distinct(runs)) as run from u) b using (run) group by 1, 2),
+b as (select * from m qualify row_number() over (partition by item_id order by n desc, doc_id) = 1),
+x as (select r.item_id, b.doc_id, coalesce(b.n, 0)::double / len(list_distinct(r.runs)) as share, r.quote, r.words, r.runs, u.text, u.words as own, u.runs as own_runs from r left join b using (item_id) left join u on u.doc_id = b.doc_id),
+s as (select *, case when contains(text, quote) then 'VERBATIM' when contains(' ' || array_to_string(own, ' ') || ' ', ' ' || array_to_string(words, ' ') || ' ') then 'FOLDED' when share >= 0.5 then 'ALTERED' else 'MISSING' end as state from x)"""
+
+
+@query(
+    "ev_altered_quotes",
+    f"with {QUOTED_SQL} select item_id, case when state <> 'MISSING' then doc_id end as doc_id, state, round(share, 6) as share, case when state = 'ALTERED' then list_position(list_transform(runs, lambda x: list_contains(own_runs, x)), false) - 1 end::bigint as altered_at from s",
+)
 def ev_altered_quotes(spark: SparkSession, d: str) -> DataFrame:
-    quote = F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    return table(spark, d, "benchmark").select("item_id", (~F.lower("text").contains(F.lower(quote))).alias("altered"))
+    """Quotes of ``benchmark`` in the documents: as they are, in capitals, or with their fourth word changed."""
+    changed = F.regexp_replace("text", r"^(\S+\s+\S+\s+\S+\s+)\S+", "$1altered")
+    k = F.col("item_id") % 3
+    quotes = table(spark, d, "benchmark").select("item_id", F.when(k == 0, F.col("text")).when(k == 1, F.upper("text")).otherwise(changed).alias("text"))
+    return evidence.quote_states(table(spark, d, "documents"), quotes)
 
 
 @query("ev_pack", "select doc_id, case when n_chars < 100 then 'TOO_SHORT' when rn > 1 then 'DUPLICATE' else 'ACCEPTED' end as outcome from (select doc_id, n_chars, row_number() over (partition by sha256(text) order by doc_id) as rn from documents)")

@@ -319,9 +319,37 @@ def ev_validate(spark: SparkSession, d: str) -> DataFrame:
     return evidence.validate(spans, t).select("doc_id", "outcome")
 
 
-@query("ev_check_citations", "select source as claim, bool_and(n_chars >= 100) as passes, count(*) as n from documents group by 1")
+#: Evidence rows: passages of ``benchmark`` in documents, with hashes; some are made wrong by rule.
+CITED_SQL = f"""{SPANS_SQL}, c as (
+  select e.item_id, e.doc_id, case when (e.doc_id + e.item_id) % 7 = 0 then 'QUOTE_HASH' when (e.doc_id + e.item_id) % 5 = 0 then 'CONTENT_HASH' when (e.doc_id + e.item_id) % 11 = 0 then 'QUOTE_DIFFERS' else 'OK' end as made
+  from e where e.quote <> ''
+), o as (select item_id, doc_id, case when made = 'QUOTE_DIFFERS' then 'QUOTE_DIFFERS' else made end as outcome from c),
+v as (select b.item_id as claim, o.outcome, case l.quality when 1 then 'pro' when 0 then 'contra' end as side from benchmark b left join o on o.item_id = b.item_id left join labels l on l.doc_id = o.doc_id)"""
+
+
+def cited(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of every claim (a passage of ``benchmark``), checked: claim, outcome, side.
+
+    Documents of good quality speak for a claim, those of bad quality against it.
+    """
+    docs, claims = table(spark, d, "documents"), table(spark, d, "benchmark")
+    found = evidence.containing(docs, claims).join(claims.select("item_id", F.col("text").alias("quote")), "item_id").join(docs.select("doc_id", F.sha2("text", 256).alias("content")), "doc_id")
+    k = F.col("doc_id") + F.col("item_id")
+    late = (k % 7 != 0) & (k % 5 != 0) & (k % 11 == 0)
+    wrong = F.sha2(F.lit("other"), 256)
+    rows = found.select(
+        "item_id", "doc_id", F.col("start").alias("start"), (F.col("start") + F.length("quote")).alias("end"), F.when(late, F.reverse("quote")).otherwise(F.col("quote")).alias("quote"),
+        F.when(k % 7 == 0, wrong).otherwise(F.sha2("quote", 256)).alias("quote_sha256"), F.when(k % 5 == 0, wrong).otherwise(F.col("content")).alias("content_sha256"),
+    )
+    checked = evidence.validate(rows, docs).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    side = F.when(F.col("quality") == 1, "pro").when(F.col("quality") == 0, "contra")
+    return claims.select("item_id").join(checked.select("item_id", "outcome", side.alias("side")), "item_id", "left").withColumnRenamed("item_id", "claim")
+
+
+@query("ev_check_citations", f"{CITED_SQL} select claim, count(outcome) as n, count(*) filter (where outcome = 'OK') as n_ok, count(outcome) > 0 and count(outcome) = count(*) filter (where outcome = 'OK') as passes from v group by 1")
 def ev_check_citations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.col("source").alias("claim")).agg(F.bool_and(F.col("n_chars") >= 100).alias("passes"), F.count("*").alias("n"))
+    """Whether all evidence of a claim stands where and as it is cited."""
+    return evidence.checked_claims(cited(spark, d)).select("claim", "n", "n_ok", "passes")
 
 
 @query("ev_verify_bundle", "select count(*) as n, count(*) filter (where n_chars = length(text)) as length_ok, count(distinct sha256(text)) as n_hashes from documents")
@@ -343,11 +371,14 @@ def ev_finalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(final.alias("finalizable"))
 
 
-@query("ev_verdict", "select l_orderkey, case when count(*) filter (where l_returnflag = 'R') > 0 and count(*) filter (where l_returnflag = 'A') > 0 then 'DISPUTED' when count(*) filter (where l_returnflag = 'R') > 0 then 'CONTRARY' when count(*) filter (where l_returnflag = 'A') > 0 then 'SUPPORTED' else 'OPEN' end as verdict from lineitem group by 1")
+@query(
+    "ev_verdict",
+    f"{CITED_SQL}, k as (select claim, count(*) filter (where outcome = 'OK' and side = 'pro') > 0 as pro, count(*) filter (where outcome = 'OK' and side = 'contra') > 0 as contra from v group by 1) "
+    "select claim, case when pro and contra then 'DISPUTED' when contra then 'CONTRARY' when pro then 'SUPPORTED' else 'OPEN' end as verdict from k",
+)
 def ev_verdict(spark: SparkSession, d: str) -> DataFrame:
-    con, pro = F.count_if(F.col("l_returnflag") == "R") > 0, F.count_if(F.col("l_returnflag") == "A") > 0
-    verdict = F.when(con & pro, "DISPUTED").when(con, "CONTRARY").when(pro, "SUPPORTED").otherwise("OPEN")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(verdict.alias("verdict"))
+    """Verdict of a claim by the sides of the evidence that holds."""
+    return evidence.checked_claims(cited(spark, d)).select("claim", "verdict")
 
 
 @query("ev_tamper", "select doc_id, sha256(text) <> sha256(case when doc_id % 11 = 0 then text || ' ' else text end) as tampered from documents")
