@@ -4,8 +4,8 @@ All steps are DataFrame functions. Each document gets the key ``-ln(u) / weight`
 uniform ``u`` from its id, so that lower keys form a weighted sample without replacement.
 A source's target is met by complete epochs of all its documents first, then by the
 documents of lowest key whose sizes fit the rest of the budget. Prefix sums within a source
-run over key ranges: totals of ranges first, then rows within a range, so that a source of
-any size is spread over many tasks.
+run over ranges of a range partitioning by source and key: totals of ranges first, then rows
+within a range, so that a source of any size and any weights is spread over many tasks.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of
 its own, last in order; null ids draw by their size; rows that are repeated get the same key,
@@ -18,11 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.storage import checkpoint
+from corpusloom.storage import checkpoint, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a key range holds on average.
-RANGE_ROWS = 4_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -126,20 +124,29 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: in
     return draw(slim, checkpoint(source_targets(slim, weights, percent, most)), seed)
 
 
+def in_ranges(keyed: DataFrame) -> DataFrame:
+    """``keyed``, written in ranges of source and key, with the number of the range in ``at``.
+
+    Ranges are cut where the keys are, whatever their weights; ``row`` parts equal keys.
+    """
+    n_ranges = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = keyed.repartitionByRange(n_ranges, F.col("source").asc_nulls_last(), "key", "doc_id", "size", "quality", "row")
+    return materialize(ranged.withColumn("at", F.spark_partition_id()))
+
+
 def draw(slim: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
     """Rows of ``slim`` (source, doc_id, size, quality) with source_size, target, copies, taken."""
     keyed = slim.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
     keyed = keyed.select("s.*", "source_size", "n_rows", "target").withColumn("key", -F.log(uniform("doc_id", seed)) / F.col("quality"))
-    n_ranges = F.ceil(F.col("n_rows") / F.lit(RANGE_ROWS)).cast("int")
-    at = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * n_ranges), n_ranges - 1).cast("int")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - (epochs * F.col("source_size")).cast("double")
-    keyed = keyed.withColumns({"at": at, "epochs": epochs, "budget": rest})
+    keyed = keyed.withColumns({"epochs": epochs, "budget": rest, "row": F.monotonically_increasing_id()})
+    keyed = in_ranges(keyed)
     totals = keyed.groupBy("source", "at").agg(F.sum("size").cast("long").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source", "at", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).cast("long").alias("before"))
     rows = keyed.alias("k").join(totals.alias("t"), F.col("k.source").eqNullSafe(F.col("t.source")) & (F.col("k.at") == F.col("t.at")))
-    within = Window.partitionBy("k.source", "k.at").orderBy("key", "doc_id", "size", "quality").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("k.source", "k.at").orderBy("key", "doc_id", "size", "quality", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("size").over(within)
     # The document that crosses the budget is taken if that ends nearer to it.
     fits = (F.col("size") > 0) & (upto.cast("double") - F.col("size").cast("double") / 2.0 <= F.col("budget"))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from corpusloom.llm import clustering, packing, prefix_trie, queries
+from corpusloom.llm import clustering, mixing, packing, prefix_trie, queries
 from corpusloom.tables import table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -133,6 +133,18 @@ def test_plan_equals_one_by_one():
     assert plan.sequences >= math.ceil((big * np.arange(4097)).sum() / 4096) and len(plan.runs) < 20_000
 
 
+# Ranges of the mix
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_mix_ranges_are_even(spark, same):
+    """Low weights, and null ids that all draw the same key, spread over all ranges alike."""
+    rows = spark.range(20_000).select(F.lit("s").alias("source"), F.when(F.lit(not same), F.col("id")).alias("doc_id"), F.lit(7).cast("long").alias("size"), F.lit(0.25).alias("quality"), F.monotonically_increasing_id().alias("row"))
+    keyed = rows.withColumn("key", -F.log(mixing.uniform("doc_id")) / F.col("quality"))
+    counts = [r["count"] for r in mixing.in_ranges(keyed).groupBy("at").count().collect()]
+    assert len(counts) == 8 and max(counts) < 2 * 20_000 / 8
+
+
 # Prefix trie
 
 
