@@ -173,3 +173,14 @@ def claims(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     statement = collapse(F.regexp_replace(said, r"^\s*\d{1,3}\s*[.)\-–]\s*", ""))
     numbered = held.where("number is not null").withColumn("claim", F.row_number().over(Window.partitionBy("key").orderBy("line")))
     return numbered.select("key", "claim", F.col("open").alias("section"), F.col("number").cast("int").alias("number"), F.when(F.col("answers") == 1, "defendant").otherwise("claimant").alias("side"), "start", "end", statement.alias("statement"))
+
+
+def docket(fields: DataFrame) -> DataFrame:
+    """Fields as one row a text: key, court, file_number, decision_number, document_type, decision_date, conflicts.
+
+    A field that is a conflict is null and named in ``conflicts``, in alphabetical order.
+    """
+    wanted = ["court", "file_number", "decision_number", "document_type", "decision_date"]
+    held = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in wanted]
+    conflicts = F.array_sort(F.collect_list(F.when(F.col("status") == "conflict", F.col("field")))).alias("conflicts")
+    return fields.groupBy("key").agg(*held, conflicts)

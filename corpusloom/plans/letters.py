@@ -86,3 +86,13 @@ def ps_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims of every petition with their section and side."""
     found = notices.claims(petition_texts(spark, d), "l_orderkey")
     return found.select(F.col("key").alias("l_orderkey"), "claim", "section", "number", "side", "statement")
+
+
+@query(
+    "ps_docket_fields",
+    f"with {NOTICE_SQL} select o_orderkey, 'Ankara ' || (o_orderkey % 9 + 1) || '. Asliye Hukuk' as court, year(o_orderdate) || '/' || o_orderkey as file_number, case when o_orderkey % 3 = 0 and o_orderkey % 5 <> 0 then 'service_date' else '' end as conflicts from j",
+)
+def ps_docket_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Court and file number of every notice, a row each."""
+    found = notices.docket(notices.notice_fields(notices.candidates(notice_texts(spark, d), "o_orderkey")))
+    return found.select(F.col("key").alias("o_orderkey"), "court", "file_number", F.array_join("conflicts", ",").alias("conflicts"))
