@@ -353,12 +353,6 @@ def fn_quote_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ").alias("folded"))
 
 
-@query("ps_values", r"select doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'))) as n_dates, len(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?'))) as n_amounts from documents")
-def ps_values(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda p: F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(1)))).cast("long")
-    return table(spark, d, "documents").select("doc_id", n("([0-9]{4}-[0-9]{2}-[0-9]{2})").alias("n_dates"), n("([0-9]+(?:[.,][0-9]+)?)").alias("n_amounts"))
-
-
 @query("ps_evidence_refs", r"select doc_id, len(list_distinct(list_concat(regexp_extract_all(text, '[0-9]+/[0-9]+'), regexp_extract_all(text, '[A-Z]{2,}-[0-9]+')))) as n_refs from documents")
 def ps_evidence_refs(spark: SparkSession, d: str) -> DataFrame:
     found = F.array_union(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in ("([0-9]+/[0-9]+)", "([A-Z]{2,}-[0-9]+)")])

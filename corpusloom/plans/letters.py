@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import notices
+from corpusloom.operators import amounts, notices
 from corpusloom.plans.registry import query
 from corpusloom.tables import table
 
@@ -96,3 +96,26 @@ def ps_docket_fields(spark: SparkSession, d: str) -> DataFrame:
     """Court and file number of every notice, a row each."""
     found = notices.docket(notices.notice_fields(notices.candidates(notice_texts(spark, d), "o_orderkey")))
     return found.select(F.col("key").alias("o_orderkey"), "court", "file_number", F.array_join("conflicts", ",").alias("conflicts"))
+
+
+def statement_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A statement of account an order, with a value of every kind."""
+    tr = lambda x: F.translate(F.format_number(x, 2), ",.", ".,")
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("Sözleşme No A"), k.cast("string"), F.lit(" uyarınca bedel "), tr(F.col("o_totalprice")), F.lit(" TL olup, "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" tarihinde %"), (k % 40).cast("string"),
+        F.lit(",5 faizle "), (k % 28 + 1).cast("string"), F.lit(" gün içinde ödenir; iade −"), tr((k % 5000).cast("double")), F.lit(" USD, ek "), k.cast("string"), F.lit(" adet."),
+    )
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+
+@query(
+    "ps_values",
+    "select o_orderkey, 1 as n, 'amount' as kind, round(o_totalprice, 2)::double as value, 'TRY' as unit, null::date as day from orders union all select o_orderkey, 2, 'date', null, null, o_orderdate::date from orders "
+    "union all select o_orderkey, 3, 'share', o_orderkey % 40 + 0.5, '%', null from orders union all select o_orderkey, 4, 'duration', o_orderkey % 28 + 1, 'day', null from orders "
+    "union all select o_orderkey, 5, 'amount', -(o_orderkey % 5000), 'USD', null from orders union all select o_orderkey, 6, 'number', o_orderkey, null, null from orders",
+)
+def ps_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of every statement: money with its currency and sign, shares, durations, dates, numbers."""
+    found = amounts.values(statement_texts(spark, d), "o_orderkey")
+    return found.select(F.col("key").alias("o_orderkey"), F.col("n"), "kind", F.col("value").cast("double").alias("value"), "unit", "day")
