@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import vectors
-from corpusloom.operators import analysis, evidence, queues, retrieval, versions
+from corpusloom.functions import text, vectors
+from corpusloom.operators import analysis, evidence, queues, references, retrieval, versions
 from corpusloom.plans.registry import query
 from corpusloom.plans.relational import LANES_SQL, PAIRS_SQL, VERSIONS_SQL, lanes
+from corpusloom.plans.scalars import BLANKS, TR_LOWER
 from corpusloom.tables import table
 
 CHUNKS_SQL = """lines as (select doc_id, unnest(string_split(text, chr(10))) as body, unnest(range(0, len(string_split(text, chr(10))))) as ordinal from documents),
@@ -273,9 +274,20 @@ def rt_court_verdict(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", verdict.alias("verdict"))
 
 
-@query("rt_exact_pin", "select l_orderkey, l_linenumber from lineitem where l_partkey = 15 or (l_orderkey = 7 and l_linenumber = 2)")
+@query(
+    "rt_exact_pin",
+    "with c as (select o_custkey, min(o_orderkey) as low, max(o_orderkey) as high, min_by(o_orderdate, o_orderkey) as low_day, max_by(o_orderdate, o_orderkey) as high_day from orders group by 1) "
+    "select o_custkey, 1 as n, year(low_day) || '/' || low as number, low as o_orderkey from c union all select o_custkey, 2, (year(high_day) + 1) || '/' || high, null from c",
+)
 def rt_exact_pin(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_partkey = 15 or (l_orderkey = 7 and l_linenumber = 2)").select("l_orderkey", "l_linenumber")
+    """Questions that cite two files by year and number: the one that exists is pinned, the other is not."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("year"))
+    ends = orders.groupBy("o_custkey").agg(F.min(F.struct("o_orderkey", "year")).alias("low"), F.max(F.struct("o_orderkey", "year")).alias("high"))
+    cite = lambda e, late: F.concat(F.lit("E. "), (F.col(f"{e}.year") + late).cast("string"), F.lit("/"), F.col(f"{e}.o_orderkey").cast("string"))
+    asked = ends.select("o_custkey", F.concat(F.lit("Bkz. "), cite("low", 0), F.lit(" ile "), cite("high", 1), F.lit(" kararları")).alias("text"))
+    parsed = references.references(asked, "o_custkey").where("kind = 'file'").select("o_custkey", "n", "number")
+    files = orders.select("o_orderkey", F.concat_ws("/", "year", "o_orderkey").alias("number"))
+    return parsed.join(files, "number", "left").select("o_custkey", "n", "number", "o_orderkey")
 
 
 @query("rt_hydrate_dense", f"with s as ({DENSE_SQL}), t as (select id, row_number() over (order by score desc, id) as rank from s qualify rank <= 50) select id from t where id in (select doc_id from documents)")
@@ -285,9 +297,21 @@ def rt_hydrate_dense(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense(e, q, 50).join(visible, "id", "left_semi").select("id")
 
 
-@query("rt_normalizer_drift", "select distinct label from embeddings where label not in (0, 1, 2)")
+STORED_SQL = f"""n as (select doc_id, source, text, trim(regexp_replace({TR_LOWER.format("translate(replace(text, chr(173), ''), '‐‑‒–—−‘’“”', '------' || chr(39) || chr(39) || '\"\"')")}, {BLANKS}, ' ', 'g')) as now from documents),
+s as (select *, case when doc_id % 3 = 0 then lower(text) else now end as stored from n)"""
+
+
+@query("rt_normalizer_drift", f"with {STORED_SQL} select source, count(*) as n, count(*) filter (where stored <> now) as drifted, min(doc_id) filter (where stored <> now) as first_id from s group by 1")
 def rt_normalizer_drift(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("label").where(~F.col("label").isin(0, 1, 2)).distinct()
+    """Documents whose stored normal form is not that of the normaliser in use, by source.
+
+    A third of them were stored by an older one that only lowered the text; forms are compared
+    by their digests.
+    """
+    now = text.tr_normalize(F.col("text"))
+    stored = F.when(F.col("doc_id") % 3 == 0, F.lower("text")).otherwise(now)
+    rows = table(spark, d, "documents").select("source", "doc_id", (F.sha2(stored, 256) != F.sha2(now, 256)).alias("drifted"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if("drifted").alias("drifted"), F.min(F.when(F.col("drifted"), F.col("doc_id"))).alias("first_id"))
 
 
 @query("rt_select_passages", "select doc_id, ordinal from (select conv_id as doc_id, turn as ordinal, row_number() over (partition by conv_id order by length(text) desc, turn) as rn from conversations) where rn <= 2")
