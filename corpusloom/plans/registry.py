@@ -12,7 +12,7 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 #: Modules that register queries.
-MODULES: list[str] = ["scalars", "relational", "corpus", "catalog", "turkish", "structure", "flows", "letters"]
+MODULES: list[str] = ["scalars", "relational", "corpus", "catalog", "turkish", "structure", "flows", "letters", "spools"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
