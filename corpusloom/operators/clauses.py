@@ -83,7 +83,7 @@ def tree(found: DataFrame) -> DataFrame:
         closed = F.greatest(closed, at)
     rows = rows.withColumn("chain", F.filter(F.array(*chain), lambda x: x.isNotNull()))
     own = F.array(*[F.when(F.col("level") >= n, F.col(f"next{n}")) for n in range(1, LEVELS + 1)])
-    restart = F.col("caption").isNotNull() & F.col("top").isNotNull() & ((F.col("top") == 1) | (F.col("top") <= F.col("last_top"))) & (F.col("clause") > 1)
+    restart = F.col("caption").isNotNull() & F.col("top").isNotNull() & ((F.col("top") == 1) | F.coalesce(F.col("top") <= F.col("last_top"), F.lit(False))) & (F.col("clause") > 1)
     title = F.when(F.col("caption").isNotNull() & ~restart & (F.col("clause") > 1), F.col("caption")).when(is_caption(F.col("rest")), F.col("rest"))
     rows = rows.withColumn("named", F.when(restart, F.col("caption")))
     return rows.select(

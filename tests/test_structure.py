@@ -163,3 +163,10 @@ def test_isolation(spark):
     good, bad = isolation.split(done, "test")
     assert [tuple(r) for r in good.collect()] == [(1, 5)]
     assert {tuple(r) for r in bad.collect()} == {(2, "NOT_A_NUMBER", "x"), (3, "NOT_A_NUMBER", None), (4, "NEGATIVE", "-1")}
+
+
+def test_caption_above_the_first_whole_number(spark):
+    """Without a whole number before it, a caption is a title: the numbering does not start again."""
+    rows = spark.createDataFrame([(1, "1.1. one\nCAPTION\n4. four\nOTHER\n4. again")], "doc_id int, text string")
+    got = [(r["title"], r["section"]) for r in clauses.clause_tree(rows).orderBy("clause").collect()]
+    assert got == [(None, None), ("CAPTION", None), (None, "OTHER")]
