@@ -29,13 +29,18 @@ def is_weekend(day: Column) -> Column:
     return F.weekday(day) >= 5
 
 
+def month_day(day: Column) -> Column:
+    """Month and day as one number; a timestamp, as formats need, ends in the year 294247."""
+    return F.month(day) * 100 + F.dayofmonth(day)
+
+
 def is_fixed_holiday(day: Column) -> Column:
-    return F.date_format(day, "MM-dd").isin(FIXED_HOLIDAYS)
+    return month_day(day).isin([int(x.replace("-", "")) for x in FIXED_HOLIDAYS])
 
 
 def in_recess(day: Column) -> Column:
     """Within the judicial recess, 20 July to 31 August."""
-    return F.date_format(day, "MM-dd").between("07-20", "08-31")
+    return month_day(day).between(720, 831)
 
 
 #: A run of weekends and fixed holidays is always shorter than this.
@@ -44,7 +49,7 @@ LONGEST_RUN = 14
 
 def next_workday(day: Column) -> Column:
     """The day itself if it is a working day, else the next one; null for null."""
-    ahead = F.sequence(day, F.date_add(day, LONGEST_RUN))
+    ahead = F.transform(F.sequence(F.lit(0), F.lit(LONGEST_RUN)), lambda i: F.date_add(day, i))
     return F.get(F.filter(ahead, lambda x: ~(is_weekend(x) | is_fixed_holiday(x))), F.lit(0))
 
 
