@@ -136,6 +136,22 @@ def test_article_search_equals_plain(spark):
             assert [got[i][3] for i in order] == list(range(1, len(order) + 1))
 
 
+def test_lexeme_counts_make_no_pairs(spark):
+    """Counts equal those of all pairs, also where thousands of stems share their start."""
+    rnd = random.Random(9)
+    stems = sorted({rnd.choice(["kara", "karb", "yaz"]) + "".join(rnd.choice("abç") for _ in range(rnd.randrange(9))) for _ in range(500)})
+    pairs = [(a, b) for a, b in itertools.combinations([s for s in stems if len(s) >= 4], 2) if a[:4] == b[:4]]
+    need = lambda a, b: max(4, -(-7 * min(len(a), len(b)) // 10))
+    want = {}
+    for a, b in pairs:
+        same, near = want.get(a, (0, 0))
+        want[a] = (same + (a[: need(a, b)] == b[: need(a, b)]), near + 1)
+    got = turkish.lexeme_counts(spark.createDataFrame([(s,) for s in stems], "s string"), "s").collect()
+    assert {r["s"]: (r["n_same"], r["n_near"]) for r in got} == want
+    many = spark.range(100_000).select(F.concat(F.lit("karar"), F.col("id").cast("string")).alias("s"))
+    assert turkish.lexeme_counts(many, "s").agg(F.sum("n_near")).first()[0] == 100_000 * 99_999 // 2
+
+
 def test_ratios_of_equal_names_make_no_pairs(spark):
     rows = [(k, f"{'red' if k % 3 else 'blue'} {'ring' if k % 5 else 'gear'}", "A" if k % 7 else "B") for k in range(300)] + [(300, None, "A"), (None, "red ring", "A"), (301, "red cog", None)]
     p = spark.createDataFrame(rows, "k int, n string, b string")
