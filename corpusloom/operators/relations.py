@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Shares of the signals in a score, which add up to one.
 SHARES = {"overlap": 0.6, "length": 0.2, "head": 0.1, "tail": 0.1}
+#: Least number of bundles of a block, and entries of a bundle beyond that.
+BUNDLES, BUNDLE_SIZE = 8, 1024
 
 
 def line_words(line: Column) -> Column:
@@ -58,16 +60,21 @@ def candidates(mentioned: DataFrame, named: DataFrame, span: int = 3, most: int
     """For distinct ``words``: ``found``, the best entries, best first.
 
     Three are enough to decide: the best, its rival, and one more if a mention's own title is
-    among them.
+    among them. The entries of a block lie in a few bundles; a mention meets whole bundles and
+    takes the best of each, so pairs are scored in passing and never written.
     """
     left = mentioned.select("words").distinct().select("words", F.explode(blocking_keys(F.col("words"), span)).alias("block"))
     right = named.select(F.col("words").alias("title"), "n_bearers", "low", "high", F.explode(blocking_keys(F.col("words"), span)).alias("block"))
-    pairs = left.join(right, "block").drop("block").distinct()
-    scored = pairs.withColumn("score", score(F.col("words"), F.col("title"), span))
-    rn = F.row_number().over(Window.partitionBy("words").orderBy(F.desc("score"), "title"))
-    best = scored.withColumn("rn", rn).where(F.col("rn") <= most)
-    row = F.struct("rn", "score", "title", "n_bearers", "low", "high")
-    return best.groupBy("words").agg(F.sort_array(F.collect_list(row)).alias("found"))
+    n_bundles = F.greatest(F.lit(BUNDLES), F.ceil(F.count("*").over(Window.partitionBy("block")) / BUNDLE_SIZE))
+    bundled = right.withColumn("bundle", F.pmod(F.xxhash64("title"), n_bundles)).groupBy("block", "bundle").agg(F.collect_list(F.struct("title", "n_bearers", "low", "high")).alias("entries"))
+
+    def scored(x: Column) -> Column:
+        found = score(F.col("words"), x["title"], span)
+        return F.struct((-found).alias("order"), x["title"].alias("title"), found.alias("score"), *[x[c].alias(c) for c in ("n_bearers", "low", "high")])
+
+    best = left.join(bundled, "block").select("words", F.slice(F.sort_array(F.transform("entries", scored)), 1, most).alias("best"))
+    # An entry that shares both ends is met twice.
+    return best.groupBy("words").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("best")))), 1, most).alias("found"))
 
 
 def resolve(mentioned: DataFrame, titles: DataFrame, span: int = 3, least: float = 0.8, margin: float = 0.05) -> DataFrame:

@@ -170,3 +170,24 @@ def test_caption_above_the_first_whole_number(spark):
     rows = spark.createDataFrame([(1, "1.1. one\nCAPTION\n4. four\nOTHER\n4. again")], "doc_id int, text string")
     got = [(r["title"], r["section"]) for r in clauses.clause_tree(rows).orderBy("clause").collect()]
     assert got == [(None, None), ("CAPTION", None), (None, "OTHER")]
+
+
+def test_candidates_of_a_common_block(spark):
+    """Mentions and entries that all share an end: the best three of all, and no row a pair on the way."""
+    rnd = random.Random(6)
+    text = lambda n: [rnd.choice("abcdefgh") for _ in range(n)] + ["in", "common", "end"]
+    named, mentioned = [sorted({tuple(text(rnd.randrange(1, 9))) for _ in range(300)}) for _ in range(2)]
+    e = spark.createDataFrame([(list(t), i % 4 + 1, i, i + 1) for i, t in enumerate(named)], "words array<string>, n_bearers int, low int, high int")
+    m = spark.createDataFrame([(list(t),) for t in mentioned], "words array<string>")
+    found = relations.candidates(m, e)
+    got = {tuple(r["words"]): [(x["score"], tuple(x["title"])) for x in r["found"]] for r in found.collect()}
+
+    def score(a, b):
+        shared, either = len(set(a) & set(b)), len(set(a) | set(b))
+        return round(0.6 * shared / either + 0.2 * min(len(a), len(b)) / max(len(a), len(b)) + 0.1 * (a[:3] == b[:3]) + 0.1 * (a[-3:] == b[-3:]), 6)
+
+    for t in mentioned:
+        want = sorted((-score(t, u), u) for u in named)[:3]
+        assert [(round(-s, 5), u) for s, u in got[t]] == [(round(s, 5), u) for s, u in want]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "bundle" in plan
