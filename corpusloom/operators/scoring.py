@@ -9,6 +9,7 @@ only the admissible pairs of a cluster meet in one place.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,13 +81,16 @@ def assign(pairs: DataFrame) -> DataFrame:
     kind = pairs.schema["case_id"].dataType.simpleString()
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in frame.groupby(["case_id", "kind", "cluster"], sort=True):
-            g, f = part["gold"].tolist(), part["found"].tolist()
-            weights = dict(zip(zip(g, f, strict=True), part["weight"].tolist(), strict=True))
-            chosen = set(best_pairs(weights))
-            out.append(part[[x in chosen for x in zip(g, f, strict=True)]])
-        return pd.concat(out)[["case_id", "kind", "gold", "found", "weight"]]
+        cluster = ["case_id", "kind", "cluster"]
+        # A pair alone in its cluster is chosen as it stands.
+        chosen = (frame["weight"] > 0).to_numpy(copy=True)
+        shared = np.flatnonzero(frame.groupby(cluster)["gold"].transform("size") > 1)
+        part = frame.iloc[shared]
+        g, f, w = part["gold"].tolist(), part["found"].tolist(), part["weight"].tolist()
+        for at in part.groupby(cluster).indices.values():
+            best = set(best_pairs({(g[i], f[i]): w[i] for i in at}))
+            chosen[shared[at]] = [(g[i], f[i]) in best for i in at]
+        return frame.loc[chosen, ["case_id", "kind", "gold", "found", "weight"]]
 
     keyed = pairs.withColumn("cell", F.xxhash64("case_id", "kind", "cluster"))
     return map_groups(keyed, "cell", work, f"case_id {kind}, kind string, gold bigint, found bigint, weight bigint")

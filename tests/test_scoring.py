@@ -60,3 +60,14 @@ def test_matter_scores(spark, tolerance):
             continue
         want = (total / sums["gold"] if sums["gold"] else None, total / sums["found"] if sums["found"] else None, 2 * total / (sums["gold"] + sums["found"]) if sums["gold"] and sums["found"] else None)
         assert got[case] == pytest.approx(want, abs=2e-6)
+
+
+def test_only_shared_clusters_are_paired(spark, monkeypatch):
+    """A pair alone in its cluster is chosen without a search, unless it weighs nothing."""
+    rows = [(1, "A", 1, 2, 700_000, 1), (1, "A", 3, 4, 0, 2), (2, "A", 1, 2, 600_000, 1), (2, "A", 1, 4, 900_000, 1)]
+    pairs = spark.createDataFrame(rows, "case_id bigint, kind string, gold bigint, found bigint, weight bigint, cluster bigint")
+    seen = []
+    monkeypatch.setattr(scoring, "best_pairs", lambda w, plain=scoring.best_pairs: seen.append(len(w)) or plain(w))
+    monkeypatch.setattr(scoring, "map_groups", lambda df, key, work, schema: spark.createDataFrame(work(df.toPandas()), schema))
+    got = scoring.assign(pairs).collect()
+    assert sorted((r["case_id"], r["gold"], r["found"]) for r in got) == [(1, 1, 2), (2, 1, 4)] and seen == [2]
