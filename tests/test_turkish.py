@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import turkish
 from corpusloom.operators import articles, packing, versions
+from corpusloom.plans import turkish as plans
 
 
 def plain_stem(word):
@@ -180,3 +181,9 @@ def test_matching_has_no_call_a_case(spark):
     want = {c: most([r for r in rows if r[0] == c]) for c in {r[0] for r in rows}}
     assert {r["c"]: r["matched"] for r in found.collect()} == want
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stem_sets_are_made_where_texts_are_read(spark):
+    """Words meet no table of stems, and no filter above has them stemmed again for each use."""
+    plan = plans.fn_stem_set(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count(turkish.BACKWARDS) == 1
