@@ -69,8 +69,9 @@ def ps_party_side(spark: SparkSession, d: str) -> DataFrame:
 
 def petition_texts(spark: SparkSession, d: str) -> DataFrame:
     """A petition an order: its items are numbered facts, its price the relief; odd ones answer."""
-    item = F.concat(F.col("l_linenumber").cast("string"), F.lit("- Mal "), F.col("l_partkey").cast("string"), F.lit(" teslim edilmiştir.\nAdet "), F.col("l_quantity").cast("int").cast("string"), F.lit(" idi."))
-    facts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", item.alias("x")))), lambda r: r["x"]), "\n").alias("facts"))
+    item = lambda r: F.concat(r["l_linenumber"].cast("string"), F.lit("- Mal "), r["l_partkey"].cast("string"), F.lit(" teslim edilmiştir.\nAdet "), r["l_quantity"].cast("int").cast("string"), F.lit(" idi."))
+    items = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
+    facts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(items, item), "\n").alias("facts"))
     kind = F.when(F.col("l_orderkey") % 2 == 1, "CEVAP DİLEKÇESİ").otherwise("DAVA DİLEKÇESİ")
     text = F.concat(kind, F.lit("\n1. önce gelen satır\n\nAÇIKLAMALAR :\n"), F.col("facts"), F.lit("\nHUKUKİ NEDENLER\n1. TBK\nSONUÇ VE İSTEM:\n1) Ödeme istenir.\n\nson satır"))
     return facts.select("l_orderkey", text.alias("text"))
