@@ -15,6 +15,11 @@ from corpusloom.plans.registry import query
 from corpusloom.tables import table
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows that become long texts, dealt over all tasks; AQE would join them by their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), key)
+
+
 def notice_texts(spark: SparkSession, d: str) -> DataFrame:
     """A notice an order: a third names two days of service, a fifth tells it in a sentence only."""
     day = lambda n: F.date_format(F.date_add("o_orderdate", n), "dd.MM.yyyy")
@@ -22,6 +27,7 @@ def notice_texts(spark: SparkSession, d: str) -> DataFrame:
     served = F.when(k % 5 == 0, F.concat(F.lit("Karar "), day(10), F.lit(" tarihinde tebliğ edilmiştir.\n"))).otherwise(F.concat(F.lit("Tebliğ Tarihi : "), day(10), F.lit("\n")))
     again = F.when((k % 3 == 0) & (k % 5 != 0), F.concat(F.lit("Tebellüğ tarihi: "), F.date_format(F.date_add("o_orderdate", 11), "yyyy-MM-dd"), F.lit("\n"))).otherwise("")
     joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = spread(joined.select("o_orderkey", "o_orderdate", "c_name", "c_mktsegment"), "o_orderkey")
     text = F.concat(
         F.lit("T.C.\nMahkemesi: Ankara "), (k % 9 + 1).cast("string"), F.lit(". Asliye Hukuk\nESAS NO: "), F.year("o_orderdate").cast("string"), F.lit("/"), k.cast("string"), F.lit(" E.\nDavacı: Av. "),
         F.col("c_name"), F.lit("\nDavalı (borçlu): Sayın "), F.col("c_mktsegment"), F.lit(" Ltd. Şti.\nVekili: Av. Ayşe Kaya\n"), served, again, F.lit("Süre: "), (k % 3 * 7 + 7).cast("string"), F.lit(" gün\nBaşvuran: "), F.col("c_name"), F.lit("\n"),
@@ -95,7 +101,7 @@ def ps_claims(spark: SparkSession, d: str) -> DataFrame:
 )
 def ps_docket_fields(spark: SparkSession, d: str) -> DataFrame:
     """Court and file number of every notice, a row each."""
-    found = notices.docket(notices.notice_fields(notices.candidates(notice_texts(spark, d), "o_orderkey")))
+    found = notices.docket(notice_texts(spark, d), "o_orderkey")
     return found.select(F.col("key").alias("o_orderkey"), "court", "file_number", F.array_join("conflicts", ",").alias("conflicts"))
 
 
