@@ -46,7 +46,7 @@ NOTICE_SQL = "j as (select * from orders join customer on o_custkey = c_custkey)
 )
 def ps_notice(spark: SparkSession, d: str) -> DataFrame:
     """Fields of every notice; contradicting days of service are a conflict without a value."""
-    found = notices.notice_fields(notices.candidates(notice_texts(spark, d), "o_orderkey"))
+    found = notices.settled_fields(notice_texts(spark, d), "o_orderkey").select("key", F.inline("fields"))
     return found.select(F.col("key").alias("o_orderkey"), "field", "value", "status", "n_candidates")
 
 
