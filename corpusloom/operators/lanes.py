@@ -41,23 +41,25 @@ def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
 def exact_lane(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Texts by the number of a query's lines that they hold as they are."""
     asked = queries.select("query_id", F.explode(F.array_distinct("lines")).alias("line"))
-    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: collapse(F.lower(x))))
+    lines = F.array_distinct(F.transform(F.split(F.lower("text"), "\n"), collapse))
     held = docs.select("id", F.explode(lines).alias("line"))
-    return top(held.join(asked, "line").groupBy("query_id", "id").agg(F.count("*").alias("score")), k, F.desc("score"))
+    return top(held.join(F.broadcast(asked), "line").groupBy("query_id", "id").agg(F.count("*").alias("score")), k, F.desc("score"))
 
 
 def lexical_lane(queries: DataFrame, docs: DataFrame, k: int, rarest: int = 8, least: float = 0.5) -> DataFrame:
     """Texts that hold at least a share of a query's rarest words, by that share.
 
-    Rarity is counted over all texts; words that only the query has are the rarest.
+    Rarity is counted over all texts; words that only the query has are the rarest. Texts are
+    read once: what is kept of them are the asked words that they hold.
     """
-    postings = docs.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 5)
     asked = queries.select("query_id", F.explode("words").alias("word"))
     wanted = asked.select("word").distinct()
-    df = postings.join(wanted, "word").groupBy("word").agg(F.count("*").alias("df"))
+    held = docs.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 5)
+    postings = materialize(held.join(F.broadcast(wanted), "word").select("id", "word"))
+    df = postings.groupBy("word").agg(F.count("*").alias("df"))
     rated = asked.join(df, "word", "left").withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "word"))).where(F.col("rn") <= rarest)
     of = rated.groupBy("query_id").agg(F.count("*").alias("n"))
-    matched = postings.join(rated.select("query_id", "word"), "word").groupBy("query_id", "id").agg(F.count("*").alias("m"))
+    matched = postings.join(F.broadcast(rated.select("query_id", "word")), "word").groupBy("query_id", "id").agg(F.count("*").alias("m"))
     hits = matched.join(of, "query_id").withColumn("score", F.round(F.col("m") / F.col("n"), 9)).where(F.col("score") >= least)
     return top(hits, k, F.desc("score"))
 
@@ -68,7 +70,7 @@ def shingles(text: Column, n: int = 3) -> Column:
     none = F.array().cast("array<string>")
 
     def runs(w: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        made = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
         return F.when(F.size(w) >= n, F.array_distinct(made)).otherwise(none)
 
     # In an array of one the words have a name, so that they are worked out once, not once a run.
@@ -79,17 +81,18 @@ def trigram_lane(queries: DataFrame, docs: DataFrame, k: int, least: float = 0.3
     """Texts by the share of the word trigrams of a query's first line that they hold."""
     asked = queries.select("query_id", shingles(F.col("first_line")).alias("g")).withColumn("n", F.size("g")).select("query_id", "n", F.explode("g").alias("gram"))
     held = docs.select("id", F.explode(shingles(F.col("text"))).alias("gram"))
-    hits = held.join(asked, "gram").groupBy("query_id", "id").agg(F.round(F.count("*") / F.max("n"), 9).alias("score")).where(F.col("score") >= least)
+    hits = held.join(F.broadcast(asked), "gram").groupBy("query_id", "id").agg(F.round(F.count("*") / F.max("n"), 9).alias("score")).where(F.col("score") >= least)
     return top(hits, k, F.desc("score"))
 
 
 def dense_lane(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Vectors (id, v) by cosine with each query's vector (query_id, q), without its own.
 
-    The queries are a stated set: blocks of vectors meet all of them.
+    The queries are a stated set: blocks of vectors meet all of them, each with its length.
     """
-    pairs = vectors.crossJoin(asked).where(F.col("id") != F.col("query_id"))
-    scored = pairs.withColumn("score", F.round(dot(F.col("v"), F.col("q")) / (norm(F.col("v")) * norm(F.col("q"))), 9))
+    sized = vectors.select("id", "v", norm(F.col("v")).alias("v_norm"))
+    pairs = sized.crossJoin(F.broadcast(asked.select("query_id", "q", norm(F.col("q")).alias("q_norm")))).where(F.col("id") != F.col("query_id"))
+    scored = pairs.withColumn("score", F.round(dot(F.col("v"), F.col("q")) / (F.col("v_norm") * F.col("q_norm")), 9))
     return top(scored, k, F.desc("score"))
 
 

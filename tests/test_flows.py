@@ -176,3 +176,12 @@ def test_port_streams_new_parts(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert sorted(r["external_id"] for r in spark.read.parquet(str(out)).collect()) == ["0", "1"]
+
+
+def test_lexical_lane_reads_texts_once(spark):
+    """After their one read only the asked words of the texts are left, so the hits come from no text."""
+    queries = lanes.lane_queries(spark.createDataFrame([(1, "yellow orange purple")], "item_id bigint, text string"), "item_id", "text")
+    docs = spark.range(6).select("id", F.when(F.col("id") % 2 == 0, "Orange purple purple pink").otherwise("yellow").alias("text"))
+    hits = lanes.lexical_lane(queries, docs, 5)
+    assert "Range" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["rank"], round(r["score"], 6)) for r in hits.collect()) == [(0, 1, 0.666667), (2, 2, 0.666667), (4, 3, 0.666667)]
