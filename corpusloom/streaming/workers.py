@@ -30,7 +30,7 @@ Process = Callable[[DataFrame], DataFrame]
 def taken_in(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     """``jobs`` and the requests (queue, job_key, payload) that have no job open, each key once."""
     one = requests.groupBy("queue", "job_key").agg(F.min("payload").alias("payload"))
-    new = queues.enqueue(jobs, one)
+    new = queues.not_in_flight(jobs, one)
     rows = new.select(F.concat_ws(":", "queue", "job_key").alias("job_id"), "queue", "job_key", "payload", F.lit("queued").alias("state"), now.alias("available_at"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("leased_until"))
     return jobs.unionByName(rows)
 

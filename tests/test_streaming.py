@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import queues
 from corpusloom.streaming import jobs
 from corpusloom.tables import table
 
@@ -66,3 +67,15 @@ def test_enqueue_once(spark, tmp_path):
     live = stream(spark, tmp_path, rows, "queue string, job_key string, ts timestamp", "requests")
     run(jobs.enqueue_once(live), "enqueued", "append")
     assert spark.table("enqueued").count() == 2
+
+
+def test_claim_moves_no_payload(spark):
+    """Jobs meet the last place of their queue's claim where they are; none are dealt by their id."""
+    rows = [(f"j{i:02}", None if i % 3 == 2 else f"q{i % 3}", "x" * 50, "queued" if i % 4 else "running", dt.datetime(2024, 1, 1 + i % 5)) for i in range(20)]
+    jobs = spark.createDataFrame(rows, "job_id string, queue string, payload string, state string, available_at timestamp")
+    claimed = queues.claim(jobs, F.lit("2024-01-04").cast("timestamp"), 3)
+    assert "hashpartitioning(job_id" not in claimed._jdf.queryExecution().executedPlan().toString()
+    due = sorted((r[1] or "", r[4], r[0]) for r in rows if r[3] == "queued" and r[4] <= dt.datetime(2024, 1, 4))
+    want = {j for q in ("", "q0", "q1") for j in [d[2] for d in due if d[0] == q][:3]}
+    got = claimed.collect()
+    assert len(got) == 20 and {r["job_id"] for r in got if r["claimed"]} == want
