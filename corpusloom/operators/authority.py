@@ -46,11 +46,13 @@ def authority(source: Column, court: Column, law: Column) -> tuple[Column, Colum
 
 def polarity(text: Column) -> Column:
     """NEGATIVE or AFFIRMATIVE by the phrases of an outcome, the negative first; else NEUTRAL."""
-    t = tr_normalize(text)
-    return F.when(holds(t, NEGATIVE), "NEGATIVE").when(holds(t, AFFIRMATIVE), "AFFIRMATIVE").otherwise("NEUTRAL")
+    read = lambda t: F.when(holds(t, NEGATIVE), "NEGATIVE").when(holds(t, AFFIRMATIVE), "AFFIRMATIVE").otherwise("NEUTRAL")
+    # In an array of one the plain text has a name, so that it is worked out once.
+    return F.get(F.transform(F.array(tr_normalize(text)), read), F.lit(0))
 
 
 def stance(kind: Column, text: Column) -> Column:
     """How a passage stands to a claim; statutes are always neutral."""
-    p = polarity(text)
-    return F.when(holds(tr_normalize(kind), STATUTE_TYPES), "neutral").when(p == "NEGATIVE", "contrary").when(p == "AFFIRMATIVE", "supporting").otherwise("neutral")
+    side = lambda p: F.when(p == "NEGATIVE", "contrary").when(p == "AFFIRMATIVE", "supporting").otherwise("neutral")
+    read = F.get(F.transform(F.array(polarity(text)), side), F.lit(0))
+    return F.when(holds(tr_normalize(kind), STATUTE_TYPES), "neutral").otherwise(read)

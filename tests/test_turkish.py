@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import turkish
-from corpusloom.operators import articles, packing, versions
+from corpusloom.operators import articles, authority, packing, versions
 from corpusloom.plans import turkish as plans
 
 
@@ -187,3 +187,10 @@ def test_stem_sets_are_made_where_texts_are_read(spark):
     """Words meet no table of stems, and no filter above has them stemmed again for each use."""
     plan = plans.fn_stem_set(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count(turkish.BACKWARDS) == 1
+
+
+def test_stance_reads_its_text_once(spark):
+    rows = spark.createDataFrame([("Karar", "Davanın REDDİNE ve kabulüne"), ("Kanun", "beraat"), (None, None), ("karar", "kabulüne")], "kind string, text string")
+    found = rows.select(authority.stance(F.col("kind"), F.col("text")).alias("s"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    assert [r["s"] for r in found.collect()] == ["contrary", "neutral", "neutral", "supporting"]
