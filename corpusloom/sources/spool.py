@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.arrowmap import give_back
 from corpusloom.functions.text import csv_field
+from corpusloom.grouping import spans
 
 DOCUMENT = "source string, external_id string, document_type string, title string, retrieved_url string, media_type string, dates map<string,string>, text string"
 
+#: Fields of an OCR row.
+OCR_FIELDS = 12
+#: Fields of an OCR row that give a word's place on its page.
+OCR_KEYS = ["block", "par", "line", "word"]
+#: Stands for a missing number, below all others.
+NO_KEY = -(2**31) - 1
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A folder of JSON documents, one object a file."""
@@ -47,13 +61,84 @@ def resync(rows: DataFrame, stored: DataFrame, keys: list[str], value: str) -> D
     return a.join(b, keys, "full").withColumn("state", state).drop("has_new", "has_old")
 
 
+def _numbers(texts: pa.Array, kind: pa.DataType, strict: bool) -> pa.Array:
+    """Numbers of texts; blanks around them and a plus sign do not disturb, others fail, or are null unless ``strict``."""
+    try:
+        return texts.cast(kind)
+    except pa.ArrowInvalid:
+        plain = pc.replace_substring_regex(pc.ascii_trim(texts, " \t\r\n\f\v"), r"^\+([0-9.])", r"\1")
+        if not strict:
+            shape = r"^-?[0-9]{1,9}$" if pa.types.is_integer(kind) else r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+            plain = pc.if_else(pc.match_substring_regex(plain, shape), plain, pa.scalar(None, texts.type))
+        return plain.cast(kind)
+
+
+def page_pieces(lines: pa.Array, least: float, strict: bool) -> pa.RecordBatch | None:
+    """The sure words of OCR rows by page, in order: one row a run of words of one page.
+
+    A word holds no tab, as tabs part the fields, so tabs part the words of a piece.
+    """
+    parts = pc.split_pattern(lines.drop_null(), "\t")
+    at, size = np.asarray(parts.offsets)[:-1], np.diff(np.asarray(parts.offsets))
+    if strict and len(size) and size.min() < OCR_FIELDS:
+        raise ValueError(f"an OCR row has {size.min()} fields, not {OCR_FIELDS}")
+    at = at[size >= OCR_FIELDS]
+    field = lambda i: parts.values.take(pa.array(at + i))
+    conf, text = _numbers(field(10), pa.float64(), strict), field(11)
+    sure = np.asarray(conf.fill_null(-np.inf))
+    sure = (sure >= least) | np.isnan(sure)
+    sure &= np.asarray(conf.is_valid()) & np.asarray(pc.not_equal(pc.ascii_trim(text, " "), ""))
+    at = at[sure]
+    if not len(at):
+        return None
+    row = pa.RecordBatch.from_arrays([*[_numbers(field(i), pa.int32(), strict) for i in range(1, 6)], conf.filter(pa.array(sure)), text.filter(pa.array(sure))], ["page", *OCR_KEYS, "conf", "text"])
+    page, *keys = [np.asarray(row[n].cast(pa.int64()).fill_null(NO_KEY)) for n in ("page", *OCR_KEYS)]
+    if not _ascending([page, *keys]):
+        order = pc.sort_indices(row, sort_keys=[(n, "ascending") for n in ("page", *OCR_KEYS, "text")], null_placement="at_start")
+        row, page = row.take(order), page[np.asarray(order)]
+    starts, ends = spans(page)
+    cuts = pa.array(np.append(starts, len(page)), pa.int32())
+    by_page = lambda n: pa.ListArray.from_arrays(cuts, row[n])
+    edge = lambda i: pa.StructArray.from_arrays([row[n].take(pa.array(i)) for n in OCR_KEYS], OCR_KEYS)
+    total = np.add.reduceat(np.asarray(row["conf"]), starts)
+    columns = [row["page"].take(pa.array(starts)), edge(starts), edge(ends - 1), pa.array(ends - starts), pa.array(total), *map(by_page, OCR_KEYS), pc.binary_join(by_page("text"), "\t")]
+    return pa.RecordBatch.from_arrays(columns, ["page", "low", "high", "n", "total", *OCR_KEYS, "words"])
+
+
+def _ascending(keys: list[np.ndarray]) -> bool:
+    """Whether each row of the key columns is above the one before it."""
+    above = np.zeros(len(keys[0]) - 1, bool)
+    for k in reversed(keys):
+        above = (k[1:] > k[:-1]) | ((k[1:] == k[:-1]) & above)
+    return bool(above.all())
+
+
 def ocr_words(tsv: DataFrame, least: float = 0.0) -> DataFrame:
-    """Text and mean confidence by page of OCR rows (value: 12 tab-separated fields)."""
-    f = F.split("value", "\t")
-    row = tsv.select(f[1].cast("int").alias("page"), *[f[i].cast("int").alias(n) for i, n in ((2, "block"), (3, "par"), (4, "line"), (5, "word"))], f[10].cast("double").alias("conf"), f[11].alias("text"))
-    row = row.where((F.col("conf") >= least) & (F.trim("text") != ""))
-    words = F.array_sort(F.collect_list(F.struct("block", "par", "line", "word", "text")))
-    return row.groupBy("page").agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"), F.avg("conf").alias("confidence"))
+    """Text and mean confidence by page of OCR rows (value: 12 tab-separated fields).
+
+    Words are put together where they are read, so that pieces of pages are shuffled and
+    sorted, not words. Only pages whose pieces overlap, as when their rows are dealt over
+    several files, are sorted by word.
+    """
+    strict = tsv.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
+    key = "struct<" + ", ".join(f"{n}: int" for n in OCR_KEYS) + ">"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = page_pieces(batch.column(0), least, strict)
+            if made is not None:
+                yield made
+        give_back()
+
+    pieces = tsv.select("value").mapInArrow(run, f"page int, low {key}, high {key}, n bigint, total double, " + ", ".join(f"{n} array<int>" for n in OCR_KEYS) + ", words string")
+    held = F.sort_array(F.collect_list(F.struct("low", "high", "words", *OCR_KEYS))).alias("p")
+    pages = pieces.groupBy("page").agg(held, (F.sum("total") / F.sum("n")).alias("confidence"))
+    p = F.col("p")
+    apart = F.forall(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i - 1)["high"] < F.get(p, i)["low"]))
+    joined = F.replace(F.array_join(F.transform(p, lambda x: x["words"]), "\t"), F.lit("\t"), F.lit(" "))
+    words = F.flatten(F.transform(p, lambda x: F.arrays_zip(*[x[n].alias(n) for n in OCR_KEYS], F.split(x["words"], "\t").alias("text"))))
+    merged = F.array_join(F.transform(F.sort_array(words), lambda w: w["text"]), " ")
+    return pages.select("page", F.when(apart, joined).otherwise(merged).alias("text"), "confidence")
 
 
 def manifest(files: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
 """Spools, manifests and exports round trip."""
 
 import json
+import random
 
+import pyarrow as pa
+import pytest
+from corpusloom.arrowmap import BATCH_CONF
 from corpusloom.operators import boolean_text, queues, versions
 from corpusloom.sources import spool
 from pyspark.sql import functions as F
@@ -50,6 +54,38 @@ def test_ocr(spark):
     assert [(r["page"], r["text"], r["confidence"]) for r in got] == [(1, "a b", 85.0)]
 
 
+def test_ocr_pages_are_put_together_where_they_are_read(spark):
+    """One row a run of a page leaves a batch, and pages in pieces equal a plain version, in any order."""
+    line = lambda page, conf, word, *at: "\t".join(map(str, (5, page, *at, 0, 0, 0, 0, conf, word)))
+    got = spool.page_pieces(pa.array([line(1, 90, "b", 1, 1, 1, 2), line(1, 80, "a", 1, 1, 1, 1), line(1, 10, "x", 1, 1, 1, 3), line(2, 60, "c d", 1, 1, 1, 1), None]), 50.0, True)
+    assert got.select(["page", "n", "total", "words"]).to_pylist() == [{"page": 1, "n": 2, "total": 170.0, "words": "a\tb"}, {"page": 2, "n": 1, "total": 60.0, "words": "c d"}]
+    rnd = random.Random(7)
+    held = [(rnd.randrange(9), rnd.choice([49, 50, 51.5, " 80"]), rnd.choice(["a", "b c", " d", "é", "ü\U0001f600", "\ufffd", " "]), *[rnd.randrange(3) for _ in range(4)]) for _ in range(900)]
+    want = {}
+    for page, conf, word, *at in held:
+        if float(conf) >= 50 and word.strip():
+            want.setdefault(page, []).append((at, word.encode(), float(conf)))
+    rows = spark.createDataFrame([(line(*h),) for h in held], "value string").repartition(5)
+    before = spark.conf.get(BATCH_CONF)
+    for most in (7, 2000):
+        spark.conf.set(BATCH_CONF, most)
+        read = {r["page"]: (r["text"], round(r["confidence"], 6)) for r in spool.ocr_words(rows, 50.0).collect()}
+        assert read == {p: (" ".join(w.decode() for _, w, _ in sorted(v)), round(sum(c for *_, c in v) / len(v), 6)) for p, v in want.items()}
+    spark.conf.set(BATCH_CONF, before)
+
+
+def test_ocr_rows_that_do_not_parse(spark):
+    """They fail, as Spark's casts do; without ANSI they are left out, and a page without a number is one of its own."""
+    bad = spark.createDataFrame([("level\tpage\tb\tp\tl\tw\tx\ty\tw\th\tconf\ttext",), ("5\t1",), ("5\tx\t1\t1\t1\t1\t0\t0\t0\t0\t70\ta",)], "value string")
+    with pytest.raises(Exception):
+        spool.ocr_words(bad).collect()
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert [tuple(r) for r in spool.ocr_words(bad).collect()] == [(None, "a", 70.0)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
 def test_range_join_equals_plain(spark):
     left = [(i, i * 7 % 40, i * 7 % 40 + i % 9) for i in range(60)]
     right = [(i, i * 11 % 40, i * 11 % 40 + i % 13) for i in range(60)]
