@@ -88,10 +88,26 @@ def quote_windows(docs: DataFrame, questions: Sequence[tuple[int, Sequence[str]]
     return found.select("key", "question", part.alias("p"), F.coalesce("matches", F.lit(0)).cast("long").alias("matches")).select("key", "question", "p.start", "p.end", "matches", "p.quote")
 
 
+def words_among(text: Column, asked: Sequence[str]) -> Column:
+    """The words of ``asked`` (runs of letters) that are whole runs of letters in ``text``, each once.
+
+    No other word of the text is cut out. A letter may take two places of a Java string, so the
+    lookbehind goes back two.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}}{{1,2}})({'|'.join(asked)})(?!\p{{L}})"), F.lit(1)))
+
+
 def lexeme_bits(words: Column, question: Column) -> Column:
-    """The question's words (63 at most) that ``words`` holds, as bits of a long."""
-    held = F.transform(F.slice(question, 1, 63), lambda w, i: F.when(F.array_contains(words, w), F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    """The question's words (63 at most) that ``words`` holds, as bits of a long.
+
+    In an array of one ``words`` has a name, so that it is worked out once, not once a question's word.
+    """
+
+    def bits(held: Column) -> Column:
+        each = F.transform(F.slice(question, 1, 63), lambda w, i: F.when(F.array_contains(held, w), F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+    return F.get(F.transform(F.array(words), bits), F.lit(0))
 
 
 def swap_for_coverage(kept: list[tuple[int, int, bool]], spare: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -124,11 +140,14 @@ def coverage_cap(rows: DataFrame, cap: int, group: str = "group_id") -> DataFram
     """``rows`` (group, rank from 1, bits, pinned) with ``kept`` and ``swapped``.
 
     The first ``cap`` ranks of each group are kept, but rows with words that none of them has
-    replace the last ones that add nothing. Ranks are unique in a group.
+    replace the last ones that add nothing. Ranks are unique in a group. ``rows`` are met in
+    the same form for the swaps and for the result, so that Spark reads and ranks them once.
     """
     kind = rows.schema[group].dataType.simpleString()
-    first = rows.where(F.col("rank") <= cap).select(group, "rank", "bits", "pinned")
-    spare = rows.where((F.col("rank") > cap) & (F.col("bits") != 0)).groupBy(group, "bits").agg(F.min("rank").alias("rank")).select(group, "rank", "bits", F.lit(False).alias("pinned"))
+    # Ranks within the cap stay rows of their own; rows without words can only be among them.
+    own = F.when(F.col("rank") <= cap, F.col("rank"))
+    held = rows.where((F.col("rank") <= cap) | (F.col("bits") != 0)).groupBy(group, "bits", own.alias("own"))
+    held = held.agg(F.min("rank").alias("rank"), F.bool_or(F.col("pinned") & (F.col("rank") <= cap)).alias("pinned")).select(group, "rank", "bits", "pinned")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -138,7 +157,7 @@ def coverage_cap(rows: DataFrame, cap: int, group: str = "group_id") -> DataFram
                 out += [(g, taken, True), (g, put, False)]
         return pd.DataFrame(out, columns=[group, "rank", "taken"])
 
-    swaps = map_groups(first.unionByName(spare), group, work, f"{group} {kind}, rank bigint, taken boolean")
+    swaps = map_groups(held, group, work, f"{group} {kind}, rank bigint, taken boolean")
     # A row that was taken in may be put out again by a later one.
     settled = swaps.groupBy(group, "rank").agg(F.min("taken").alias("taken"))
     done = rows.join(settled, [group, "rank"], "left")

@@ -156,6 +156,24 @@ def test_cap_query(spark):
         assert {r["rank"] for r in rows if r["source"] == source and r["kept"]} == plain_cap(held, 8)
 
 
+def test_words_of_a_question_are_found_once(spark):
+    """Equal to all words of odd texts; worked out once a text, and the ranked rows are read once."""
+    rnd = random.Random(8)
+    asked = ["the", "then", "le", "les", "été", "straße"]
+    texts = ["", None, *["".join(rnd.choice([*asked, "THE", "ÉTÉ", "İ", "\u0301", "\U00010400", " ", " ", "-", "7", "_", "s", "\n"]) for _ in range(rnd.randrange(1, 30))) for _ in range(300)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    question = F.array(*[F.lit(w) for w in asked])
+    every = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    both = rows.select(windows.lexeme_bits(windows.words_among(F.lower("text"), asked), question).alias("few"), windows.lexeme_bits(every, question).alias("all"))
+    got = both.collect()
+    assert all(r["few"] == r["all"] for r in got) and len({r["few"] for r in got}) > 20
+    assert "array_contains(lambda" in both._jdf.queryExecution().optimizedPlan().toString()
+    cap = structure.lm_coverage_cap(spark, SF)
+    assert cap.count() == cap.select("doc_id").distinct().count()
+    cap.collect()
+    assert "ReusedExchange" in cap._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_isolation(spark):
     df = spark.createDataFrame([(1, "5"), (2, "x"), (3, None), (4, "-1")], "id int, n string")
     n = F.expr("try_cast(n as int)")
