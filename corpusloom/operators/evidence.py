@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.storage import materialize
+
 #: Words inside a quote by which documents are looked up before the quote is compared.
 PROBE = 4
 
@@ -85,6 +87,18 @@ def word_runs(words: Column, n: int = PROBE) -> Column:
     return F.filter(F.get(F.transform(F.array(words), runs), F.lit(0)), lambda x: x != "")
 
 
+def run_rows(texts: DataFrame, n: int = PROBE) -> DataFrame:
+    """The runs of ``words`` (see ``word_runs``), one a row, with the other columns; repeats included.
+
+    Places are exploded, not runs: a run is put together from its words at its own row.
+    """
+    i = F.col("__at")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
+    places = texts.withColumn("__at", F.explode(F.when(F.size("words") > 0, starts)))
+    run = F.concat_ws(" ", *[F.get("words", i + k) for k in range(n)])
+    return places.select(*[c for c in texts.columns if c != "words"], run.alias("run"))
+
+
 def quote_states(docs: DataFrame, quotes: DataFrame, least: float = 0.5, doc_id: str = "doc_id", quote_id: str = "item_id") -> DataFrame:
     """How each quote stands in the text that holds most of it.
 
@@ -95,10 +109,13 @@ def quote_states(docs: DataFrame, quotes: DataFrame, least: float = 0.5, doc_id:
     smaller id.
     """
     q = quotes.select(F.col(quote_id).alias("q"), F.col("text").alias("quote"), word_list(F.col("text")).alias("words")).withColumn("runs", word_runs(F.col("words")))
-    asked = q.select("q", F.explode(F.array_distinct("runs")).alias("run"))
-    held = docs.select(F.col(doc_id).alias("d"), F.explode(F.array_distinct(word_runs(word_list(F.col("text"))))).alias("run"))
-    met = held.join(asked, "run").groupBy("q", "d").agg(F.count("*").alias("n"))
+    asked = q.select("q", F.monotonically_increasing_id().alias("asked"), F.explode(F.array_distinct("runs")).alias("run"))
+    held = run_rows(docs.select(F.col(doc_id).alias("d"), F.monotonically_increasing_id().alias("row"), word_list(F.col("text")).alias("words")))
+    # A run counts once a text; only runs that a quote has are made distinct.
+    met = held.join(asked, "run").distinct().groupBy("q", "d").agg(F.count("*").alias("n"))
     best = met.groupBy("q").agg(F.max(F.struct("n", (-F.col("d")).alias("back"))).alias("b")).select("q", (-F.col("b.back")).alias("d"), "b.n")
+    # Written, so that Spark knows how few they are and does not shuffle all texts to meet them.
+    best = materialize(best)
     texts = docs.select(F.col(doc_id).alias("d"), F.col("text").alias("body")).join(best.select("d").distinct(), "d", "left_semi")
     found = q.join(best, "q", "left").join(texts, "d", "left")
     share = F.coalesce("n", F.lit(0)) / F.size(F.array_distinct("runs"))

@@ -6,8 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import clauses, isolation, relations, windows
-from corpusloom.plans import structure
+from corpusloom.operators import clauses, evidence, isolation, relations, windows
+from corpusloom.plans import catalog, structure
 
 SF = "/root/testdata/sf0.001"
 
@@ -209,3 +209,33 @@ def test_candidates_of_a_common_block(spark):
         assert [(round(-s, 5), u) for s, u in got[t]] == [(round(s, 5), u) for s, u in want]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "bundle" in plan
+
+
+def test_quotes_meet_texts_without_shuffling_them(spark):
+    """States of quotes against a plain version; a run counts once a text, and whole texts are not shuffled."""
+    rnd = random.Random(9)
+    texts = ["", None, "a b c a b c a b c", "A, b; c", *[" ".join(rnd.choice("abcdÉ") for _ in range(rnd.randrange(0, 30))) for _ in range(40)]]
+    quotes = ["zz", "a b c", "a b", "zz zz zz zz zz", "A b c a b c", *[" ".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 9))) for _ in range(40)]]
+
+    def runs(words):
+        return [x for x in (" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))) if x]
+
+    listed = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    want = {}
+    for k, quote in enumerate(quotes):
+        words = re.findall(r"[^\W_]+", quote.lower())
+        own = set(runs(words))
+        n, d = max((len(own & set(runs(w))), -i) for i, w in enumerate(listed))
+        held = f" {' '.join(listed[-d])} "
+        share = n / len(own)
+        state = "MISSING" if not n else "VERBATIM" if quote in texts[-d] else "FOLDED" if f" {' '.join(words)} " in held else "ALTERED" if share >= 0.5 else "MISSING"
+        want[k] = (-d if state != "MISSING" else None, state, round(share, 6))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = evidence.quote_states(docs, spark.createDataFrame(list(enumerate(quotes)), "item_id bigint, text string"))
+    assert {r["item_id"]: (r["doc_id"], r["state"], r["share"]) for r in found.collect()} == want
+    once = evidence.run_rows(spark.createDataFrame([(1, "a b c d e".split()), (2, ["a"]), (3, []), (4, None)], "d int, words array<string>"))
+    assert sorted(tuple(r) for r in once.collect()) == [(1, "a b c d"), (1, "b c d e"), (2, "a")]
+    states = catalog.ev_altered_quotes(spark, SF)
+    states.collect()
+    plan = states._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.search(r"LeftSemi, BuildRight(.|\n)*FileScan parquet \[d#", plan), "ids of the best texts are read where their number is known"
