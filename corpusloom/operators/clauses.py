@@ -11,6 +11,8 @@ sort of its headings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ BARE = rf"^\s*({NUMBER})(?:\.(?=\s|$|[\p{{L}}\"“'‘(])|\s*[)\-–—](?=\s|$|
 PARTED = rf"^\s*(\d{{1,3}}(?:\.\d{{1,3}}){{1,{LEVELS - 1}}})\s+(?=[\p{{Lu}}\"“(])(.*)$"
 DATE = r"^\s*\d{1,2}[./]\d{1,2}[./]\d{2,4}"
 QUANTITY = rf"(?i)^(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+# One numbering alone: white space, the number before its full stop, and units in letters of any case.
+WHITE = r"[\t\n\f\r ]"
+STOPPED = rf"^{WHITE}*{NUMBER}\.(?:{WHITE}|\z|[\p{{L}}\"“'‘(])"
+ANY_CASE = str.maketrans({"k": "[k\u212a]", "s": "[s\u017f]", "ü": "[üÜ]"})
+AMOUNT = rf"(?i)^(?:{'|'.join(UNITS).translate(ANY_CASE)})(?![\p{{L}}\p{{N}}])"
 
 
 def marker(line: Column) -> Column:
@@ -37,20 +44,35 @@ def marker(line: Column) -> Column:
     return F.when(line.rlike(NAMED), named).when(plain, bare)
 
 
+def full_stop(line: Column) -> Column:
+    """Struct of number and rest of a line that starts with a number and a full stop; null for other lines.
+
+    For texts of one known numbering, where other markers, dates and addresses are text.
+    """
+    after = F.regexp_replace(line, rf"^{WHITE}*[0-9.]+{WHITE}*", "")
+    number = F.regexp_extract(line, rf"^{WHITE}*([0-9]+(?:\.[0-9]+)*)", 1)
+    return F.when(line.rlike(STOPPED) & ~after.rlike(AMOUNT), F.struct(number.alias("number"), trimmed(after).alias("rest")))
+
+
+def trimmed(line: Column) -> Column:
+    """``line`` without blanks of any width at its ends."""
+    return F.regexp_replace(line, r"^\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", "")
+
+
 def is_caption(line: Column) -> Column:
     """A short line of capitals: a title or section name, not a sentence."""
-    return line.rlike(r"\p{L}.*\p{L}") & ~line.rlike(r"\p{Ll}") & (F.length(F.trim(line)) <= 100)
+    return line.rlike(r"(?s)\p{L}.*\p{L}") & ~line.rlike(r"\p{Ll}") & (F.length(trimmed(line)) <= 100)
 
 
-def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a heading: key, line (from 0), start, number, level, rest, caption (the line above).
+def headings(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: Callable[[Column], Column] = marker) -> DataFrame:
+    """A row a heading, as ``mark`` finds them: key, line (from 0), start, number, level, rest, caption (the line above).
 
     Offsets are code points, summed up from the sizes of lines; texts stay in the scan.
     """
     rows = docs.select(F.col(key).alias("key"), F.length(text).alias("total"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
     order = Window.partitionBy("key").orderBy("line")
     start = F.coalesce(F.sum(F.col("size") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slim = rows.select("key", "total", "line", F.length("body").alias("size"), marker(F.col("body")).alias("m"), F.when(is_caption(F.col("body")), F.trim("body")).alias("caption"), (F.trim("body") != "").alias("filled"))
+    slim = rows.select("key", "total", "line", F.length("body").alias("size"), mark(F.col("body")).alias("m"), F.when(is_caption(F.col("body")), trimmed(F.col("body"))).alias("caption"), F.col("body").rlike(r"[^\p{Zs}]").alias("filled"))
     placed = slim.withColumn("start", start.cast("long")).where("filled")
     above = F.when(F.lag("m").over(order).isNull(), F.lag("caption").over(order))
     return placed.withColumn("above", above).where("m is not null").select(
@@ -94,6 +116,6 @@ def tree(found: DataFrame) -> DataFrame:
     )
 
 
-def clause_tree(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def clause_tree(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: Callable[[Column], Column] = marker) -> DataFrame:
     """Clauses of all texts; those without headings, null or empty ones have none."""
-    return tree(headings(docs.where(F.col(text).rlike(r"\d|§")), key, text))
+    return tree(headings(docs.where(F.col(text).rlike(r"\d|§")), key, text, mark))

@@ -3,11 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
+from compare import differences
 from pyspark.sql import functions as F
 
 from corpusloom.operators import clauses, evidence, isolation, relations, windows
-from corpusloom.plans import catalog, structure
+from corpusloom.plans import catalog, registry, structure
 
 SF = "/root/testdata/sf0.001"
 
@@ -239,3 +241,19 @@ def test_quotes_meet_texts_without_shuffling_them(spark):
     states.collect()
     plan = states._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert re.search(r"LeftSemi, BuildRight(.|\n)*FileScan parquet \[d#", plan), "ids of the best texts are read where their number is known"
+
+
+def test_clauses_of_odd_lines_equal_their_sql(spark, tmp_path):
+    """Addresses, markers of other kinds, wide blanks and ends of lines within a line are read as the SQL reads them."""
+    rnd = random.Random(12)
+    starts = ["123.45.67.89 Den", "Section 3 of", "1) it", "12.03.24. on", "2.500. TL", "5.2 Fees", "§ 3", "7. GÜN", "7. Gün", "9.Kat", "4. ſaat", "", "TITLE", " ", "　", " TITLE　", "A B", "A\x0bB", "1. a\rb", "3. X"]
+    ends = ["", " ", "\r", " ", "\u0085", " ", "\t", "\x0b", " word", " WORD"]
+    line = lambda: rnd.choice(starts) + rnd.choice(ends) + rnd.choice(["", " ", "x", "XY", "XYZ", "É"])
+    texts = ["\n".join(line() for _ in range(rnd.randrange(30))) for _ in range(300)]
+    rows = [*enumerate(texts), (1000, None), (None, "TITLE\nab"), (1001, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert differences(spark, con, str(tmp_path), "ps_clauses", structure.ps_clauses, registry.oracle_sql()["ps_clauses"]) is None
+    found = structure.ps_clauses(spark, str(tmp_path)).where("number like '123%' or number = '5.2'")
+    assert found.count() == 0 and len(texts) == 300
