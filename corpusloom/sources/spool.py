@@ -16,6 +16,9 @@ from corpusloom.grouping import spans
 
 DOCUMENT = "source string, external_id string, document_type string, title string, retrieved_url string, media_type string, dates map<string,string>, text string"
 
+#: JSON texts of any length are read, beyond the parser's 20,000,000 characters.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+
 #: Fields of an OCR row.
 OCR_FIELDS = 12
 #: Fields of an OCR row that give a word's place on its page.
@@ -26,17 +29,17 @@ NO_KEY = -(2**31) - 1
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A folder of JSON documents, one object a file."""
-    return spark.read.schema(DOCUMENT).json(path, multiLine=True)
+    return spark.read.schema(DOCUMENT).options(**ANY_LENGTH).json(path, multiLine=True)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object a line."""
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**ANY_LENGTH).json(path)
 
 
 def read_spool(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Good records, and refused ones with ``reason``, of a spool of JSON lines."""
-    raw = spark.read.text(path).withColumn("record", F.from_json("value", DOCUMENT))
+    raw = spark.read.text(path).withColumn("record", F.from_json("value", DOCUMENT, ANY_LENGTH))
     r = F.col("record")
     reason = (
         F.when(r.isNull() | (r["source"].isNull() & r["external_id"].isNull() & r["text"].isNull()), "NOT_JSON")

@@ -3,11 +3,13 @@
 import json
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
+from compare import differences
 from corpusloom.arrowmap import BATCH_CONF
 from corpusloom.operators import boolean_text, queues, versions
-from corpusloom.plans import spools
+from corpusloom.plans import registry, spools
 from corpusloom.sources import spool
 from pyspark.sql import functions as F
 
@@ -137,3 +139,16 @@ def test_components(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert all(got[i] == 0 for i in range(31)) and all(got[i] == 100 for i in range(100, 160)) and got[300] == 100 and got[199] == got[200] == 199
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_spool_of_odd_documents_equals_its_sql(spark, tmp_path):
+    """Documents without text or id, with a blank or a very long text, are captured like others."""
+    texts = [None, "", "  ", "\u00a0", "captured", "captured\n", "a\x00b\r\n\u2028\"\\"]
+    rows = [(i, texts[i % len(texts)]) for i in range(-150, 150)] + [(None, None), (None, ""), (None, "a"), (2, "x"), (2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("bigint")})
+    long = spark.range(1).select(F.lit(1).cast("bigint").alias("doc_id"), F.repeat(F.lit("x"), 20_000_001).alias("text"), F.lit("en").alias("lang"), F.lit(20_000_001).cast("bigint").alias("n_chars"))
+    docs.union(long).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("src_library_spool", "src_jsonl"):
+        assert differences(spark, con, str(tmp_path), name, getattr(spools, name), registry.oracle_sql()[name]) is None
