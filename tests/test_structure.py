@@ -257,3 +257,29 @@ def test_clauses_of_odd_lines_equal_their_sql(spark, tmp_path):
     assert differences(spark, con, str(tmp_path), "ps_clauses", structure.ps_clauses, registry.oracle_sql()["ps_clauses"]) is None
     found = structure.ps_clauses(spark, str(tmp_path)).where("number like '123%' or number = '5.2'")
     assert found.count() == 0 and len(texts) == 300
+
+
+def test_relations_equal_their_sql_at_halves(spark, tmp_path):
+    """Scores that lie at half a millionth are rounded as in SQL; ids may repeat."""
+    rows = []
+    for n, (a, b, shared) in enumerate([(71, 80, 23), (59, 100, 31), (45, 120, 37), (89, 128, 7)]):
+        ends = [f"e{n}x{i}" for i in range(shared)]
+        title, line = [" ".join([f"{c}{n}x{i}" for i in range(size - shared)] + ends) for c, size in (("t", a), ("l", b))]
+        rows += [(2 * n, title), (2 * n + 1, f"another title of text {n}\n{line}\nshort line\n{line} more words\n{title}")]
+    rows += [(1, "\nfirst in no line but this\na second line of it"), (20, None), (21, ""), (22, "one more that is\nan own title here\nan own title here")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("ig_write_relations", "ig_relation_edges"):
+        assert differences(spark, con, str(tmp_path), name, getattr(structure, name), registry.oracle_sql()[name]) is None
+    assert structure.ig_write_relations(spark, str(tmp_path)).where("reason = 'LOW_SCORE'").count() >= 4
+
+
+def test_pairs_of_a_block_are_scored_once(spark):
+    """Shared words are counted once a pair, of hashed sets, and a large block is dealt over bundles."""
+    text = lambda i: [f"w{i}", f"v{i % 7}", "in", "common", "end"]
+    e = spark.createDataFrame([(text(i), 1, i, i) for i in range(300)], "words array<string>, n_bearers int, low int, high int")
+    found = relations.candidates(spark.createDataFrame([(text(i),) for i in range(40)], "words array<string>"), e)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1
+    assert all(r["found"][0]["title"] == r["words"] and r["found"][0]["score"] == 1.0 for r in found.collect())
